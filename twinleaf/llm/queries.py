@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinleaf.llm import decontamination, packing, pii, secrets, sharding, toxicity
+from twinleaf.llm import decontamination, lm_scoring, packing, pii, secrets, sharding, toxicity
 from twinleaf.llm.common import read
 
 SHARDS = 24
@@ -17,6 +17,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = read(spark, sf_dir, "labels").filter("quality = 1")
+    out = lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), target)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.balanced_label_propagation(read(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,6 +51,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_cross_entropy_difference": op1,
         "op2_balanced_label_propagation": op2,
         "op5_pii_candidate_boosting": op5,
         "op6_spaced_seed_decontamination": op6,
@@ -54,5 +61,26 @@ def queries() -> dict:
     }
 
 
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS b, unnest(list_concat(['\x01'], w[1:len(w) - 1])) AS a FROM words WHERE len(w) > 0),
+tgt AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+t AS (SELECT tok.*, (tgt.doc_id IS NOT NULL)::INT AS g FROM tok LEFT JOIN tgt USING (doc_id)),
+tot AS (SELECT count(*) AS n0, sum(g) AS n1 FROM t),
+uni AS (SELECT b AS w, count(*) AS c0, sum(g) AS c1 FROM t GROUP BY b
+        UNION ALL SELECT '\x01', count(*), sum(g) FROM t WHERE a = '\x01'),
+bi AS (SELECT a, b, count(*) AS c0, sum(g) AS c1 FROM t GROUP BY a, b),
+l AS (SELECT bi.a, bi.b,
+        -ln((bi.c0 + 5 * (w.c0 + 1000 * w.c0 / n0) / (n0 + 1000)) / (v.c0 + 5)) AS l0,
+        -ln((bi.c1 + 5 * (w.c1 + 1000 * w.c0 / n0) / (n1 + 1000)) / (v.c1 + 5)) AS l1
+      FROM bi JOIN uni w ON w.w = bi.b JOIN uni v ON v.w = bi.a, tot),
+s AS (SELECT doc_id, count(*) AS n, avg(l1) AS x1, avg(l0) AS x0 FROM t JOIN l USING (a, b) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(x1, 6) AS loss_target, round(x0, 6) AS loss_background, round(x1 - x0, 6) AS score
+FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_cross_entropy_difference": OP1_SQL}
