@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinleaf.llm import decontamination, lm_scoring, packing, pii, secrets, sharding, toxicity
+from twinleaf.llm import decontamination, jaccard_join, lm_scoring, packing, pii, secrets, sharding, toxicity
 from twinleaf.llm.common import read
 
 SHARDS = 24
@@ -41,6 +41,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read(spark, sf_dir, "documents"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op5_pii_candidate_boosting": op5,
         "op6_spaced_seed_decontamination": op6,
         "op7_secret_automaton": op7,
+        "op8_signature_tree_join": op8,
         "op9_toxicity_cnn": op9,
         "op10_power_of_two_packing": op10,
     }
