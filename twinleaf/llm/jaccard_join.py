@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinleaf.llm import sieve
 from twinleaf.llm.common import answer, arrow_schema, ask, chunked, durable, finish, partitions, running, text_bytes
 
 WORDS, SHARE = 5, 80
@@ -78,49 +79,13 @@ def _distinct(sets: list[np.ndarray], classes: list[int]) -> tuple[np.ndarray, n
     return tokens[order], owner[order]
 
 
-def _edges(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts: buckets are ranges of the hash."""
-    return np.append(np.searchsorted(tokens, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)), len(tokens))
-
-
-def _runs(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, one owner of each, and whether there are more."""
-    if not len(tokens):
-        return tokens, owner, np.zeros(0, bool)
-    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-    low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
-    return tokens[first], low, low != high
-
-
 def _emit(buckets: int):
-    """Within a bucket 32 bits tell shingles apart; a clash only keeps one more in the sieve. Owners too are 32 bits."""
-
     def each(table: pa.Table):
         _, sets, classes = _sets(table)
-        tokens, owner, more = _runs(*_distinct(sets, classes))
-        at = _edges(tokens, buckets)
-        for b in range(buckets):
-            lo, hi = at[b], at[b + 1]
-            if hi > lo:
-                yield b, np.uint32(hi - lo).tobytes() + (tokens[lo:hi] * np.uint64(MIX) >> np.uint64(32)).astype("<u4").tobytes() + (owner[lo:hi] & 0xFFFFFFFF).astype("<u4").tobytes() + np.packbits(more[lo:hi]).tobytes()
+        return sieve.questions(*sieve.runs(*_distinct(sets, classes)), buckets)
     return each
 
 
-def _reply(blobs: list[bytes]) -> list[bytes]:
-    sizes = [int(np.frombuffer(b, "<u4", 1)[0]) for b in blobs]
-    keys = np.concatenate([np.frombuffer(b, "<u4", n, 4) for b, n in zip(blobs, sizes)])
-    owner = np.concatenate([np.frombuffer(b, "<u4", n, 4 + 4 * n) for b, n in zip(blobs, sizes)])
-    more = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -1, 4 + 8 * n), count=n) for b, n in zip(blobs, sizes)])
-    order = np.argsort(keys, kind="stable")
-    k, o = keys[order], owner[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    shared = (np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)) | (np.maximum.reduceat(more[order], first) > 0)
-    out = np.zeros(len(keys), bool)
-    out[order] = np.repeat(shared, np.diff(np.append(first, len(keys))))
-    ends = np.cumsum(sizes)
-    return [np.packbits(out[e - n:e]).tobytes() for n, e in zip(sizes, ends)]
-
-
 SETS = "doc_id long, n_shingles long, class long, tokens binary"
 
 
@@ -129,10 +94,8 @@ def _survivors(buckets: int):
 
     def each(table: pa.Table, got: dict[int, bytes]):
         doc_ids, sets, classes = _sets(table)
-        tokens, _, _ = _runs(*_distinct(sets, classes))
-        at = _edges(tokens, buckets)
-        parts = [np.unpackbits(np.frombuffer(got[b], np.uint8), count=at[b + 1] - at[b]) for b in range(buckets) if at[b + 1] > at[b]]
-        shared = tokens[np.concatenate(parts).astype(bool)] if parts else tokens
+        tokens, _, _ = sieve.runs(*_distinct(sets, classes))
+        shared = tokens[sieve.told(tokens, buckets, got)[0]]
         told, out = set(), []
         for s, c in zip(sets, classes):
             blob = None
@@ -329,7 +292,7 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row."""
     n = max(1, -(-text_bytes(docs) // CHUNK_BYTES))
     dealt = chunked(docs, "doc_id", "text", chunk_bytes=CHUNK_BYTES)
-    answers = answer(ask(dealt, _emit(n)), _reply, n).repartition(n, "chunk")
+    answers = answer(ask(dealt, _emit(n)), sieve.replies(), n).repartition(n, "chunk")
     found = durable(finish(dealt, answers, _survivors(n), SETS))
     sets = durable(found.filter("tokens IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
     roots = similar_classes(sets)

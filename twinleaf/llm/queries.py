@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinleaf.llm import decontamination, jaccard_join, lm_scoring, packing, pii, secrets, sharding, toxicity
+from twinleaf.llm import decontamination, jaccard_join, lm_scoring, packing, pii, secrets, sharding, suffix_dedup, toxicity
 from twinleaf.llm.common import read
 
 SHARDS = 24
@@ -28,6 +28,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
@@ -57,6 +61,7 @@ def queries() -> dict:
     return {
         "op1_cross_entropy_difference": op1,
         "op2_balanced_label_propagation": op2,
+        "op4_suffix_dedup": op4,
         "op5_pii_candidate_boosting": op5,
         "op6_spaced_seed_decontamination": op6,
         "op7_secret_automaton": op7,
