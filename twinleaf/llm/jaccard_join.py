@@ -303,7 +303,10 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id (one row of it, the smallest text)."""
-    own = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    firsts = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return firsts
+    """``docs`` with one document of each component, that of the smallest doc_id; rows that repeat its doc_id and text go too."""
+    own = components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(own, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    twice = durable(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinleaf.llm import decontamination, jaccard_join, lm_scoring, packing, pii, secrets, sharding, suffix_dedup, toxicity
+from twinleaf.llm import decontamination, jaccard_join, kmeans_tree, lm_scoring, packing, pii, secrets, sharding, suffix_dedup, toxicity
 from twinleaf.llm.common import read
 
 SHARDS = 24
@@ -28,6 +28,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return kmeans_tree.nearest(vectors, vectors.filter("vec_id % 50 = 0"))[0]
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(read(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def queries() -> dict:
     return {
         "op1_cross_entropy_difference": op1,
         "op2_balanced_label_propagation": op2,
+        "op3_kmeans_tree_search": op3,
         "op4_suffix_dedup": op4,
         "op5_pii_candidate_boosting": op5,
         "op6_spaced_seed_decontamination": op6,
