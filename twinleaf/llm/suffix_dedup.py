@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from twinleaf.llm import sieve
 from twinleaf.llm.common import answer, ask, chunked, durable, finish, text_bytes
 
 LENGTH, GRAM = 50, 20
-CHUNK_BYTES, COLLECTION, HOT = 8 << 20, 1 << 20, 512
+CHUNK_BYTES, COLLECTION, HOT, STRIDE = 4 << 20, 1 << 18, 512, 1 << 16
 #: An odd base of the rolling hash and its inverse modulo 2**64.
 BASE = 0x2545F4914F6CDD1D
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -60,19 +61,19 @@ def collection(pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
             break
         # Suffixes preceded by a symbol keep their order behind it; the k-th of them in order is known by its rank.
         order = np.argsort(before, kind="stable")
-        ended = int(np.searchsorted(before[order], 1))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        place = rank[at]
-        symbol = before[at]
-        new = np.sort(place)
-        by = np.argsort(place, kind="stable")
-        who, symbol = who[by], symbol[by]
+        sorted_before = before[order]
+        ended = int(np.searchsorted(sorted_before, 1))
+        active = np.zeros(len(before), bool)
+        active[at] = True
+        piece = np.zeros(len(before), np.int32)
+        piece[at] = who
+        new = np.flatnonzero(active[order])
+        who = piece[order[new]]
         # Common prefixes of a new suffix with its neighbours behind the same symbol: least over the range between, plus one.
         after = np.minimum(new + 1, len(order) - 1)
         lows = np.concatenate([new, after])
         here, prior = order[lows], order[np.maximum(lows - 1, 0)]
-        same = (before[here] == before[prior]) & (lows > ended)
+        same = (sorted_before[lows] == sorted_before[lows - 1]) & (lows > ended)
         same[len(new):] &= new + 1 < len(order)
         least = np.zeros(len(lows), np.int64)
         if same.any():
@@ -133,7 +134,7 @@ def window_minima(texts: list[bytes], doc: np.ndarray) -> list[np.ndarray]:
     return [out[i, :s - LENGTH + 1] for i, s in enumerate(sizes)]
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
     for base in (BASE, INVERSE):
@@ -143,8 +144,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def _hashed(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, size) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes at ``at``, from sums of bytes times powers of the base."""
+    x = (sums[at + size] - sums[at]) * inverse[at]
+    x ^= x >> np.uint64(32)
+    x *= sieve.MIX
+    x ^= x >> np.uint64(29)
+    return x
+
+
+@lru_cache(2)
+def _counting(n: int) -> np.ndarray:
+    return np.arange(n, dtype=np.uint64)
+
+
 class _Pieces:
-    """A chunk's texts in one array, and its pieces: start, windows, hash and document."""
+    """A chunk's texts in one array, and its pieces: start, windows, hash, hash of the whole, and document."""
 
     def __init__(self, table: pa.Table):
         rows = table.to_pydict()
@@ -152,45 +167,65 @@ class _Pieces:
         self.doc_ids = [rows["doc_id"][i] for i in order]
         raw = [(rows["text"][i] or "").encode("utf-8", "surrogatepass") for i in order]
         self.data = np.frombuffer(b"".join(raw), np.uint8)
-        self.ends = np.cumsum([len(r) for r in raw]) if raw else np.zeros(0, np.int64)
-        self.starts = self.ends - np.array([len(r) for r in raw], np.int64)
-        n = len(self.data)
-        empty = np.zeros(0, np.int64)
-        self.start, self.windows, self.doc, self.key = empty, empty, empty, np.zeros(0, np.uint64)
+        sizes = np.array([len(r) for r in raw], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        ids = np.array([d if d is not None else NONE for d in self.doc_ids], np.int64)
+        found, lo = [], 0
+        for hi in range(1, len(raw) + 1):  # a few documents at a time, so that the arrays stay small
+            if hi == len(raw) or self.ends[hi] - self.starts[lo] > STRIDE:
+                found.append(self._cut(lo, hi, ids))
+                lo = hi
+        self.start, self.windows, self.key, self.whole, self.doc = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64)]
+
+    def _cut(self, lo: int, hi: int, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        first = int(self.starts[lo])
+        data, ends = self.data[first:self.ends[hi - 1]], self.ends[lo:hi] - first
+        n = len(data)
+        none = np.zeros(0, np.int64)
         if n < LENGTH:
-            return
-        power, inverse = _powers(max(1 << 24, 1 << n.bit_length()))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.data * power[:n], out=self.sums[1:])
-        self.inverse = inverse
-        value = self._hash(np.arange(n - GRAM + 1), GRAM)
+            return none, none, none.astype(np.uint64), none.astype(np.uint64), none
+        power, inverse = _powers(max(2 * STRIDE, 1 << n.bit_length()))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(data * power[:n], out=sums[1:])
+        # As _hashed, for all positions in turn.
+        value = sums[GRAM:] - sums[:n - GRAM + 1]
+        value *= inverse[:len(value)]
+        value ^= value >> np.uint64(32)
+        value *= sieve.MIX
+        value ^= value >> np.uint64(29)
         # The smallest hash among the grams of each window, the leftmost of equals.
         bits = np.uint64(int(n).bit_length())
-        low = (value >> bits << bits) | np.arange(len(value), dtype=np.uint64)
+        low = value >> bits
+        low <<= bits
+        low |= _counting(len(power))[:len(value)]
         step, span = 1, LENGTH - GRAM + 1
         while 2 * step <= span:
             low = np.minimum(low[:-step], low[step:])
             step *= 2
         if span > step:
             low = np.minimum(low[:len(low) - (span - step)], low[span - step:])
-        where = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        owner = np.repeat(np.arange(len(raw)), self.ends - self.starts)[:len(where)]
-        fits = np.arange(len(where)) + LENGTH <= self.ends[owner]
-        known = np.array([d is not None for d in self.doc_ids])
-        fits &= known[owner]
-        begins = fits.copy()
-        begins[1:] &= (where[1:] != where[:-1]) | (owner[1:] != owner[:-1]) | ~fits[:-1]
-        self.start = np.flatnonzero(begins)
-        self.windows = np.add.reduceat(fits.astype(np.int64), self.start) if len(self.start) else empty
-        self.key, self.owner = value[where[self.start]], owner[self.start]
-        ids = np.array([d if d is not None else NONE for d in self.doc_ids], np.int64)
-        self.doc = ids[self.owner]
-
-    def _hash(self, at: np.ndarray, size) -> np.ndarray:
-        x = (self.sums[at + size] - self.sums[at]) * self.inverse[at]
-        x ^= x >> np.uint64(32)
-        x *= sieve.MIX
-        return x ^ x >> np.uint64(29)
+        low &= (np.uint64(1) << bits) - np.uint64(1)
+        # Windows that cross the end of a text, or whose text has no doc_id, don't count.
+        fits = np.ones(len(low), bool)
+        known = ids[lo:hi] != NONE
+        begin = ends - np.diff(ends, prepend=0)
+        for s, e, k in zip(begin.tolist(), ends.tolist(), known.tolist()):
+            fits[max(s, e - LENGTH + 1) if k else s:e] = False
+        turns = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=turns[1:])
+        turns[1:] |= ~fits[:-1]
+        turns &= fits
+        start = np.flatnonzero(turns)
+        # A run ends before the next start or the first window that doesn't fit.
+        stops = np.flatnonzero(~fits)
+        after = np.append(stops, len(low))[np.searchsorted(stops, start)]
+        windows = np.minimum(np.append(start[1:], len(low)), after) - start
+        key = value[low[start].astype(np.int64)] * sieve.MIX  # least hashes are small: spread them again
+        key ^= key >> np.uint64(31)
+        key *= sieve.MIX
+        whole = _hashed(sums, inverse, start, LENGTH - 1 + windows) + windows.astype(np.uint64)
+        return start + first, windows, key, whole, ids[lo + np.searchsorted(ends, start, side="right")]
 
     def sieved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(self.key, kind="stable")
@@ -207,7 +242,10 @@ class _Pieces:
         many = np.flatnonzero(split)
         counts = self.windows[many]
         singles = np.repeat(self.start[many], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.key = np.concatenate([self.key[one], self._hash(singles, LENGTH)]) if len(many) else self.key[one]
+        text = self.data.tobytes() if len(many) else b""
+        prints = np.fromiter((xxhash.xxh64_intdigest(text[i:i + LENGTH]) for i in singles.tolist()), np.uint64, len(singles))
+        self.key = np.concatenate([self.key[one], prints])
+        self.whole = np.concatenate([self.whole[one], prints])
         self.doc = np.concatenate([self.doc[one], np.repeat(self.doc[many], counts)])
         self.start = np.concatenate([self.start[one], singles])
         self.windows = np.concatenate([self.windows[one], np.ones(len(singles), np.int64)])
@@ -215,9 +253,8 @@ class _Pieces:
             self.first = self.which = np.zeros(0, np.int64)
             return
         # Equal pieces once, in order of key: told apart by the hash of the whole and the length.
-        whole = self._hash(self.start, LENGTH - 1 + self.windows) + self.windows.astype(np.uint64)
-        order = np.lexsort((self.doc, whole, self.key))
-        k, w = self.key[order], whole[order]
+        order = np.lexsort((self.doc, self.whole, self.key))
+        k, w = self.key[order], self.whole[order]
         new = np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]))
         self.first = order[np.flatnonzero(new)]  # smallest doc of each
         self.which = np.empty(len(order), np.int64)
