@@ -6,7 +6,8 @@ doc_id is removed.
 Texts are cut to overlapping pieces of at most 2 * LENGTH - GRAM bytes: the maximal runs of windows of LENGTH bytes that
 share one smallest GRAM-byte hash. Equal windows share it too, so they meet in one collection,
 whatever their documents, and each window lies in exactly one piece. Pieces whose
-hash occurs in one document only leave in a sieve; equal pieces are joined, with their smallest doc_id.
+hash occurs in one document only leave in a sieve; equal pieces are joined, with their smallest doc_id, and a
+hash of one distinct piece has nothing left to be compared with.
 
 For each collection, ``collection`` inserts one symbol of each piece a round, from the last to the
 first, and updates the Burrows-Wheeler transform of all suffixes so far and their longest common prefixes, each
@@ -49,31 +50,28 @@ def collection(pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     prefix with the suffix before (up to LENGTH), the piece and the suffix's length.
     """
     n, width = pieces.shape
-    ids = np.arange(n, dtype=np.int32)
-    before = np.where(sizes > 0, pieces[:, width - 1] if width else 0, 0).astype(np.uint8)
-    common = np.zeros(n, np.uint8)
-    owner, depth = ids.copy(), np.zeros(n, np.uint8)
-    at = np.arange(n)  # where the suffix inserted last stands, for each active piece in ``who``
-    who = ids[sizes > 0]
-    at = at[sizes > 0]
+    # One word for each suffix: preceding symbol, common prefix, length (a byte each), piece.
+    words = np.where(sizes > 0, pieces[:, width - 1] if width else 0, 0).astype(np.uint64) | np.arange(n, dtype=np.uint64) << np.uint64(24)
+    who = np.flatnonzero(sizes > 0).astype(np.int32)
+    at = who.astype(np.int64)  # where the suffix inserted last stands, for each active piece in ``who``
     for length in range(1, width + 1):
         if not len(who):
             break
+        parts = words.view(np.uint8).reshape(-1, 8)
+        before, common = np.ascontiguousarray(parts[:, 0]), np.append(parts[:, 1], np.uint8(0))
         # Suffixes preceded by a symbol keep their order behind it; the k-th of them in order is known by its rank.
         order = np.argsort(before, kind="stable")
-        sorted_before = before[order]
-        ended = int(np.searchsorted(sorted_before, 1))
-        active = np.zeros(len(before), bool)
-        active[at] = True
-        piece = np.zeros(len(before), np.int32)
-        piece[at] = who
-        new = np.flatnonzero(active[order])
-        who = piece[order[new]]
+        ends = np.cumsum(np.bincount(before, minlength=256))
+        ended = int(ends[0])
+        active = np.zeros(len(before), np.int32)
+        active[at] = who + 1
+        turn = active[order]
+        new = np.flatnonzero(turn)
+        who = turn[new] - 1
         # Common prefixes of a new suffix with its neighbours behind the same symbol: least over the range between, plus one.
-        after = np.minimum(new + 1, len(order) - 1)
-        lows = np.concatenate([new, after])
+        lows = np.concatenate([new, np.minimum(new + 1, len(order) - 1)])
         here, prior = order[lows], order[np.maximum(lows - 1, 0)]
-        same = (sorted_before[lows] == sorted_before[lows - 1]) & (lows > ended)
+        same = (before[here] == before[prior]) & (lows > ended)
         same[len(new):] &= new + 1 < len(order)
         least = np.zeros(len(lows), np.int64)
         if same.any():
@@ -81,30 +79,24 @@ def collection(pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
             back = np.argsort(-s, kind="stable")
             edges = np.empty(2 * len(s), np.int64)
             edges[0::2], edges[1::2] = s[back], e[back]
-            padded = np.append(common, np.uint8(0))
-            least[np.flatnonzero(same)[back]] = np.minimum.reduceat(padded, edges)[0::2].astype(np.int64) + 1
-        least = np.minimum(least, LENGTH).astype(np.uint8)
-        # Sequential pass: old entries move behind the new ones before them.
-        size = len(before) + len(new)
-        # Suffixes begin with the end mark (n of them) or with the symbol at rank - ended.
+            least[np.flatnonzero(same)[back]] = np.minimum.reduceat(common, edges)[0::2].astype(np.int64) + 1
+        least = np.minimum(least, LENGTH)
+        # Sequential pass: old entries move behind the new ones before them. Suffixes begin with the end mark (n of them) or with the symbol at rank - ended.
         position = n + new - ended
-        fresh = np.zeros(size, bool)
-        fresh[position] = True
         left = sizes[who] - length
-        ahead = np.where(left > 0, pieces[who, np.maximum(width - 1 - length, 0)], 0).astype(np.uint8)
-        merged = []
-        for old, put in ((before, ahead), (common, least[:len(new)]), (owner, who), (depth, np.full(len(new), length, np.uint8))):
-            out = np.empty(size, old.dtype)
-            out[~fresh] = old
-            out[position] = put
-            merged.append(out)
-        before, common, owner, depth = merged
+        ahead = np.where(left > 0, pieces[who, np.maximum(width - 1 - length, 0)], 0).astype(np.int64)
+        merged = np.empty(len(words) + len(new), np.uint64)
+        old = np.ones(len(merged), bool)
+        old[position] = False
+        merged[old] = words
+        merged[position] = (ahead | least[:len(new)] << 8 | length << 16 | who.astype(np.int64) << 24).astype(np.uint64)
         follow = position + 1
-        held = follow < size
-        common[follow[held]] = np.where(same[len(new):][held], least[len(new):][held], 0)
-        still = left > 0
-        at, who = position[still], who[still]
-    return before, common, owner, depth
+        held = follow < len(merged)
+        merged.view(np.uint8).reshape(-1, 8)[follow[held], 1] = np.where(same[len(new):], least[len(new):], 0)[held]
+        words = merged
+        at, who = position[left > 0], who[left > 0]
+    parts = words.view(np.uint8).reshape(-1, 8)
+    return parts[:, 0], parts[:, 1], (words >> np.uint64(24)).astype(np.int32), parts[:, 2]
 
 
 def window_minima(texts: list[bytes], doc: np.ndarray) -> list[np.ndarray]:
@@ -296,8 +288,11 @@ def _reply_minima(blobs: list[bytes]) -> list[bytes]:
     np.minimum.at(least, which, doc)
     of = np.empty(len(one), np.uint64)
     of[which] = key
+    # Second sieve: a hash with one distinct piece left has nothing to meet in a collection.
     names, order = list(one), np.argsort(of, kind="stable")
-    minima: list = [None] * len(one)
+    minima: list = [least[i:i + 1] for i in range(len(one))]
+    edge = np.append(True, np.diff(of[order]) != 0)
+    order = order[~(edge & np.append(edge[1:], True))]
     lo, held = 0, 0
     for i, j in enumerate(order):
         held += len(names[j])
@@ -338,8 +333,8 @@ def _removed(buckets: int):
             least = value[begin[piece] + np.where(length[piece] > 1, inside, 0)]
             gone = np.repeat(p.start, counts) + inside
             gone = gone[least < np.repeat(p.doc, counts)]
-            np.add.at(cover, gone, 1)
-            np.add.at(cover, gone + LENGTH, -1)
+            cover += np.bincount(gone, minlength=len(cover)).astype(np.int32)
+            cover -= np.bincount(gone + LENGTH, minlength=len(cover)).astype(np.int32)
         dropped = np.cumsum(cover[:-1]) > 0
         n_removed, n_spans, digests = [], [], []
         for s, e in zip(p.starts.tolist(), p.ends.tolist()):
