@@ -34,7 +34,7 @@ from twinleaf.llm import sieve
 from twinleaf.llm.common import answer, arrow_schema, ask, chunked, durable, finish, partitions, running, text_bytes
 
 WORDS, SHARE = 5, 80
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BLOCK, LEAF, FANOUT, BITS = 2048, 16, 8, 4096
 #: Fixed value: an odd multiplier that mixes word hashes.
 MIX = 0x9E3779B97F4A7C15
