@@ -9,7 +9,7 @@ in the row of the hit, from its neighbouring tokens, so no text is shuffled.
 The benchmark side is broadcast while it has at most ``BROADCAST_SEEDS`` seeds, and
 joined by shuffle beyond that.
 
-Defined cases: tokens are runs of letters and digits in lower case; null and empty texts, and
+Defined cases: tokens are runs of characters other than ASCII signs and spaces, in lower case; null and empty texts, and
 items shorter than a mask, have no hits; repeated rows give the same pair once;
 empty tables give no rows; other columns are kept by ``keep_clean`` and ignored by
 ``find``; rows without doc_id are never dropped.
@@ -23,41 +23,48 @@ from pyspark.sql import functions as F
 #: 1 is a position that counts, 0 one that is ignored.
 MASKS = ("1101001101", "1011100011")
 SPAN, WINDOW, SHARE = 10, 13, 80
+REACH = WINDOW - SPAN
+#: What parts tokens: ASCII characters other than letters and digits.
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 BROADCAST_SEEDS = 1_000_000
 
 
 def _tokens(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS)), r"[\x00-/:-@\[-`{-\x7f]+")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _seeds(df: DataFrame) -> DataFrame:
-    """Explode ``hashes`` to (mask, seed, at) rows."""
+    """Explode ``hashes`` to (at, seed) rows; a seed's hash begins with its mask's number.
+
+    Positions are exploded first and seeds taken after that, within generated code.
+    """
     last = F.size("hashes") - SPAN
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
-    def hashed(at: Column) -> Column:
-        return F.struct(at.alias("at"), *[F.xxhash64(*[F.get("hashes", at + i) for i, c in enumerate(mask) if c == "1"]).alias(f"m{k}") for k, mask in enumerate(MASKS)])
-
-    one = df.select("*", F.explode(F.transform(starts, hashed)).alias("s"))
-    both = F.array(*[F.struct(F.lit(k).alias("mask"), F.col(f"s.m{k}").alias("seed")) for k in range(len(MASKS))])
-    return one.select(*df.columns, F.col("s.at").alias("at"), F.explode(both).alias("k")).select(*df.columns, "at", "k.mask", "k.seed")
+    one = df.select("*", F.explode(starts).alias("at"))
+    seeds = [F.xxhash64(F.lit(k), *[F.get("hashes", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(MASKS)]
+    return one.select("*", F.explode(F.array(*seeds)).alias("seed"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, matched and width of the best window, hits."""
-    items = _seeds(benchmark.select("item_id", _tokens(F.col("text")).alias("hashes"))).select("item_id", F.col("hashes").alias("item"), F.col("at").alias("item_at"), "mask", "seed").dropDuplicates(["item_id", "item_at", "mask"])
+    items = _seeds(benchmark.select("item_id", _tokens(F.col("text")).alias("hashes"))).select("item_id", F.col("hashes").alias("item"), F.col("at").alias("item_at"), "seed").dropDuplicates(["item_id", "item_at", "seed"])
     if items.count() <= BROADCAST_SEEDS:
         items = F.broadcast(items)
-    hits = _seeds(docs.select("doc_id", _tokens(F.col("text")).alias("hashes"))).join(items, ["mask", "seed"])
-    width = F.least(F.lit(WINDOW), F.size("item"))
+    hits = _seeds(docs.select("doc_id", _tokens(F.col("text")).alias("hashes"))).join(items, "seed")
+    # Whether the tokens from REACH before the hit on agree; outside either text they don't. Spelt out, to stay within generated code.
+    same = [F.coalesce(F.get("hashes", F.col("at") + i) == F.get("item", F.col("item_at") + i), F.lit(False)).cast("int").alias(f"same{i + REACH}") for i in range(-REACH, WINDOW)]
+    hits = hits.select("doc_id", "item_id", "item_at", F.size("item").alias("size"), *same)
 
-    def agreed(start: Column) -> Column:
+    def agreed(start: int) -> Column:
         """Tokens that agree in the window that starts ``start`` tokens before the hit; -1 outside the item."""
-        same = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get("hashes", F.when(F.col("at") - start + i >= 0, F.col("at") - start + i)) == F.get("item", F.col("item_at") - start + i), F.lit(False)))
-        return F.when((F.col("item_at") >= start) & (F.col("item_at") - start + width <= F.size("item")), F.size(same)).otherwise(-1)
+        first = REACH - start
+        inside = (F.col("item_at") >= start) & (F.col("item_at") - start + WINDOW <= F.col("size"))
+        return F.when(inside, sum((F.col(f"same{k}") for k in range(first + 1, first + WINDOW)), F.col(f"same{first}"))).otherwise(-1)
 
-    best = F.greatest(*[agreed(F.lit(k)) for k in range(WINDOW - SPAN + 1)])
+    width = F.least(F.lit(WINDOW), F.col("size"))
+    whole = F.when(F.col("size") < WINDOW, sum((F.col(f"same{k}") for k in range(1, REACH + WINDOW)), F.col("same0"))).otherwise(-1)
+    best = F.greatest(whole, *[agreed(k) for k in range(REACH + 1)])
     found = hits.select("doc_id", "item_id", best.alias("matched"), width.alias("width")).filter(F.col("matched") * 100 >= F.col("width") * SHARE)
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"), F.count("*").alias("hits"))
 
