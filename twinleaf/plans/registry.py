@@ -2,14 +2,415 @@
 
 from __future__ import annotations
 
+from functools import partial
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from twinleaf.functions import cleaning, fuzzy, lexical, vectors
+from twinleaf.operators import assemble, graph, metrics, models, ngrams
+from twinleaf.plans import sql
+from twinleaf.sources import fixtures as fx
+
+REGISTERED: dict = {}
+FEATURES = ["b1_word_match", "b2_jaccard", "b4_total_unique_words", "b6_wc_diff", "l1_diff_len"]
+
+
+def query(name: str):
+    def keep(f):
+        REGISTERED[name] = f
+        return f
+
+    return keep
+
+
+def _feature(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.tokenized(spark, sf_dir).select("id", lexical.features()[name].alias("value"))
+
+
+for _name in ("b1_word_match", "b2_jaccard", "b3_common_words", "b4_total_unique_words", "b5_total_unq_words_stop", "b6_wc_diff", "b7_wc_ratio", "b8_wc_diff_unique", "b9_wc_ratio_unique", "b10_wc_diff_unq_stop", "b11_wc_ratio_unique_stop", "b12_same_start", "b13_char_diff", "b14_char_ratio", "b15_char_diff_unq_stop", "l1_diff_len", "l2_diff_len_word", "l3_diff_len_char", "e1_jaccard_distance", "e2_levenshtein", "e4_sorensen", "u5_in_row_sets"):
+    REGISTERED[_name] = partial(_feature, _name)
+
+
+def _fuzzy(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.pairs(spark, sf_dir).select("id", fuzzy.batched(fuzzy.RATIOS[name], "int")("question1", "question2").alias("value"))
+
+
+for _name in fuzzy.RATIOS:
+    REGISTERED[_name] = partial(_fuzzy, _name)
+
+
+def six(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in df.dtypes])
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, y, w, features)."""
+    f = lexical.features()
+    return fx.tokenized(spark, sf_dir).select("id", F.col("is_duplicate").alias("y"), assemble.class_weight().alias("w"), *[f[k].cast("double").alias(k) for k in FEATURES])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lexical.features()
+    df = fx.tokenized(spark, sf_dir).select("is_duplicate", f["b2_jaccard"].alias("j"), f["b4_total_unique_words"].alias("u"), f["b6_wc_diff"].alias("d"))
+    return six(df.groupBy("is_duplicate").agg(F.count("*").alias("pairs"), F.avg("j").alias("mean_jaccard"), F.avg("u").alias("mean_union"), F.avg("d").alias("mean_diff")))
+
+
+REGISTERED["flagship"] = flagship
+
+
+@query("s1_fill_nulls")
+def _(spark, sf_dir):
+    df = fx.pairs(spark, sf_dir).select("id", F.when(F.length("question1") > 50, F.col("question1")).alias("question1"))
+    return fx.fill_texts(df)
+
+
+@query("s12_json_sink")
+def _(spark, sf_dir):
+    df = fx.pairs(spark, sf_dir).groupBy("is_duplicate").count()
+    return df.select("is_duplicate", F.to_json(F.struct(F.col("count").alias("n"))).alias("record"))
+
+
+@query("s18_histogram")
+def _(spark, sf_dir):
+    df = fx.tokenized(spark, sf_dir).select(F.floor(lexical.features()["b2_jaccard"] * 20).cast("long").alias("bin"))
+    return df.groupBy("bin").agg(F.count("*").alias("rows"))
+
+
+@query("p3_abs_difference")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select("id", F.abs(F.col("qid1") - F.col("qid2")).alias("value"))
+
+
+@query("p5_filter_label")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).filter("is_duplicate = 1").select("id", "question1")
+
+
+@query("p7_stop_words")
+def _(spark, sf_dir):
+    return fx.tokenized(spark, sf_dir).select("id", F.array_join("n1", " ").alias("kept"))
+
+
+@query("p9_class_weight")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select("id", assemble.class_weight().alias("w"), F.lit(-1).alias("constant"))
+
+
+@query("p12_flip")
+def _(spark, sf_dir):
+    return assemble.flipped(fx.pairs(spark, sf_dir).select("id", "qid1", "qid2"), [("qid1", "qid2")])
+
+
+@query("j1_feature_attach")
+def _(spark, sf_dir):
+    base, f = fx.tokenized(spark, sf_dir), lexical.features()
+    one, two = base.select("id", f["b4_total_unique_words"].alias("unique_words")), base.select("id", f["b6_wc_diff"].alias("wc_diff"))
+    return assemble.attached(base.select("id", "is_duplicate"), one, two)
+
+
+@query("j3_kcore_lookup")
+def _(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir).select("id", F.lower("question1").alias("question"), F.lower("question2").alias("other"))
+    cores = p.select("question").distinct().filter(F.length("question") % 2 == 0).withColumn("k", (F.length("question") % 7).cast("long"))
+    other = cores.withColumnsRenamed({"question": "other", "k": "k2"})
+    return p.join(cores, "question", "left").join(other, "other", "left").select("id", F.coalesce("k", F.lit(0)).alias("kcores1"), F.coalesce("k2", F.lit(0)).alias("kcores2"))
+
+
+def _weights(df: DataFrame) -> DataFrame:
+    words = df.select(F.explode(F.concat("q1w", "q2w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", F.when(F.col("n") < 2, 0.0).otherwise(1 / (F.col("n") + 10000)).alias("weight"))
+
+
+def _tfidf_match(one: str, two: str, spark, sf_dir) -> DataFrame:
+    df = fx.tokenized(spark, sf_dir)
+    sides = F.explode(F.concat(F.transform(one, lambda w: F.struct(w.alias("word"), F.array_contains(two, w).alias("shared"))), F.transform(two, lambda w: F.struct(w.alias("word"), F.array_contains(one, w).alias("shared")))))
+    x = df.select("id", sides.alias("x")).select("id", "x.word", "x.shared").join(_weights(df), "word")
+    s = x.groupBy("id").agg(F.try_divide(F.sum(F.when(F.col("shared"), F.col("weight")).otherwise(0.0)), F.sum("weight")).alias("value"))
+    return df.select("id").join(s, "id", "left").select("id", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("value"))
+
+
+REGISTERED["b16_tfidf_wm"] = partial(_tfidf_match, "s1", "s2")
+REGISTERED["b17_tfidf_wm_stops"] = partial(_tfidf_match, "n1", "n2")
+
+
+@query("b18_word_weight")
+def _(spark, sf_dir):
+    return _weights(fx.tokenized(spark, sf_dir)).select("word", F.round(F.col("weight") * 1e6, 6).alias("weight"))
+
+
+@query("a1_word_counts")
+def _(spark, sf_dir):
+    return fx.tokenized(spark, sf_dir).select(F.explode(F.concat("q1w", "q2w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("a2_degree")
+def _(spark, sf_dir):
+    return graph.degree(fx.graph_pairs(spark, sf_dir))
+
+
+@query("a3_adjacency")
+def _(spark, sf_dir):
+    return graph.edges(fx.graph_pairs(spark, sf_dir)).groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_set("v")), lambda v: v.cast("string")), ",").alias("neighbours"))
+
+
+@query("j6_neighbour_lookup")
+def _(spark, sf_dir):
+    p, d = fx.graph_pairs(spark, sf_dir), graph.degree(fx.graph_pairs(spark, sf_dir))
+    return p.join(d.withColumnsRenamed({"node": "u", "degree": "degree_u"}), "u").join(d.withColumnsRenamed({"node": "v", "degree": "degree_v"}), "v").select("id", "u", "v", "degree_u", "degree_v")
+
+
+@query("j7_second_order")
+def _(spark, sf_dir):
+    return graph.second_order(fx.graph_pairs(spark, sf_dir))
+
+
+@query("j8_common_neighbours")
+def _(spark, sf_dir):
+    return graph.common_neighbours(fx.graph_pairs(spark, sf_dir))
+
+
+@query("a4_document_frequency")
+def _(spark, sf_dir):
+    t = fx.tokenized(spark, sf_dir)
+    q = t.select(F.col("question1").alias("q"), F.col("s1").alias("s")).union(t.select("question2", "s2")).dropDuplicates(["q"])
+    return q.select(F.explode("s").alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter("df >= 3")
+
+
+@query("a5_correlation")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir)
+    return six(x.agg(*[F.corr("y", f).alias(f) for f in FEATURES]))
+
+
+@query("a6_weighted_ctr")
+def _(spark, sf_dir):
+    return six(fx.scored(spark, sf_dir).agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("ctr")))
+
+
+@query("a7_describe")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in FEATURES])).alias("s")).select("s.*")
+    return six(x.groupBy("feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most")))
+
+
+@query("a8_variance")
+def _(spark, sf_dir):
+    return six(featured(spark, sf_dir).agg(*[F.var_pop(f).alias(f) for f in FEATURES]))
+
+
+@query("a10_score_share")
+def _(spark, sf_dir):
+    s = fx.scored(spark, sf_dir).groupBy("y").agg(F.sum("p").alias("s"))
+    return six(s.select("y", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("share")))
+
+
+@query("a11_fold_mean_logit")
+def _(spark, sf_dir):
+    s = metrics.stratified_folds(fx.scored(spark, sf_dir))
+    return six(s.groupBy("fold").agg(F.avg(F.log(F.col("p") / (1 - F.col("p")))).alias("logit")))
+
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    """(qid, pos, lower, ent_type) by a fixed rule on the words' form."""
+    t = fx.tokenized(spark, sf_dir)
+    x = t.select(F.col("qid1").alias("qid"), F.posexplode("w1").alias("pos", "text"))
+    big = F.col("text").rlike("^[A-Z]")
+    kind = F.when(F.col("text").rlike("^[0-9]+$"), "CARDINAL").when(big & (F.length("text") % 3 == 0), "PERSON").when(big & (F.length("text") % 3 == 1), "GPE").otherwise("")
+    return x.select("qid", "pos", F.lower("text").alias("lower"), kind.alias("ent_type"))
+
+
+def _votes(spark, sf_dir) -> DataFrame:
+    v = _tagged(spark, sf_dir).groupBy(F.col("lower").alias("word"), "ent_type").agg(F.count("*").alias("n"))
+    return v.select("word", "ent_type", F.round(F.col("n") - F.when(F.col("ent_type") == "", 0.1).otherwise(0.0), 6).alias("votes"))
+
+
+REGISTERED["a9_entity_votes"] = _votes
+
+
+@query("w3_best_types")
+def _(spark, sf_dir):
+    v = _votes(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("votes"), "ent_type")))
+    return v.filter("rank = 1 OR rank = 2 AND votes > 3").select("word", "rank", "ent_type")
+
+
+@query("j10_token_types")
+def _(spark, sf_dir):
+    v = _votes(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("votes"), "ent_type"))).filter("rank = 1 AND ent_type <> ''")
+    t = _tagged(spark, sf_dir).select("qid", "pos", F.col("lower").alias("word"))
+    return t.join(v.select("word", F.col("ent_type").alias("best")), "word", "left").select("qid", "pos", "word", F.coalesce("best", F.lit("")).alias("ent_type"))
+
+
+@query("a13_first_per_qid")
+def _(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    both = p.select("qid1", "question1", F.lit(1).alias("side")).union(p.select("qid2", "question2", F.lit(2).alias("side"))).toDF("qid", "question", "side")
+    return both.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("side", "question"))).filter("r = 1").select("qid", "question")
+
+
+@query("w1_stratified_folds")
+def _(spark, sf_dir):
+    return metrics.stratified_folds(fx.scored(spark, sf_dir)).groupBy("y", "fold").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+
+
+@query("w4_id_gaps")
+def _(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("event_id").filter("event_id % 17 <> 0")
+    return e.withColumn("previous", F.lag("event_id", 1, -1).over(Window.orderBy("event_id"))).filter("event_id - previous > 1").select("event_id", "previous")
+
+
+@query("w5_false_positives")
+def _(spark, sf_dir):
+    return metrics.top_errors(fx.scored(spark, sf_dir), 0)
+
+
+@query("w5_false_negatives")
+def _(spark, sf_dir):
+    return metrics.top_errors(fx.scored(spark, sf_dir), 1)
+
+
+@query("w7_holdout")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).filter(F.pmod(F.xxhash64(F.col("id") + 31), F.lit(100)) == 0).select("id")
+
+
+@query("u1_union_all")
+def _(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    return p.select("id", "question1").unionByName(p.select("id", "is_duplicate"), allowMissingColumns=True)
+
+
+@query("u2_union_distinct")
+def _(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    return p.select(F.col("question1").alias("question")).union(p.select("question2")).distinct()
+
+
+@query("c1_clean")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select("id", cleaning.clean(F.col("question1")).alias("cleaned"))
+
+
+@query("c7_collapse_spaces")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select("id", cleaning.collapsed(F.col("question1")).alias("cleaned"))
+
+
+@query("e3_alignment_distance")
+def _(spark, sf_dir):
+    short = fx.pairs(spark, sf_dir)
+    return six(short.select("id", fuzzy.batched(fuzzy.alignment_distance, "double")("question1", "question2").alias("value")))
+
+
+def _counts(spark, sf_dir, n: int):
+    return ngrams.grams(fx.pairs(spark, sf_dir), n)
+
+
+def _ngram_jaccard(n: int, spark, sf_dir) -> DataFrame:
+    c = _counts(spark, sf_dir, n)
+    return six(ngrams.jaccards(c, ngrams.frequent(c, 5)))
+
+
+for _n, _name in ((1, "n5_n6_unigram_jaccard"), (2, "n5_n6_bigram_jaccard"), (3, "n5_n6_trigram_jaccard")):
+    REGISTERED[_name] = partial(_ngram_jaccard, _n)
+
+
+@query("n8_n9_trigram_tfidf")
+def _(spark, sf_dir):
+    c = _counts(spark, sf_dir, 3)
+    return six(ngrams.tfidf_distances(c, ngrams.frequent(c, 5), 2 * fx.pairs(spark, sf_dir).count()))
+
+
+@query("n2_n3_word_combine")
+def _(spark, sf_dir):
+    return fx.tokenized(spark, sf_dir).select("id", F.size(F.array_union(F.array_except("s1", "s2"), F.array_except("s2", "s1"))).cast("long").alias("diff_terms"), F.size(F.array_intersect("s1", "s2")).cast("long").alias("shared_terms"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+
+
+@query("d2_distances")
+def _(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return six(_vectors(spark, sf_dir).select("vec_id", (1 - vectors.dot(a, b) / (vectors.norm(a) * vectors.norm(b))).alias("cosine"), vectors.minkowski(a, b, 1).alias("cityblock"), vectors.minkowski(a, b, 2).alias("euclidean"), vectors.minkowski(a, b, 3).alias("minkowski"), vectors.canberra(a, b).alias("canberra"), vectors.braycurtis(a, b).alias("braycurtis")))
+
+
+@query("d4_moments")
+def _(spark, sf_dir):
+    return six(_vectors(spark, sf_dir).select("vec_id", vectors.skewness(F.col("a")).alias("skew"), vectors.kurtosis(F.col("a")).alias("kurtosis")))
+
+
+@query("d7_normalized")
+def _(spark, sf_dir):
+    return six(_vectors(spark, sf_dir).select("vec_id", vectors.norm(vectors.normalized(F.col("a"))).alias("norm"), vectors.normalized(F.col("a"))[0].alias("first")))
+
+
+@query("v3_squared_distance")
+def _(spark, sf_dir):
+    d = vectors.total(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)))
+    return six(_vectors(spark, sf_dir).select("vec_id", d.alias("value")))
+
+
+@query("v5_symmetrized")
+def _(spark, sf_dir):
+    s = vectors.symmetrized(F.col("a"), F.col("b"))
+    return six(_vectors(spark, sf_dir).select("vec_id", F.size(s).cast("long").alias("size"), vectors.total(s).alias("total")))
+
+
+@query("m1_logit")
+def _(spark, sf_dir):
+    return six(fx.scored(spark, sf_dir).select("id", F.log(F.col("p") / (1 - F.col("p"))).alias("logit"), (0.5 * F.col("p") / (0.5 * F.col("p") + 2 * (1 - F.col("p")))).alias("rescaled")))
+
+
+@query("q1_log_loss")
+def _(spark, sf_dir):
+    s = fx.scored(spark, sf_dir)
+    return six(metrics.log_loss(s).withColumn("kind", F.lit("plain")).unionByName(metrics.log_loss(s, "w").withColumn("kind", F.lit("weighted"))))
+
+
+@query("q2_auc")
+def _(spark, sf_dir):
+    s = fx.scored(spark, sf_dir)
+    return six(metrics.auc(s).withColumn("kind", F.lit("plain")).unionByName(metrics.auc(s, "w").withColumn("kind", F.lit("weighted"))))
+
+
+@query("q3_roc_curve")
+def _(spark, sf_dir):
+    return six(metrics.roc_curve(fx.scored(spark, sf_dir)))
+
+
+@query("q4_reliability")
+def _(spark, sf_dir):
+    return six(metrics.reliability(fx.scored(spark, sf_dir), 20, weighted=True))
+
+
+@query("k3_out_of_fold")
+def _(spark, sf_dir):
+    return models.out_of_fold(featured(spark, sf_dir), FEATURES)
+
+
+@query("k4_elastic_net")
+def _(spark, sf_dir):
+    return models.out_of_fold(featured(spark, sf_dir), FEATURES, folds=2, l1=0.5, weighted=True)
+
+
+@query("k8_boosted_trees")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir)
+    return models.predictions(models.boosted_trees(x, FEATURES), x, FEATURES)
+
+
+@query("k10_feature_scores")
+def _(spark, sf_dir):
+    return models.feature_scores(spark, models.boosted_trees(featured(spark, sf_dir), FEATURES), FEATURES)
 
 
 def queries() -> dict:
-    return {}
+    return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in sql.statements().items() if k in REGISTERED}
