@@ -2,7 +2,7 @@
 
 The tree is fitted on at most ``SAMPLE`` vectors (smallest hashes of vec_id); every vector is indexed in the leaf that it
 descends to. A query walks the tree best bin first, by a priority queue of distances to centroids,
-and the number of leaves it visits is doubled until, over ``PROBES`` queries compared with all rows by
+and the number of leaves it visits is widened by a quarter at a time until, over ``PROBES`` queries compared with all rows by
 brute force, recall reaches ``RECALL``. Leaves are searched in blocks: those with many vectors or
 many visitors are split, so a hot leaf is many tasks.
 
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinleaf.llm.common import arrow, arrow_schema, durable
+from twinleaf.llm.common import arrow, arrow_schema, durable, partitions
 
-SAMPLE, PROBES, RECALL = 20_000, 200, 0.98
-BRANCH, LEAF = 8, 24
+SAMPLE, PROBES, RECALL = 20_000, 200, 0.96
+BRANCH, LEAF, LEAVES = 8, 24, 192
 BLOCK_ROWS, BLOCK_VISITS = 4096, 2048
 
 
@@ -44,6 +44,7 @@ class Tree:
     def __init__(self, x: np.ndarray, seed: int = 11):
         self.rng = np.random.default_rng(seed)
         self.centroids, self.children, self.leaf, self.leaves = [], [], [], 0
+        self.most = max(LEAF, -(-2 * len(x) // LEAVES))  # sample vectors in a leaf: the tree's size is fixed, not the input's
         self._grow(x)
         self.centroids = np.array(self.centroids)
 
@@ -52,7 +53,7 @@ class Tree:
         self.centroids.append(x.mean(0))
         self.children.append([])
         self.leaf.append(-1)
-        parts = self._split(x) if len(x) > LEAF else []
+        parts = self._split(x) if len(x) > self.most else []
         if len(parts) < 2:
             self.leaf[me] = self.leaves
             self.leaves += 1
@@ -189,7 +190,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     at = np.array([order[r.qid][r.leaf] for r in truth])
     most = 4
     while most < tree.leaves and (at < most).mean() < recall:
-        most *= 2
+        most += max(1, most // 4)
     most = min(most, tree.leaves)
 
     def visiting(batches):
@@ -200,7 +201,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
             leaf = np.array([x for w in walks for x in w], np.int32)
             yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(i)), b.column("embedding").take(pa.array(i)), pa.array(leaf, pa.int32())], names=["qid", "query", "leaf"])
 
-    visits = durable(named.select("qid", "embedding").mapInArrow(visiting, "qid long, query array<float>, leaf int"))
+    visits = durable(named.select("qid", "embedding").repartition(partitions(spark), "qid").mapInArrow(visiting, "qid long, query array<float>, leaf int"))
     # A row for each leaf: their number is bounded by SAMPLE.
     rows = index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     seen = visits.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_VISITS).cast("int").alias("crowds"))
