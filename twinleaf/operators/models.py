@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,3 +45,30 @@ def feature_scores(spark, model, features: list[str]) -> DataFrame:
         splits[int(word.split()[0])] += 1
     gains = model.featureImportances.toArray()
     return spark.createDataFrame([(f, float(gains[i]), splits[i] // 2) for i, f in enumerate(features)], "feature string, gain double, splits long")
+
+
+def platt(scored: DataFrame) -> DataFrame:
+    """Scores mapped through a logistic curve fitted on them."""
+    model = LogisticRegression(featuresCol="x", labelCol="y", maxIter=50).fit(assembled(scored, ["p"]))
+    return model.transform(assembled(scored, ["p"])).select("id", "y", vector_to_array("probability")[1].alias("p"))
+
+
+def learning_curve(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """Loss after each round; as many rows as rounds."""
+    losses = model.evaluateEachIteration(assembled(df, features))
+    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "round int, loss double")
+
+
+def svd_projection(df: DataFrame, features: list[str], k: int) -> DataFrame:
+    """Rows in the first ``k`` right singular directions of the scaled features; signs are arbitrary."""
+    scaled = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(assembled(df, features))
+    data = scaled.transform(assembled(df, features))
+    return PCA(k=k, inputCol="z", outputCol="u").fit(data).transform(data).select("id", vector_to_array("u").alias("factors"))
+
+
+def feed_forward(df: DataFrame, features: list[str], hidden: tuple[int, ...] = (8,)) -> DataFrame:
+    """Probabilities of a small feed-forward net on scaled features."""
+    data = assembled(df, features)
+    data = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(data).transform(data)
+    net = MultilayerPerceptronClassifier(featuresCol="z", labelCol="y", layers=[len(features), *hidden, 2], maxIter=40, seed=31)
+    return net.fit(data).transform(data).select("id", "y", vector_to_array("probability")[1].alias("p"))

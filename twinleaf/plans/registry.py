@@ -408,6 +408,120 @@ def _(spark, sf_dir):
     return models.feature_scores(spark, models.boosted_trees(featured(spark, sf_dir), FEATURES), FEATURES)
 
 
+@query("p1_projection")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select("id", "qid1", "qid2", "is_duplicate")
+
+
+@query("p2_drop")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).drop("question1", "question2", "qid2")
+
+
+@query("p6_label_comprehension")
+def _(spark, sf_dir):
+    return fx.scored(spark, sf_dir).filter("y = 0").select("id", "p")
+
+
+@query("p8_gram_length_filter")
+def _(spark, sf_dir):
+    both = _counts(spark, sf_dir, 2).unionByName(_counts(spark, sf_dir, 3))
+    return ngrams.frequent(both, 5).filter(F.length("gram") == 2)
+
+
+@query("p13_row_number_key")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("row"))
+
+
+@query("j5_d1_sentence_vectors")
+def _(spark, sf_dir):
+    """Sum of the known words' vectors, normed; null without any."""
+    t = fx.tokenized(spark, sf_dir)
+    words = t.select(F.explode(F.array_union("q1w", "q2w")).alias("word")).distinct()
+    ranked = words.withColumn("r", F.row_number().over(Window.orderBy("word")) - 1).filter("r % 10 <> 9")
+    e = fx.table(spark, sf_dir, "embeddings")
+    vec = ranked.withColumn("vec_id", F.col("r") % 500).join(e.select("vec_id", "embedding"), "vec_id").select("word", F.posexplode("embedding").alias("k", "x"))
+    sums = t.select("id", F.explode("q1w").alias("word")).join(vec, "word").groupBy("id", "k").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("x").alias("total"))
+    return six(t.select("id").join(norms, "id", "left").select("id", "norm", F.try_divide("total", "norm").alias("unit_total")))
+
+
+@query("d6_missing_defaults")
+def _(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 3 > 0, F.col("a")).alias("a"), "b")
+    d = vectors.minkowski(F.col("a"), F.col("b"), 2)
+    return six(v.select("vec_id", F.when(F.col("a").isNull(), -1.0).otherwise(d).alias("euclidean"), F.when(F.col("a").isNull(), 0.0).otherwise(vectors.total(F.col("a"))).alias("total")))
+
+
+@query("j9_prediction_text")
+def _(spark, sf_dir):
+    top = metrics.top_errors(fx.scored(spark, sf_dir), 0, 20)
+    return top.join(fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("length")), "id").select("id", "p", "length")
+
+
+@query("a12_row_sums")
+def _(spark, sf_dir):
+    return _counts(spark, sf_dir, 2).groupBy("id", "side").agg(F.sum("count").alias("grams"))
+
+
+@query("u3_vertical_stack")
+def _(spark, sf_dir):
+    t = fx.tokenized(spark, sf_dir)
+    return t.select("id", F.lit(1).alias("side"), F.size("s1").cast("long").alias("terms")).unionByName(t.select("id", F.lit(2).alias("side"), F.size("s2").cast("long").alias("terms")))
+
+
+@query("u4_horizontal_stack")
+def _(spark, sf_dir):
+    return six(_vectors(spark, sf_dir).select("vec_id", F.size(F.concat("a", "b")).cast("long").alias("size"), vectors.total(F.concat("a", "b")).alias("total")))
+
+
+@query("v4_euclid_cosine")
+def _(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return six(_vectors(spark, sf_dir).select("vec_id", vectors.minkowski(a, b, 2).alias("euclidean"), (vectors.dot(a, b) / (vectors.norm(a) * vectors.norm(b) + 1e-9)).alias("cosine")))
+
+
+@query("n7_tfidf_norms")
+def _(spark, sf_dir):
+    c = _counts(spark, sf_dir, 3)
+    n = 2 * fx.pairs(spark, sf_dir).count()
+    x = c.join(ngrams.frequent(c, 5), "gram").withColumn("x", F.col("count") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    return six(x.groupBy("id", "side").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm")))
+
+
+@query("q6_feature_quality")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir)
+    out = None
+    for f in FEATURES:
+        one = x.select("y", F.col(f).alias("p"))
+        row = metrics.auc(one).join(F.broadcast(one.agg(F.corr("y", "p").alias("corr")))).select(F.lit(f).alias("feature"), "auc", "corr")
+        out = row if out is None else out.unionByName(row)
+    return six(out)
+
+
+@query("q5_platt_scaling")
+def _(spark, sf_dir):
+    return models.platt(fx.scored(spark, sf_dir))
+
+
+@query("q7_learning_curve")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir)
+    return models.learning_curve(models.boosted_trees(x, FEATURES), x, FEATURES)
+
+
+@query("v1_v2_truncated_svd")
+def _(spark, sf_dir):
+    return models.svd_projection(featured(spark, sf_dir), FEATURES, 3)
+
+
+@query("k6_feed_forward")
+def _(spark, sf_dir):
+    return models.feed_forward(featured(spark, sf_dir), FEATURES)
+
+
 def queries() -> dict:
     return dict(REGISTERED)
 

@@ -179,6 +179,27 @@ SELECT 'plain' AS kind, round(avg(h), 6)::DOUBLE AS auc FROM x UNION ALL SELECT
         "q3_roc_curve": f"WITH {SCORED}, t AS (SELECT DISTINCT p FROM scored) SELECT t.p, round(sum((s.p >= t.p AND y = 1)::INT) / sum((y = 1)::INT), 6)::DOUBLE AS tpr, round(sum((s.p >= t.p AND y = 0)::INT) / sum((y = 0)::INT), 6)::DOUBLE AS fpr FROM t, scored s GROUP BY t.p",
         "q4_reliability": f"WITH {SCORED}, r AS (SELECT *, ((row_number() OVER (ORDER BY p, id) - 1) // ((SELECT count(*) FROM scored) // 20 + 1))::BIGINT AS bin FROM scored) SELECT bin, round(sum(p * w) / sum(w), 6) AS mean_p, round(sum(y * w) / sum(w), 6) AS mean_y, count(*) AS rows FROM r GROUP BY bin",
     }
+    auc = "(SELECT avg(CASE WHEN a.v > b.v THEN 1 WHEN a.v = b.v THEN 0.5 ELSE 0 END) FROM (SELECT {0} AS v FROM feat WHERE y = 1) a, (SELECT {0} AS v FROM feat WHERE y = 0) b)"
+    out |= {
+        "p1_projection": p + "id, qid1, qid2, is_duplicate FROM pairs",
+        "p2_drop": p + "id, qid1, is_duplicate FROM pairs",
+        "p6_label_comprehension": f"WITH {SCORED} SELECT id, p FROM scored WHERE y = 0",
+        "p8_gram_length_filter": f"WITH {_grams(2)} SELECT gram, df FROM voc",
+        "p13_row_number_key": p + "id, (row_number() OVER (ORDER BY id) - 1)::INT AS row FROM pairs",
+        "j5_d1_sentence_vectors": f"""WITH {TOK}, wd AS (SELECT DISTINCT unnest(list_concat(q1w, q2w)) AS word FROM tok), rk AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS r FROM wd),
+vc AS (SELECT word, embedding FROM rk JOIN embeddings ON vec_id = r % 500 WHERE r % 10 <> 9),
+ex AS (SELECT id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM (SELECT id, unnest(q1w) AS word FROM tok) JOIN vc USING (word)),
+sm AS (SELECT id, k, sum(x) AS x FROM ex GROUP BY id, k), nm AS (SELECT id, sqrt(sum(x * x)) AS norm, sum(x) AS total FROM sm GROUP BY id)
+SELECT tok.id, round(norm, 6) AS norm, round(total / nullif(norm, 0), 6) AS unit_total FROM tok LEFT JOIN nm USING (id)""",
+        "d6_missing_defaults": f"WITH {VECS} SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1.0::DOUBLE ELSE round(sqrt(list_sum(list_transform(d, lambda x: x * x))), 6) END AS euclidean, CASE WHEN vec_id % 3 = 0 THEN 0.0::DOUBLE ELSE round(list_sum(a), 6) END AS total FROM z",
+        "j9_prediction_text": f"WITH {SCORED}, t AS (SELECT id, p FROM scored WHERE y = 0 ORDER BY p DESC, id DESC LIMIT 20) SELECT t.id, t.p, length(text) AS length FROM t JOIN documents ON doc_id = t.id",
+        "a12_row_sums": f"WITH {_grams(2)} SELECT id, side, sum(c)::BIGINT AS grams FROM g GROUP BY id, side",
+        "u3_vertical_stack": f"WITH {TOK} SELECT id, 1 AS side, len(s1) AS terms FROM tok UNION ALL SELECT id, 2, len(s2) FROM tok",
+        "u4_horizontal_stack": f"WITH {VECS} SELECT vec_id, len(list_concat(a, b)) AS size, round(list_sum(list_concat(a, b)), 6) AS total FROM v",
+        "v4_euclid_cosine": f"WITH {VECS} SELECT vec_id, round(sqrt(list_sum(list_transform(d, lambda x: x * x))), 6) AS euclidean, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-9), 6) AS cosine FROM z",
+        "n7_tfidf_norms": f"WITH {_grams(3)}, n AS (SELECT 2 * count(*) AS n FROM pairs) SELECT id, side, round(sqrt(sum(pow(c * (ln((1 + n.n) / (1 + df)) + 1), 2))), 6) AS norm FROM g JOIN voc USING (gram), n GROUP BY id, side",
+        "q6_feature_quality": f"WITH {feat} " + " UNION ALL ".join(f"SELECT '{k}' AS feature, round({auc.format(k)}, 6)::DOUBLE AS auc, round(corr(y, {k}), 6) AS corr FROM feat" for k in FIVE),
+    }
     for n, name in ((1, "n5_n6_unigram_jaccard"), (2, "n5_n6_bigram_jaccard"), (3, "n5_n6_trigram_jaccard")):
         out[name] = f"WITH {_grams(n)} SELECT id, round(sum(least(a, b)) / sum(a + b), 6)::DOUBLE AS all_jaccard, round(sum(least(a, b)) / sum(greatest(a, b)), 6)::DOUBLE AS jaccard_max FROM ab GROUP BY id"
     return out
