@@ -33,8 +33,13 @@ for _name in ("b1_word_match", "b2_jaccard", "b3_common_words", "b4_total_unique
     REGISTERED[_name] = partial(_feature, _name)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Costly functions over few bytes: a task for each core, whatever the input's partitions."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "id")
+
+
 def _fuzzy(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.pairs(spark, sf_dir).select("id", fuzzy.batched(fuzzy.RATIOS[name], "int")("question1", "question2").alias("value"))
+    return _spread(fx.pairs(spark, sf_dir)).select("id", fuzzy.batched(fuzzy.RATIOS[name], "int")("question1", "question2").alias("value"))
 
 
 for _name in fuzzy.RATIOS:
@@ -299,8 +304,7 @@ def _(spark, sf_dir):
 
 @query("e3_alignment_distance")
 def _(spark, sf_dir):
-    short = fx.pairs(spark, sf_dir)
-    return six(short.select("id", fuzzy.batched(fuzzy.alignment_distance, "double")("question1", "question2").alias("value")))
+    return six(_spread(fx.pairs(spark, sf_dir)).select("id", fuzzy.batched(fuzzy.alignment_distance, "double")("question1", "question2").alias("value")))
 
 
 def _counts(spark, sf_dir, n: int):
