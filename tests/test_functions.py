@@ -42,3 +42,18 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [(1, 1, 2, 'a "b", c\nd', None, 0)]
     fixtures.write_pairs_csv(fixtures.fill_texts(spark.createDataFrame(rows, fixtures.TRAIN_SCHEMA)), str(tmp_path / "x"))
     assert [tuple(r) for r in fixtures.read_pairs_csv(spark, str(tmp_path / "x")).collect()] == [(1, 1, 2, 'a "b", c\nd', "nan", 0)]
+
+
+def test_alignment_against_pairs():
+    def plain(a, b):
+        row = [(j, -j) for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            new = [(i, -i)]
+            for j, y in enumerate(b, 1):
+                cost, length = min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1]))
+                new.append((cost, length - 1))
+            row = new
+        return row[-1][0] / -row[-1][1] if row[-1][1] else 0.0
+
+    for a, b in [("kitten", "sitting"), ("abc", ""), ("", "x"), ("aabba", "bab"), ("naïve", "naive"), ("abcdef", "fedcba")]:
+        assert fuzzy.alignment_distance(a, b) == pytest.approx(plain(a, b))

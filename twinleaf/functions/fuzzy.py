@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -61,15 +62,21 @@ def wratio(a: str, b: str) -> int:
 
 
 def alignment_distance(a: str, b: str) -> float:
-    """Edit distance by the length of the longest alignment among those of least cost."""
-    row = [(j, -j) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        new = [(i, -i)]
-        for j, y in enumerate(b, 1):
-            cost, length = min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1]))
-            new.append((cost, length - 1))
-        row = new
-    return row[-1][0] / -row[-1][1] if row[-1][1] else 0.0
+    """Edit distance by the length of the longest alignment among those of least cost.
+
+    Cost and length share one integer, ``cost * unit - length``, so a row is a few array operations.
+    """
+    unit, gap = len(a) + len(b) + 1, len(a) + len(b)
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    steps = np.arange(len(y) + 1, dtype=np.int64) * gap
+    row = steps.copy()
+    for c in x:
+        new = row + gap
+        new[1:] = np.minimum(new[1:], row[:-1] + (y != c) * unit - 1)
+        row = np.minimum.accumulate(new - steps) + steps
+    cost = -(-int(row[-1]) // unit)
+    length = cost * unit - int(row[-1])
+    return cost / length if length else 0.0
 
 
 RATIOS = {

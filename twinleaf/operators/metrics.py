@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from twinleaf.operators import ordering
+
 
 def log_loss(df: DataFrame, weight: str | None = None) -> DataFrame:
     p = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
@@ -18,8 +20,7 @@ def _cumulated(df: DataFrame, weight: str | None) -> DataFrame:
     """One row for each score, from the highest, with weights of both classes at and above it."""
     w = F.col(weight) if weight else F.lit(1.0)
     ties = df.groupBy("p").agg(F.sum(w * F.col("y")).alias("pos"), F.sum(w * (1 - F.col("y"))).alias("neg"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores only
-    return ties.select("p", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    return ordering.cumulated(ties.withColumn("down", -F.col("p")), ["down"], {"tp": "pos", "fp": "neg"}).drop("down")
 
 
 def roc_curve(df: DataFrame, weight: str | None = None) -> DataFrame:
@@ -36,9 +37,8 @@ def auc(df: DataFrame, weight: str | None = None) -> DataFrame:
 def reliability(df: DataFrame, bins: int = 20, weighted: bool = False) -> DataFrame:
     """Mean score and label in runs of floor(n / bins) + 1 rows by score; empty trailing bins don't appear."""
     n = df.count() // bins
-    row = F.row_number().over(Window.orderBy("p", "id"))
     w = F.col("w") if weighted else F.lit(1.0)
-    b = df.withColumn("bin", F.floor((row - 1) / (n + 1)))
+    b = ordering.numbered(df, ["p", "id"], "row").withColumn("bin", F.floor(F.col("row") / (n + 1)))
     return b.groupBy("bin").agg((F.sum(w * F.col("p")) / F.sum(w)).alias("mean_p"), (F.sum(w * F.col("y")) / F.sum(w)).alias("mean_y"), F.count("*").alias("rows"))
 
 
@@ -49,4 +49,10 @@ def top_errors(df: DataFrame, label: int, most: int = 100) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, folds: int = 10) -> DataFrame:
-    return df.withColumn("fold", F.ntile(folds).over(Window.partitionBy("y").orderBy("id")) - 1)
+    """Runs of nearly equal length by id within each label, the longer ones first."""
+    labels = df.groupBy("y").agg(F.count("*").alias("of")).withColumn("start", F.coalesce(F.sum("of").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    r = ordering.numbered(df, ["y", "id"], "row").join(F.broadcast(labels), "y").withColumn("row", F.col("row") - F.col("start"))  # a row for each label
+    short, longer = F.floor(F.col("of") / folds), F.col("of") % folds
+    head = longer * (short + 1)
+    fold = F.when(F.col("row") < head, F.floor(F.col("row") / (short + 1))).otherwise(longer + F.floor(F.try_divide(F.col("row") - head, short)))
+    return r.withColumn("fold", fold.cast("int")).drop("row", "of", "start")

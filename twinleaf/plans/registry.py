@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twinleaf.functions import cleaning, fuzzy, lexical, vectors
-from twinleaf.operators import assemble, graph, metrics, models, ngrams
+from twinleaf.operators import assemble, graph, metrics, models, ngrams, ordering
 from twinleaf.plans import sql
 from twinleaf.sources import fixtures as fx
 
@@ -251,7 +251,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
     both = p.select("qid1", "question1", F.lit(1).alias("side")).union(p.select("qid2", "question2", F.lit(2).alias("side"))).toDF("qid", "question", "side")
-    return both.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("side", "question"))).filter("r = 1").select("qid", "question")
+    return both.groupBy("qid").agg(F.min(F.struct("side", "question")).alias("first")).select("qid", "first.question")
 
 
 @query("w1_stratified_folds")
@@ -261,8 +261,8 @@ def _(spark, sf_dir):
 
 @query("w4_id_gaps")
 def _(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").select("event_id").filter("event_id % 17 <> 0")
-    return e.withColumn("previous", F.lag("event_id", 1, -1).over(Window.orderBy("event_id"))).filter("event_id - previous > 1").select("event_id", "previous")
+    keys = fx.table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    return ordering.previous(keys, "l_orderkey", "previous", -1).filter("l_orderkey - previous > 1")
 
 
 @query("w5_false_positives")
@@ -435,7 +435,7 @@ def _(spark, sf_dir):
 
 @query("p13_row_number_key")
 def _(spark, sf_dir):
-    return fx.pairs(spark, sf_dir).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("row"))
+    return ordering.numbered(fx.pairs(spark, sf_dir).select("id"), ["id"], "row")
 
 
 @query("j5_d1_sentence_vectors")
@@ -443,7 +443,7 @@ def _(spark, sf_dir):
     """Sum of the known words' vectors, normed; null without any."""
     t = fx.tokenized(spark, sf_dir)
     words = t.select(F.explode(F.array_union("q1w", "q2w")).alias("word")).distinct()
-    ranked = words.withColumn("r", F.row_number().over(Window.orderBy("word")) - 1).filter("r % 10 <> 9")
+    ranked = ordering.numbered(words.filter(F.col("word").rlike("^[a-z]+$")), ["word"], "r")
     e = fx.table(spark, sf_dir, "embeddings")
     vec = ranked.withColumn("vec_id", F.col("r") % 500).join(e.select("vec_id", "embedding"), "vec_id").select("word", F.posexplode("embedding").alias("k", "x"))
     sums = t.select("id", F.explode("q1w").alias("word")).join(vec, "word").groupBy("id", "k").agg(F.sum(F.col("x").cast("double")).alias("x"))

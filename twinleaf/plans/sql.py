@@ -12,8 +12,8 @@ def _quoted(s: str) -> str:
 STOPS = "[" + ", ".join(map(_quoted, STOP_WORDS)) + "]"
 PAIRS = r"""pairs AS (
   SELECT a.conv_id * 100 + a.turn AS id, a.conv_id * 100 + a.turn AS qid1, a.conv_id * 100 + a.turn + 1 AS qid2,
-    substr(regexp_replace(a.text, '[^ -~]+', ' ', 'g'), 1, 200) AS question1,
-    substr(regexp_replace(b.text, '[^ -~]+', ' ', 'g'), 1, 200) AS question2,
+    regexp_replace(a.text, '[^ -~]+', ' ', 'g') AS question1,
+    regexp_replace(b.text, '[^ -~]+', ' ', 'g') AS question2,
     (a.role = 'user')::INT AS is_duplicate
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 TOK = PAIRS + rf""", tok0 AS (
@@ -29,7 +29,7 @@ GRAPH = """gp AS (
 e AS (SELECT u, v FROM gp UNION SELECT v, u FROM gp),
 deg AS (SELECT u AS node, count(*) AS degree FROM e GROUP BY u)"""
 SCORED = r"""words AS (
-  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(substr(text, 1, 200), '[^ -~]+', ' ', 'g'), ' +'), lambda w: w <> '')) AS s FROM documents),
+  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(text, '[^ -~]+', ' ', 'g'), ' +'), lambda w: w <> '')) AS s FROM documents),
 scored AS (
   SELECT a.doc_id AS id, quality::INT AS y,
     round(least(greatest(len(list_intersect(a.s, b.s)) / greatest(len(list_distinct(list_concat(a.s, b.s))), 1), 0.01), 0.99), 6)::DOUBLE AS p,
@@ -148,7 +148,7 @@ SELECT id, u, v, (SELECT count(*) FROM hop p JOIN hop q ON p.x = q.x WHERE p.u =
         "j10_token_types": f"WITH {TAGGED} SELECT t.qid, t.pos, t.word, coalesce(r.ent_type, '') AS ent_type FROM tagged t LEFT JOIN ranked r ON r.word = t.word AND r.rank = 1",
         "a13_first_per_qid": f"WITH {PAIRS}, b AS (SELECT qid1 AS qid, question1 AS question, 1 AS side FROM pairs UNION ALL SELECT qid2, question2, 2 FROM pairs) SELECT qid, question FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY side, question) = 1",
         "w1_stratified_folds": f"WITH {SCORED}, f AS (SELECT *, ntile(10) OVER (PARTITION BY y ORDER BY id) - 1 AS fold FROM scored) SELECT y, fold::INT AS fold, count(*) AS rows, sum(id)::BIGINT AS ids FROM f GROUP BY 1, 2",
-        "w4_id_gaps": "SELECT event_id, previous FROM (SELECT event_id, lag(event_id, 1, -1) OVER (ORDER BY event_id) AS previous FROM events WHERE event_id % 17 <> 0) WHERE event_id - previous > 1",
+        "w4_id_gaps": "SELECT l_orderkey, previous FROM (SELECT l_orderkey, lag(l_orderkey, 1, -1) OVER (ORDER BY l_orderkey) AS previous FROM (SELECT DISTINCT l_orderkey FROM lineitem)) WHERE l_orderkey - previous > 1",
         "w5_false_positives": f"WITH {SCORED} SELECT id, y, p FROM scored WHERE y = 0 ORDER BY p DESC, id DESC LIMIT 100",
         "w5_false_negatives": f"WITH {SCORED} SELECT id, y, p FROM scored WHERE y = 1 ORDER BY p, id LIMIT 100",
         "u1_union_all": p + "id, question1, NULL::INT AS is_duplicate FROM pairs UNION ALL SELECT id, NULL, is_duplicate FROM pairs",
@@ -185,9 +185,9 @@ SELECT 'plain' AS kind, round(avg(h), 6)::DOUBLE AS auc FROM x UNION ALL SELECT
         "p2_drop": p + "id, qid1, is_duplicate FROM pairs",
         "p6_label_comprehension": f"WITH {SCORED} SELECT id, p FROM scored WHERE y = 0",
         "p8_gram_length_filter": f"WITH {_grams(2)} SELECT gram, df FROM voc",
-        "p13_row_number_key": p + "id, (row_number() OVER (ORDER BY id) - 1)::INT AS row FROM pairs",
-        "j5_d1_sentence_vectors": f"""WITH {TOK}, wd AS (SELECT DISTINCT unnest(list_concat(q1w, q2w)) AS word FROM tok), rk AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS r FROM wd),
-vc AS (SELECT word, embedding FROM rk JOIN embeddings ON vec_id = r % 500 WHERE r % 10 <> 9),
+        "p13_row_number_key": p + "id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS row FROM pairs",
+        "j5_d1_sentence_vectors": f"""WITH {TOK}, wd AS (SELECT DISTINCT unnest(list_concat(q1w, q2w)) AS word FROM tok), rk AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS r FROM wd WHERE regexp_matches(word, '^[a-z]+$')),
+vc AS (SELECT word, embedding FROM rk JOIN embeddings ON vec_id = r % 500),
 ex AS (SELECT id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM (SELECT id, unnest(q1w) AS word FROM tok) JOIN vc USING (word)),
 sm AS (SELECT id, k, sum(x) AS x FROM ex GROUP BY id, k), nm AS (SELECT id, sqrt(sum(x * x)) AS norm, sum(x) AS total FROM sm GROUP BY id)
 SELECT tok.id, round(norm, 6) AS norm, round(total / nullif(norm, 0), 6) AS unit_total FROM tok LEFT JOIN nm USING (id)""",

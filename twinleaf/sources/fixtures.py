@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _plain(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, "[^ -~]+", " "), 1, 200)
+    return F.regexp_replace(text, "[^ -~]+", " ")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, y, p, w): a score between 0.01 and 0.99 for neighbouring documents, label and class weight."""
     d = table(spark, sf_dir, "documents")
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.substring("text", 1, 200), "[^ -~]+", " "), " +"), lambda w: w != ""))
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", "[^ -~]+", " "), " +"), lambda w: w != ""))
     a = d.select("doc_id", words.alias("a"))
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), words.alias("b"))
     y = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
