@@ -28,15 +28,27 @@ def _part(df: DataFrame, key: list[str], parts: int) -> Column:
     return F.size(F.filter(split, lambda b: b <= own))
 
 
+def _by_part(df: DataFrame, *aggregates: Column) -> dict[int, tuple]:
+    """What each part holds: at most as many rows as there are parts."""
+    return {r[0]: tuple(r)[1:] for r in df.groupBy("_part").agg(*aggregates).collect()}
+
+
+def _looked_up(values: list, kind: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_part") + 1)
+
+
 def cumulated(df: DataFrame, key: list[str], sums: dict[str, str | Column], parts: int = PARTS) -> DataFrame:
     """Add each sum of ``sums`` (name: value) over all rows up to this one, in the order of ``key``."""
     values = {f"_{name}": F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
     df = df.withColumns({"_part": _part(df, key, parts)} | values)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    offsets = df.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values]).select("_part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_offset") for v in values])
+    held = _by_part(df, *[F.sum(v) for v in values])
     inside = Window.partitionBy("_part").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({name: F.sum(f"_{name}").over(inside) for name in sums}).join(F.broadcast(offsets), "_part")
-    return out.withColumns({name: F.col(name) + F.col(f"_{name}_offset") for name in sums}).drop("_part", *values, *[f"{v}_offset" for v in values])
+    out = df.withColumns({name: F.sum(f"_{name}").over(inside) for name in sums})
+    kinds, added = dict(out.dtypes), {}
+    for i, name in enumerate(sums):
+        before = [sum(held[q][i] or 0 for q in held if q < p) for p in range(parts)]
+        added[name] = F.col(name) + _looked_up(before, kinds[name])
+    return out.withColumns(added).drop("_part", *values)
 
 
 def numbered(df: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -47,7 +59,7 @@ def numbered(df: DataFrame, key: list[str], name: str) -> DataFrame:
 def previous(df: DataFrame, key: str, name: str, default, parts: int = PARTS) -> DataFrame:
     """Add the value of ``key`` in the row before, ``default`` in the first."""
     df = df.withColumn("_part", _part(df, [key], parts))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    last = df.groupBy("_part").agg(F.max(key).alias("_last")).select("_part", F.max("_last").over(before).alias("_last"))
+    held = _by_part(df, F.max(key))
+    last = [max((held[q][0] for q in held if q < p), default=None) for p in range(parts)]
     lag = F.lag(key).over(Window.partitionBy("_part").orderBy(key))
-    return df.withColumn(name, lag).join(F.broadcast(last), "_part").withColumn(name, F.coalesce(name, "_last", F.lit(default))).drop("_part", "_last")
+    return df.withColumn(name, F.coalesce(lag, _looked_up(last, dict(df.dtypes)[key]), F.lit(default))).drop("_part")
