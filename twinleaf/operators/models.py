@@ -72,3 +72,14 @@ def feed_forward(df: DataFrame, features: list[str], hidden: tuple[int, ...] = (
     data = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(data).transform(data)
     net = MultilayerPerceptronClassifier(featuresCol="z", labelCol="y", layers=[len(features), *hidden, 2], maxIter=40, seed=31)
     return net.fit(data).transform(data).select("id", "y", vector_to_array("probability")[1].alias("p"))
+
+
+def logistic(df: DataFrame, features: list[str], alpha: float = 1.0, weighted: bool = False):
+    """A fitted logistic model with L2 penalty."""
+    w = df.agg(F.sum("w") if weighted else F.count("*")).first()[0] or 1
+    lr = LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / (alpha * w), elasticNetParam=0.0, standardization=False, maxIter=50, **({"weightCol": "w"} if weighted else {}))
+    return lr.fit(assembled(df, features))
+
+
+def logits(model, df: DataFrame, features: list[str]) -> DataFrame:
+    return model.transform(assembled(df, features)).select("id", "y", vector_to_array("rawPrediction")[1].alias("logit"))

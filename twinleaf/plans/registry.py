@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinleaf.functions import cleaning, fuzzy, lexical, vectors
-from twinleaf.operators import assemble, graph, metrics, models, ngrams, ordering
+from twinleaf.functions import cascade, cleaning, fuzzy, lexical, stemming, transport, vectors
+from twinleaf.operators import assemble, factors, graph, metrics, models, ngrams, ordering, tagging
 from twinleaf.plans import sql
 from twinleaf.sources import fixtures as fx
 
@@ -223,7 +223,7 @@ def _tagged(spark, sf_dir) -> DataFrame:
     x = t.select(F.col("qid1").alias("qid"), F.posexplode("w1").alias("pos", "text"))
     big = F.col("text").rlike("^[A-Z]")
     kind = F.when(F.col("text").rlike("^[0-9]+$"), "CARDINAL").when(big & (F.length("text") % 3 == 0), "PERSON").when(big & (F.length("text") % 3 == 1), "GPE").otherwise("")
-    return x.select("qid", "pos", F.lower("text").alias("lower"), kind.alias("ent_type"))
+    return x.select("qid", "pos", "text", F.lower("text").alias("lower"), kind.alias("ent_type"))
 
 
 def _votes(spark, sf_dir) -> DataFrame:
@@ -438,14 +438,20 @@ def _(spark, sf_dir):
     return ordering.numbered(fx.pairs(spark, sf_dir).select("id"), ["id"], "row")
 
 
+def _word_vectors(spark, sf_dir) -> DataFrame:
+    """(word, vec) for words of letters only, in turn from the table of vectors."""
+    t = fx.tokenized(spark, sf_dir)
+    words = t.select(F.explode(F.array_union("q1w", "q2w")).alias("word")).distinct()
+    ranked = ordering.numbered(words.filter(F.col("word").rlike("^[a-z]+$")), ["word"], "r").withColumn("vec_id", F.col("r") % 500)
+    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return ranked.join(e, "vec_id").select("word", "vec")
+
+
 @query("j5_d1_sentence_vectors")
 def _(spark, sf_dir):
     """Sum of the known words' vectors, normed; null without any."""
     t = fx.tokenized(spark, sf_dir)
-    words = t.select(F.explode(F.array_union("q1w", "q2w")).alias("word")).distinct()
-    ranked = ordering.numbered(words.filter(F.col("word").rlike("^[a-z]+$")), ["word"], "r")
-    e = fx.table(spark, sf_dir, "embeddings")
-    vec = ranked.withColumn("vec_id", F.col("r") % 500).join(e.select("vec_id", "embedding"), "vec_id").select("word", F.posexplode("embedding").alias("k", "x"))
+    vec = _word_vectors(spark, sf_dir).select("word", F.posexplode("vec").alias("k", "x"))
     sums = t.select("id", F.explode("q1w").alias("word")).join(vec, "word").groupBy("id", "k").agg(F.sum(F.col("x").cast("double")).alias("x"))
     norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("x").alias("total"))
     return six(t.select("id").join(norms, "id", "left").select("id", "norm", F.try_divide("total", "norm").alias("unit_total")))
@@ -526,6 +532,167 @@ def _(spark, sf_dir):
     return models.feed_forward(featured(spark, sf_dir), FEATURES)
 
 
+@query("l1_l2_l3_lengths")
+def _(spark, sf_dir):
+    t = fx.tokenized(spark, sf_dir)
+    chars = lambda q: F.length(F.regexp_replace(q, r"\s.", ""))
+    return t.select("id", *[c.cast("long").alias(n) for k in "12" for n, c in ((f"len_q{k}", F.length(f"question{k}")), (f"len_word_q{k}", F.size(f"w{k}")), (f"len_char_q{k}", chars(f"question{k}")))])
+
+
+@query("p10_constant_columns")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select(F.col("id").alias("test_id"), F.lit(-1).alias("qid1"), F.lit(-1).alias("qid2"))
+
+
+@query("p4_multi_output")
+def _(spark, sf_dir):
+    f = lexical.features()
+    both = F.struct(f["b3_common_words"].alias("common"), f["b4_total_unique_words"].alias("either"))
+    return fx.tokenized(spark, sf_dir).select("id", both.alias("s")).select("id", F.col("s.common").cast("long").alias("common"), F.col("s.either").cast("long").alias("either"))
+
+
+@query("j2_concat_columns")
+def _(spark, sf_dir):
+    t = fx.tokenized(spark, sf_dir)
+    one, two = t.select("id", F.size("s1").alias("a")), t.select("id", F.size("s2").alias("b"))
+    return one.join(two, "id").select("id", F.array_join(F.array(F.col("a").cast("string"), F.col("b").cast("string")), ",").alias("row"))
+
+
+@query("w6_sorted_scores")
+def _(spark, sf_dir):
+    return ordering.numbered(fx.scored(spark, sf_dir).select("id", "p"), ["p", "id"], "rank")
+
+
+@query("n1_char_counts")
+def _(spark, sf_dir):
+    c = _counts(spark, sf_dir, 2)
+    return c.join(ngrams.frequent(c, 5).select("gram"), "gram").select("id", "side", "gram", "count")
+
+
+@query("n4_stacked_counts")
+def _(spark, sf_dir):
+    t = fx.tokenized(spark, sf_dir)
+    sides = t.select("id", F.lit(1).alias("side"), F.explode("q1w").alias("term")).unionByName(t.select("id", F.lit(2).alias("side"), F.explode("q2w").alias("term")))
+    return sides.groupBy("id", "side", "term").agg(F.count("*").alias("count"))
+
+
+@query("n10_tf_factors")
+def _(spark, sf_dir):
+    c = _counts(spark, sf_dir, 2)
+    return factors.sparse_factors(c, ngrams.frequent(c, 5), 3)
+
+
+@query("c2_stem")
+def _(spark, sf_dir):
+    return _spread(fx.pairs(spark, sf_dir)).select("id", stemming.stemmed(cleaning.clean(F.col("question1"))).alias("cleaned"))
+
+
+@query("c3_rules")
+def _(spark, sf_dir):
+    return _spread(fx.pairs(spark, sf_dir)).select("id", cascade.padded(cascade.ruled(F.col("question1"))).alias("cleaned"))
+
+
+@query("c4_lower_starts")
+def _(spark, sf_dir):
+    return fx.pairs(spark, sf_dir).select("id", cascade.lower_starts(F.col("question1")).alias("cleaned"))
+
+
+def _vocabulary(spark, sf_dir) -> DataFrame:
+    """Words of letters only; stands for a table of words with vectors."""
+    return fx.tokenized(spark, sf_dir).select(F.explode(F.array_union("q1w", "q2w")).alias("word")).distinct().filter(F.col("word").rlike("^[a-z]+$"))
+
+
+@query("c5_dashes")
+def _(spark, sf_dir):
+    f = cascade.with_vocabulary(spark, _vocabulary(spark, sf_dir), cascade.split_dashes)
+    return fx.pairs(spark, sf_dir).select("id", f("question1").alias("cleaned"))
+
+
+@query("c6_quoted")
+def _(spark, sf_dir):
+    f = cascade.with_vocabulary(spark, _vocabulary(spark, sf_dir), cascade.keep_meaningful)
+    return fx.pairs(spark, sf_dir).select("id", f("question1").alias("cleaned"))
+
+
+@query("c8_entity_words")
+def _(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("qid", "pos", tagging.entity_word(F.col("ent_type")).alias("entity"), F.col("ent_type").isin(*sorted(tagging.NUMERIC)).alias("numeric"))
+
+
+def _tokens(spark, sf_dir) -> DataFrame:
+    """(qid, tokens) for the tagger rules; the lower-cased word stands for the lemma."""
+    kinds = tagging.voted(_votes(spark, sf_dir)).withColumnRenamed("word", "lower")
+    known = _vocabulary(spark, sf_dir).select(F.col("word").alias("lower"), F.lit(True).alias("known"))
+    t = _tagged(spark, sf_dir).join(kinds, "lower", "left").join(known, "lower", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    token = F.struct("pos", "text", "lower", F.col("lower").alias("lemma"), "ent_type", "best", "second", (F.col("known") & (F.col("text") == F.col("lower"))).alias("known_text"), F.col("known").alias("known_lower"), F.col("known").alias("known_lemma"))
+    return t.groupBy("qid").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+
+
+@query("c9_tagger_rules")
+def _(spark, sf_dir):
+    return tagging.rewritten(_tokens(spark, sf_dir)).select("qid", F.array_join("words", " ").alias("cleaned"))
+
+
+@query("c10_clean_string")
+def _(spark, sf_dir):
+    return _spread(fx.pairs(spark, sf_dir)).select("id", cascade.clean_string(spark, F.col("question1"), _vocabulary(spark, sf_dir)).alias("cleaned"))
+
+
+def _sentences(spark, sf_dir) -> DataFrame:
+    """(id, a, b): both questions' sums of word vectors; null without known words."""
+    t, vec = fx.tokenized(spark, sf_dir), _word_vectors(spark, sf_dir).select("word", F.posexplode("vec").alias("k", "x"))
+    sides = t.select("id", F.explode(F.concat(F.transform("q1w", lambda w: F.struct(F.lit(1).alias("side"), w.alias("word"))), F.transform("q2w", lambda w: F.struct(F.lit(2).alias("side"), w.alias("word"))))).alias("s")).select("id", "s.*")
+    uses = sides.groupBy("id", "side", "word").agg(F.count("*").alias("n"))
+    sums = uses.join(vec, "word").groupBy("id", "side", "k").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
+    rows = sums.groupBy("id", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e.x).alias("v"))  # as wide as a vector
+    both = rows.groupBy("id").agg(F.first(F.when(F.col("side") == 1, F.col("v")), True).alias("a"), F.first(F.when(F.col("side") == 2, F.col("v")), True).alias("b"))
+    return t.select("id").join(both, "id", "left")
+
+
+@query("v6_residuals")
+def _(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    _, directions = factors.directions(s.select(F.col("a").alias("v")).union(s.select("b")), "v", 8)
+    return six(factors.residual_features(s, "a", "b", directions))
+
+
+@query("v2_projection")
+def _(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("vec_id", "a")
+    values, directions = factors.directions(v, "a", 3)
+    return six(v.select("vec_id", vectors.norm(factors.projected(F.col("a"), values, directions, v.count())).alias("norm")))
+
+
+@query("d5_word_mover")
+def _(spark, sf_dir):
+    """Both questions' words with their vectors meet in one row for each pair."""
+    t = fx.tokenized(spark, sf_dir)
+    used = t.select("id", F.explode(F.array_union("q1w", "q2w")).alias("word")).join(_word_vectors(spark, sf_dir), "word")
+    rows = t.select("id", "q1w", "q2w").join(used.groupBy("id").agg(F.collect_list(F.struct("word", "vec")).alias("known")), "id", "left")
+    return six(_spread(rows).mapInArrow(transport.distances, "id long, raw double, normed double"))
+
+
+@query("k1_logistic")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir)
+    return models.logits(models.logistic(x, FEATURES), x, FEATURES)
+
+
+@query("k2_weighted_logistic")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir)
+    return models.logits(models.logistic(x, FEATURES, weighted=True), x, FEATURES)
+
+
+@query("k7_boosted_factors")
+def _(spark, sf_dir):
+    x = featured(spark, sf_dir)
+    f = models.svd_projection(x, FEATURES, 3).select("id", *[F.col("factors")[j].alias(f"f{j}") for j in range(3)])
+    data = x.select("id", "y", "w").join(f, "id")
+    names = ["f0", "f1", "f2"]
+    return models.predictions(models.boosted_trees(data, names), data, names)
+
+
 def queries() -> dict:
     return dict(REGISTERED)
 

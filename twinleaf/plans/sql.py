@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from twinleaf.functions.constants import CLEANING, STOP_WORDS
+from twinleaf.operators.tagging import ENTITY_WORDS, NUMERIC
 
 
 def _quoted(s: str) -> str:
@@ -200,6 +201,18 @@ SELECT tok.id, round(norm, 6) AS norm, round(total / nullif(norm, 0), 6) AS unit
         "n7_tfidf_norms": f"WITH {_grams(3)}, n AS (SELECT 2 * count(*) AS n FROM pairs) SELECT id, side, round(sqrt(sum(pow(c * (ln((1 + n.n) / (1 + df)) + 1), 2))), 6) AS norm FROM g JOIN voc USING (gram), n GROUP BY id, side",
         "q6_feature_quality": f"WITH {feat} " + " UNION ALL ".join(f"SELECT '{k}' AS feature, round({auc.format(k)}, 6)::DOUBLE AS auc, round(corr(y, {k}), 6) AS corr FROM feat" for k in FIVE),
     }
+    kinds = "CASE ent_type " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in ENTITY_WORDS.items()) + " END"
+    lengths = ", ".join(rf"length(question{k}) AS len_q{k}, len(w{k}) AS len_word_q{k}, length(regexp_replace(question{k}, '\s.', '', 'g')) AS len_char_q{k}" for k in "12")
+    out |= {
+        "l1_l2_l3_lengths": f"WITH {TOK} SELECT id, {lengths} FROM tok",
+        "p10_constant_columns": p + "id AS test_id, -1 AS qid1, -1 AS qid2 FROM pairs",
+        "p4_multi_output": f"WITH {TOK} SELECT id, ({f['b3_common_words']})::BIGINT AS common, ({f['b4_total_unique_words']})::BIGINT AS either FROM tok",
+        "j2_concat_columns": f"WITH {TOK} SELECT id, len(s1) || ',' || len(s2) AS row FROM tok",
+        "w6_sorted_scores": f"WITH {SCORED} SELECT id, p, row_number() OVER (ORDER BY p, id) - 1 AS rank FROM scored",
+        "n1_char_counts": f"WITH {_grams(2)} SELECT id, side, gram, c AS count FROM g JOIN voc USING (gram)",
+        "n4_stacked_counts": f"WITH {TOK} SELECT id, side, term, count(*) AS count FROM (SELECT id, 1 AS side, unnest(q1w) AS term FROM tok UNION ALL SELECT id, 2, unnest(q2w) FROM tok) GROUP BY ALL",
+        "c8_entity_words": f"WITH {TAGGED} SELECT qid, pos, {kinds} AS entity, ent_type IN ({', '.join(map(_quoted, sorted(NUMERIC)))}) AS numeric FROM tagged",
+    }
     for n, name in ((1, "n5_n6_unigram_jaccard"), (2, "n5_n6_bigram_jaccard"), (3, "n5_n6_trigram_jaccard")):
         out[name] = f"WITH {_grams(n)} SELECT id, round(sum(least(a, b)) / sum(a + b), 6)::DOUBLE AS all_jaccard, round(sum(least(a, b)) / sum(greatest(a, b)), 6)::DOUBLE AS jaccard_max FROM ab GROUP BY id"
     return out
