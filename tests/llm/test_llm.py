@@ -144,6 +144,24 @@ def test_sharding_without_slack(spark, groups):
     assert len(rows) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+@pytest.mark.parametrize("groups", [[800] + [2] * 60 + [30] * 10, [790, 150] + [60] * 9, [70] * 12 + [20] * 30])
+def test_sharding_of_large_groups(spark, groups):
+    texts = [f"g{i}" for i, n in enumerate(groups) for _ in range(n)]
+    texts += [f"single {i}" for i in range(2400 - len(texts))]
+    rows = sharding.balanced_label_propagation(frame(spark, texts), 24).collect()
+    assert set(Counter(r.shard for r in rows).values()) == {100}
+    held = defaultdict(set)
+    for r in rows:
+        held[texts[r.doc_id]].add(r.shard)
+    assert [len(held[f"g{i}"]) for i in range(len(groups))] == [-(-n // 100) for n in groups]
+
+
+def test_allowed_moves_fill_the_room():
+    flows = {(s, 23): 3044 for s in range(23)}
+    allowed = sharding._allowed(flows, [0] * 23 + [20])
+    assert sum(allowed.values()) == 20 and all(allowed[k] <= n for k, n in flows.items())
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 
