@@ -259,6 +259,15 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontamination.keep_clean(frame(spark, texts), bench).collect()} == {2, 3, 4, 6}
 
 
+def test_decontamination_parts_at_all_signs(spark):
+    item = [f"é{i}q" for i in range(13)]
+    marks = ["\u201c", "\u201d", "\u2019", "\u2013", "\u2014", "\u2026", "\u00ab", "\u00bb", "\u00bf", "\u00a0", "\u3000", "\u3002", "\uff0c"]
+    texts = ["".join(m + w for m, w in zip(marks, item)), *[m.join(item) for m in marks], "\u3000".join(item) + "\u3002", "".join(item)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "\u2026")], "item_id long, text string")
+    found = decontamination.find(frame(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in found) == [(i, 7, 13) for i in range(len(texts) - 1)]
+
+
 def test_kmeans_tree(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)

@@ -9,7 +9,7 @@ in the row of the hit, from its neighbouring tokens, so no text is shuffled.
 The benchmark side is broadcast while it has at most ``BROADCAST_SEEDS`` seeds, and
 joined by shuffle beyond that.
 
-Defined cases: tokens are runs of characters other than ASCII signs and spaces, in lower case; null and empty texts, and
+Defined cases: tokens are runs of letters and digits of any script, in lower case; null and empty texts, and
 items shorter than a mask, have no hits; repeated rows give the same pair once;
 empty tables give no rows; other columns are kept by ``keep_clean`` and ignored by
 ``find``; rows without doc_id are never dropped.
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 MASKS = ("1101001101", "1011100011")
 SPAN, WINDOW, SHARE = 10, 13, 80
 REACH = WINDOW - SPAN
-#: What parts tokens: ASCII characters other than letters and digits.
-SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+#: What parts tokens: all characters other than letters and digits; the ASCII ones are told first, as most are.
+SEPARATORS = r"[\x00-/:-@\[-`{-\x7f[^\x00-\x7f\p{L}\p{N}]]+"
 BROADCAST_SEEDS = 1_000_000
 
 
 def _tokens(text: Column) -> Column:
-    words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS)), r"[\x00-/:-@\[-`{-\x7f]+")
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
