@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -268,6 +269,21 @@ def test_decontamination_parts_at_all_signs(spark):
     assert sorted((r.doc_id, r.item_id, r.matched) for r in found) == [(i, 7, 13) for i in range(len(texts) - 1)]
 
 
+def test_decontamination_of_all_substitutions(spark):
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in range(1, 15)}
+    texts, want = [], set()
+    for n, item in items.items():
+        for places in [(), *combinations(range(n), 1), *combinations(range(n), 2), *(combinations(range(n), 3) if n == 13 else ())]:
+            w = ["odd" if k in places else x for k, x in enumerate(item)]
+            width = min(n, 13)
+            if any(100 * sum(a == b for a, b in zip(w[k:k + width], item[k:k + width])) >= 80 * width for k in range(n - width + 1)):
+                want |= {(len(texts), n), (len(texts) + 1, n)}
+            texts += [" ".join(w), " ".join(["before", "it", *w, "after", "it"])]
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, texts), bench).collect()}
+    assert got == want
+
+
 def test_kmeans_tree(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)

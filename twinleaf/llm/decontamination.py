@@ -1,16 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Fixed masks name the token positions that a hash covers and those that it ignores, so
+A fixed mask names the token positions that a hash covers and those that it ignores, so
 a hit survives substitutions at ignored positions. Hashes of all training positions meet
 those of the benchmark; around each hit, a window of ``WINDOW`` aligned tokens (the whole item
 where it is shorter) must agree in at least ``SHARE`` of its tokens. The check is made
 in the row of the hit, from its neighbouring tokens, so no text is shuffled.
 
+No pair that the rule accepts is missed: for any two substitutions in a window, the mask has a
+place in it that touches neither. Items shorter than a window are cut into one
+part more than the substitutions allowed, so that one part at least is equal; seeds of
+the parts' lengths are taken from texts only where the benchmark has such items.
+
 The benchmark side is broadcast while it has at most ``BROADCAST_SEEDS`` seeds, and
 joined by shuffle beyond that.
 
-Defined cases: tokens are runs of letters and digits of any script, in lower case; null and empty texts, and
-items shorter than a mask, have no hits; repeated rows give the same pair once;
+Defined cases: tokens are runs of letters and digits of any script, in lower case; null and empty texts
+have no hits; items of up to four tokens are found only whole; repeated rows give the same pair once;
 empty tables give no rows; other columns are kept by ``keep_clean`` and ignored by
 ``find``; rows without doc_id are never dropped.
 """
@@ -21,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: 1 is a position that counts, 0 one that is ignored.
-MASKS = ("1101001101", "1011100011")
-SPAN, WINDOW, SHARE = 10, 13, 80
-REACH = WINDOW - SPAN
+MASK = "11010011"
+WINDOW, SHARE = 13, 80
+REACH = WINDOW - len(MASK)
 #: What parts tokens: all characters other than letters and digits; the ASCII ones are told first, as most are.
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7f[^\x00-\x7f\p{L}\p{N}]]+"
 BROADCAST_SEEDS = 1_000_000
@@ -34,27 +39,50 @@ def _tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame) -> DataFrame:
-    """Explode ``hashes`` to (at, seed) rows; a seed's hash begins with its mask's number.
+def _parts(size: int) -> list[tuple[int, int]]:
+    """(first token, length) of the parts of a short item: one more than the tokens that may differ."""
+    n = size - -(-size * SHARE // 100) + 1
+    ends = [k * size // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def _seed(mask: str, at: Column) -> Column:
+    """The mask's hash at ``at``, beginning with its number; null where it does not end within the text."""
+    seed = F.xxhash64(F.lit(int(mask, 2)), *[F.get("hashes", at + i) for i, c in enumerate(mask) if c == "1"])
+    return F.when(at + len(mask) <= F.size("hashes"), seed)
+
+
+def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """Explode ``hashes`` to (at, seed) rows.
 
     Positions are exploded first and seeds taken after that, within generated code.
     """
-    last = F.size("hashes") - SPAN
+    last = F.size("hashes") - min(map(len, masks))
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     one = df.select("*", F.explode(starts).alias("at"))
-    seeds = [F.xxhash64(F.lit(k), *[F.get("hashes", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(MASKS)]
-    return one.select("*", F.explode(F.array(*seeds)).alias("seed"))
+    if len(masks) == 1:
+        return one.select("*", _seed(masks[0], F.col("at")).alias("seed"))
+    return one.select("*", F.explode(F.array(*[_seed(m, F.col("at")) for m in masks])).alias("seed")).filter("seed IS NOT NULL")
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item that overlap: doc_id, item_id, matched and width of the best window, hits."""
-    items = _seeds(benchmark.select("item_id", _tokens(F.col("text")).alias("hashes"))).select("item_id", F.col("hashes").alias("item"), F.col("at").alias("item_at"), "seed").dropDuplicates(["item_id", "item_at", "seed"])
+def _hits(docs: DataFrame, items: DataFrame, masks: list[str]) -> DataFrame:
+    """Join the seeds of ``docs`` with those of ``items`` (item_id, hashes, at, seed)."""
+    items = items.select("item_id", F.col("hashes").alias("item"), F.col("at").alias("item_at"), "seed").dropDuplicates(["item_id", "item", "item_at", "seed"])
     if items.count() <= BROADCAST_SEEDS:
         items = F.broadcast(items)
-    hits = _seeds(docs.select("doc_id", _tokens(F.col("text")).alias("hashes"))).join(items, "seed")
-    # Whether the tokens from REACH before the hit on agree; outside either text they don't. Spelt out, to stay within generated code.
-    same = [F.coalesce(F.get("hashes", F.col("at") + i) == F.get("item", F.col("item_at") + i), F.lit(False)).cast("int").alias(f"same{i + REACH}") for i in range(-REACH, WINDOW)]
-    hits = hits.select("doc_id", "item_id", "item_at", F.size("item").alias("size"), *same)
+    return _seeds(docs, masks).join(items, "seed")
+
+
+def _agrees(i: int | Column, k: int | Column) -> Column:
+    """1 where the tokens agree, 0 where they don't or one is outside its text."""
+    return F.coalesce(F.get("hashes", i) == F.get("item", k), F.lit(False)).cast("int")
+
+
+def _find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits in items of at least ``WINDOW`` tokens."""
+    # Whether the tokens from REACH before the hit on agree. Spelt out, to stay within generated code.
+    same = [_agrees(F.col("at") + i, F.col("item_at") + i).alias(f"same{i + REACH}") for i in range(-REACH, WINDOW)]
+    hits = _hits(docs, _seeds(items, [MASK]), [MASK]).select("doc_id", "item_id", "item_at", F.size("item").alias("size"), *same)
 
     def agreed(start: int) -> Column:
         """Tokens that agree in the window that starts ``start`` tokens before the hit; -1 outside the item."""
@@ -62,10 +90,30 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         inside = (F.col("item_at") >= start) & (F.col("item_at") - start + WINDOW <= F.col("size"))
         return F.when(inside, sum((F.col(f"same{k}") for k in range(first + 1, first + WINDOW)), F.col(f"same{first}"))).otherwise(-1)
 
-    width = F.least(F.lit(WINDOW), F.col("size"))
-    whole = F.when(F.col("size") < WINDOW, sum((F.col(f"same{k}") for k in range(1, REACH + WINDOW)), F.col("same0"))).otherwise(-1)
-    best = F.greatest(whole, *[agreed(k) for k in range(REACH + 1)])
-    found = hits.select("doc_id", "item_id", best.alias("matched"), width.alias("width")).filter(F.col("matched") * 100 >= F.col("width") * SHARE)
+    return hits.select("doc_id", "item_id", F.greatest(*[agreed(k) for k in range(REACH + 1)]).alias("matched"), F.lit(WINDOW).alias("width"))
+
+
+def _find_whole(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Hits in items shorter than ``WINDOW``, which have one of ``sizes`` tokens."""
+    lengths = sorted({n for size in sizes for _, n in _parts(size)})
+    masks = {n: "1" * n for n in lengths}
+    parts = [F.when(F.size("hashes") == size, F.array(*[F.struct(F.lit(a).alias("at"), _seed(masks[n], F.lit(a)).alias("seed")) for a, n in _parts(size)])) for size in sizes]
+    items = items.select("item_id", "hashes", F.explode(F.coalesce(*parts)).alias("p")).select("item_id", "hashes", "p.at", "p.seed")
+    start = F.col("at") - F.col("item_at")
+    same = [_agrees(start + i, F.lit(i)) for i in range(max(sizes))]
+    return _hits(docs, items, list(masks.values())).select("doc_id", "item_id", sum(same[1:], same[0]).alias("matched"), F.size("item").alias("width"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and item that overlap: doc_id, item_id, matched and width of the best window, hits."""
+    docs, items = docs.select("doc_id", _tokens(F.col("text")).alias("hashes")), benchmark.select("item_id", _tokens(F.col("text")).alias("hashes"))
+    size = F.size("hashes")
+    found = _find_windows(docs, items.filter(size >= WINDOW))
+    short = items.filter((size > 0) & (size < WINDOW))
+    sizes = sorted(r.n for r in short.select(size.alias("n")).distinct().collect())  # fewer than WINDOW
+    if sizes:
+        found = found.unionByName(_find_whole(docs, short, sizes))
+    found = found.filter(F.col("matched") * 100 >= F.col("width") * SHARE)
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"), F.count("*").alias("hits"))
 
 
