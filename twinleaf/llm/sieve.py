@@ -1,7 +1,8 @@
 """A sieve over the chunk/bucket exchange: which keys occur with more than one owner?
 
-Within a bucket, 32 bits tell keys apart; a clash only keeps a key in the sieve that has one
-owner. Owners are told apart by 32 bits of a hash. Exact comparison follows in the operators.
+Within a bucket, 32 bits tell keys apart; a clash of keys only keeps a key in the sieve that has one
+owner. Owners are told apart by 32 bits of a hash: a clash of two owners, about one in 2^32 for each
+pair, drops the keys that only they share before the exact comparison in the operators.
 """
 
 from __future__ import annotations
