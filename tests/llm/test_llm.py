@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinleaf.llm import automaton, decontamination, jaccard_join, kmeans_tree, lm_scoring, packing, pii, secrets, sharding, suffix_dedup, toxicity
+from twinleaf.llm import automaton, common, decontamination, jaccard_join, kmeans_tree, lm_scoring, packing, pii, secrets, sharding, sieve, suffix_dedup, toxicity
 from twinleaf.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, chunk string, shard string, n_chars long"
@@ -35,6 +35,17 @@ def corpus():
     return texts + [prose(rng, 20) + base[3][:150] + prose(rng, 20) for _ in range(5)] + [None, None, "", "", "a b", "A  B", " \t ", "word " * 3000, None, "x"]
 
 
+@pytest.fixture(params=["one chunk", "chunks", "groups of buckets"])
+def dealt(request, monkeypatch):
+    """The exchange in one chunk, in many, and with tasks between chunks and buckets."""
+    if request.param != "one chunk":
+        for m in (jaccard_join, suffix_dedup, lm_scoring):
+            monkeypatch.setattr(m, "CHUNK_BYTES", 12_000)
+    if request.param == "groups of buckets":
+        monkeypatch.setattr(common, "FAN", 3)
+        monkeypatch.setattr(common, "LEAST_BUCKETS", 8)
+
+
 def empty(spark):
     return frame(spark, [])
 
@@ -43,8 +54,53 @@ def words(t):
     return re.findall(r"[^ \t-\r]+", (t or "").translate(LETTERS))
 
 
+def test_exchange_returns_each_reply():
+    """Blobs go to their buckets and replies come back to the chunk that asked."""
+    blobs = [(3, b"abc"), (70000, b""), (5, b"x" * 300)]
+    assert common.opened(common.packed(blobs)) == blobs and common.opened(common.packed([])) == []
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    found, end = lm_scoring._keys(lm_scoring._planes(keys) + b"tail")
+    assert (found == keys).all() and end == len(lm_scoring._planes(keys))
+
+
+def test_sieve_keeps_all_shared_keys():
+    """Keys of two chunks stay, whatever their owners; so do those with two owners in one chunk."""
+    rng = np.random.default_rng(2)
+    tokens = [np.unique(rng.choice(5000, 900)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(4)]
+    tokens = [np.sort(t) for t in tokens]
+    more = [rng.random(len(t)) < 0.05 for t in tokens]
+    asked = [dict(sieve.questions(t, m, 7)) for t, m in zip(tokens, more)]
+    got = [{} for _ in tokens]
+    for b in range(7):
+        who = [i for i, a in enumerate(asked) if b in a]
+        for i, blob in zip(who, sieve.replies(2)([asked[i][b] for i in who])):
+            got[i][b] = blob
+    times = Counter(int(x) for t in tokens for x in t)
+    several = {int(x) for t, m in zip(tokens, more) for x in t[m]}
+    for t, g in zip(tokens, got):
+        shared, hot = sieve.told(t, 7, g)
+        assert shared.tolist() == [times[int(x)] > 1 or int(x) in several for x in t]
+        assert hot.tolist() == [times[int(x)] > 2 for x in t]
+
+
+@pytest.mark.parametrize("ids", [(0, -1018231460777725123), (0, 5)])
+def test_suffix_dedup_of_any_two_ids(spark, ids, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 200)
+    passage = "".join(chr(97 + k * k % 26) + chr(97 + k % 23) for k in range(60))
+    docs = frame(spark, [passage, "x" + passage], ids)
+    removed = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicate(docs).collect()}
+    assert removed == {min(ids): 0, max(ids): len(passage)}
+
+
+def test_connected_with_hubs(spark):
+    """A star, a path and pairs: each class gets the smallest of its component."""
+    edges = [(5000, k) for k in range(5001, 5400)] + [(k, k + 1) for k in range(100, 160)] + [(k, k + 1) for k in range(0, 80, 2)]
+    got = dict(map(tuple, jaccard_join.connected(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {**{k: 5000 for k in range(5000, 5400)}, **{k: 100 for k in range(100, 161)}, **{k: k - k % 2 for k in range(80)}}
+
+
 @pytest.mark.parametrize("block", [2048, 8])
-def test_jaccard_components(spark, corpus, block, monkeypatch):
+def test_jaccard_components(spark, corpus, dealt, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     sets = []
     for t in corpus:
@@ -69,7 +125,7 @@ def test_jaccard_components(spark, corpus, block, monkeypatch):
 
 
 @pytest.mark.parametrize("hot", [512, 0])
-def test_suffix_dedup(spark, corpus, hot, monkeypatch):
+def test_suffix_dedup(spark, corpus, dealt, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     seen, want = set(), {}
     for i, t in enumerate(corpus):
@@ -100,7 +156,7 @@ def test_column_wise_construction():
     assert [int(c) for c in common] == lcp
 
 
-def test_lm_scoring(spark, corpus):
+def test_lm_scoring(spark, corpus, dealt):
     chosen = {1, 2, 3, 30}
     got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame(spark, corpus), spark.createDataFrame([(i,) for i in chosen | {10**6}], "doc_id long")).collect()}
     tok = [(t or "").encode().lower().split() for t in corpus]
@@ -329,6 +385,13 @@ def test_null_ids_and_repeats(spark, corpus):
         assert df.count() == 6
 
 
+def test_rows_without_id_take_part_in_filters(spark, corpus):
+    a, b = corpus[0], corpus[1]
+    docs = frame(spark, [a, a, b, b, None, None, a], [None, 4, None, None, None, None, 5])
+    rows = [(r.doc_id, r.text) for r in jaccard_join.keep_first(docs).collect()]
+    assert sorted(rows, key=str) == sorted([(4, a), (None, b), (None, None), (None, None)], key=str)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -1,11 +1,13 @@
-"""Shared pieces: durable tables, gapless numbering and the chunk/bucket exchange."""
+"""Shared pieces: durable tables, gapless numbering, joins with hot keys and the exchange between chunks and buckets."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-#: Rows in one Arrow batch: whole texts can be long, so batches are short.
+#: Rows that a batch function takes at once: whole texts can be long. Spark bounds a batch in bytes.
 ARROW_ROWS = 256
+_LOCAL: str | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,12 +25,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. Where the session names none, the warehouse; a machine-local folder only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="twinleaf-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if spark.sparkContext.master.startswith("local"):
+        global _LOCAL
+        _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="twinleaf-")
+        return _LOCAL
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -57,10 +63,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def running(df: DataFrame, weight: Column, by: list[str], bucket: Column, order: list, name: str, bounded: bool) -> DataFrame:
     """Add ``name``: the sum of ``weight`` before each row within ``by``, ordered by ``bucket`` then ``order``.
 
@@ -87,10 +89,43 @@ def numbered(df: DataFrame, name: str, key: str, order: list, by: list[str] | No
     return running(df, F.lit(1), by or [], bucket, order, name, bounded=True)
 
 
+#: A key with more than one in HOT_SHARE of the rows is hot: there are fewer than HOT_SHARE of them.
+HOT_SHARE = 256
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """The values of ``key`` that hold more than one in HOT_SHARE of the rows: a bounded list."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    least = max(df.count() // HOT_SHARE, 1)
+    return [r[0] for r in counts.filter((F.col("_n") > least) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """Join with ``small``, which has one row for each ``key``. Rows of ``hot`` keys stay where they are: their few partners are broadcast."""
+    if not hot:
+        return big.join(small, key, how)
+    is_hot = F.col(key).isin(hot)
+    cold = big.filter(~is_hot | F.col(key).isNull()).join(small.filter(~is_hot), key, how)
+    return cold.unionByName(big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), key, how))
+
+
+def with_ids(docs: DataFrame) -> tuple[DataFrame, str] | None:
+    """``docs`` with numbers above all others where doc_id is null, and the column that keeps the old ids; None if no id is null."""
+    if docs.filter("doc_id IS NULL").isEmpty():
+        return None
+    own = "_own"
+    while own in docs.columns:
+        own += "_"
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    return durable(docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.monotonically_increasing_id() + (top + 1)))), own
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
+#: One exchange row goes to a bucket; beyond FAN buckets, rows go to groups of buckets first.
+FAN, BUCKET_BYTES, LEAST_BUCKETS = 2048, 32 << 20, 32
 ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 ANSWER_DDL = "chunk int, bucket int, blob binary"
 
@@ -99,55 +134,116 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(ddl))
 
 
-def chunked(docs: DataFrame, *cols, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Deal documents to chunks of about ``chunk_bytes`` of text by a hash of doc_id and text.
+@dataclass(frozen=True)
+class Exchange:
+    """How many chunks ask how many buckets, and by which partitions.
 
-    The exchange has the same form each time it is used, so one query's rounds share it.
+    Buckets are fewer than chunks and no chunk sends more than about ``fan`` rows: with more buckets than
+    that, a chunk sends one row to each of at most ``fan`` groups of buckets, and a task in between deals
+    what a block of chunks sent there to the group's buckets. Replies go back the same way. So rows
+    between stages grow with the chunks, up to ``fan`` squared buckets.
     """
-    n = max(1, -(-text_bytes(docs) // chunk_bytes))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
-    return docs.select(chunk, *cols).repartition(n, "chunk")
 
+    chunks: int
+    buckets: int
+    fan: int = FAN
 
-def _answers(chunks, buckets, blobs) -> pa.Table:
-    return pa.table([pa.array(x, f.type) for x, f in zip((chunks, buckets, blobs), ANSWER)], schema=ANSWER)
+    @classmethod
+    def of(cls, docs: DataFrame, chunk_bytes: int) -> Exchange:
+        size = text_bytes(docs)
+        return cls(max(1, -(-size // chunk_bytes)), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), FAN)
 
+    @property
+    def group(self) -> int:
+        """Buckets in a group; 1 where rows go to buckets at once."""
+        return -(-self.buckets // self.fan)
 
-def _blobs(got: pa.Table) -> dict[int, bytes]:
-    return dict(zip(got["bucket"].to_pylist(), got["blob"].to_pylist()))
+    @staticmethod
+    def parts(n: int) -> int:
+        """Partitions for n keys: several keys share one once there are many."""
+        return max(1, min(n, max(4096, -(-n // 64))))
 
+    def dealt(self, docs: DataFrame, chunk: Column, *cols) -> DataFrame:
+        """``docs`` by chunk; the same form each time, so one query's rounds share the shuffle."""
+        return docs.select(chunk.alias("chunk"), *cols).repartition(self.parts(self.chunks), "chunk")
 
-def ask(dealt: DataFrame, emit, answers: DataFrame | None = None) -> DataFrame:
-    """One (chunk, bucket, blob) row for each bucket that a chunk asks; ``emit(table[, blobs])`` yields (bucket, blob)."""
+    def ask(self, dealt: DataFrame, emit, answers: DataFrame | None = None) -> DataFrame:
+        """``emit(table[, blobs])`` yields (bucket, blob) in order of buckets, at most one blob for each bucket."""
+        group = self.group
 
-    def rows(key, pairs):
-        pairs = list(pairs)
-        return _answers([key[0].as_py()] * len(pairs), [b for b, _ in pairs], [x for _, x in pairs])
+        def rows(key, pairs):
+            by: dict[int, list] = {}
+            for b, x in pairs:
+                by.setdefault(b // group, []).append((b, x))
+            return _rows([(key[0].as_py(), g, packed(parts)) for g, parts in by.items()])
 
-    if answers is None:
-        return dealt.groupBy("chunk").applyInArrow(lambda key, t: rows(key, emit(t)), ANSWER_DDL)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda key, t, got: rows(key, emit(t, _blobs(got))), ANSWER_DDL)
+        if answers is None:
+            return dealt.groupBy("chunk").applyInArrow(lambda key, t: rows(key, emit(t)), ANSWER_DDL)
+        return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda key, t, got: rows(key, emit(t, _blobs(got))), ANSWER_DDL)
 
+    def answer(self, asked: DataFrame, reply) -> DataFrame:
+        """``reply(blobs)`` gives as many blobs back, one to each chunk that asked this bucket."""
 
-def answer(asked: DataFrame, reply, n_buckets: int) -> DataFrame:
-    """``reply(blobs)`` gives as many blobs back, one to each chunk that asked this bucket."""
+        def each(key, t):
+            t = t.sort_by("chunk")
+            parts = [opened(x) for x in t["blob"].to_pylist()]
+            told = iter(reply([x for p in parts for _, x in p]))
+            return _rows([(c, key[0].as_py(), packed([(i, next(told)) for i, _ in p])) for c, p in zip(t["chunk"].to_pylist(), parts)])
 
-    def each(key, t):
-        t = t.sort_by("chunk")
-        return _answers(t["chunk"].to_pylist(), t["bucket"].to_pylist(), reply(t["blob"].to_pylist()))
+        group, fan = self.group, self.fan
+        if group > 1:
+            # Blocks of ``fan`` chunks: (group of buckets, block) tasks deal to (block, bucket) rows.
+            asked = self._turned(asked, F.floor(F.col("chunk") / fan).cast("int"), F.col("bucket"), lambda c, b, i: (c // fan, i, c))
+        said = asked.repartition(self.parts(self.buckets), "bucket").groupBy("bucket").applyInArrow(each, ANSWER_DDL)
+        if group > 1:
+            said = self._turned(said, F.col("chunk"), F.floor(F.col("bucket") / group).cast("int"), lambda c, b, i: (i, b // group, b))
+        return said.repartition(self.parts(self.chunks), "chunk")
 
-    return asked.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(each, ANSWER_DDL)
+    def _turned(self, rows: DataFrame, block: Column, group: Column, to) -> DataFrame:
+        """Deal the parts within each (block, group) to other rows: ``to(chunk, bucket, part id)`` names row and part."""
 
+        def each(key, t):
+            t, out = t.sort_by([("chunk", "ascending"), ("bucket", "ascending")]), {}
+            for c, b, x in zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), t["blob"].to_pylist()):
+                for i, part in opened(x):
+                    c2, b2, i2 = to(c, b, i)
+                    out.setdefault((c2, b2), []).append((i2, part))
+            return _rows([(c, b, packed(parts)) for (c, b), parts in out.items()])
 
-def finish(dealt: DataFrame, answers: DataFrame, done, ddl: str) -> DataFrame:
-    """``done(table, {bucket: blob})`` gives the chunk's rows as a dict of columns."""
-    schema = arrow_schema(ddl)
+        tasks = self.parts(-(-self.chunks // self.fan) * min(self.buckets, self.fan))
+        rows = rows.withColumns({"_block": block, "_group": group}).repartition(tasks, "_block", "_group")
+        return rows.groupBy("_block", "_group").applyInArrow(lambda key, t: each(key, t.select(ANSWER.names)), ANSWER_DDL)
+
+    def finish(self, dealt: DataFrame, answers: DataFrame, done, ddl: str) -> DataFrame:
+        """``done(table, {bucket: blob})`` gives the chunk's rows as a dict of columns."""
+        schema = arrow_schema(ddl)
+
+        def each(key, t, got):
+            found = done(t, _blobs(got))
+            return pa.table([pa.array(found[f.name], f.type) for f in schema], schema=schema)
+
+        return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, ddl)
+
+
+def packed(parts: list[tuple[int, bytes]]) -> bytes:
+    """Numbered blobs in one."""
+    head = np.array([[i, len(x)] for i, x in parts], "<u4")
+    return b"".join([np.uint32(len(parts)).tobytes(), head.tobytes(), *[x for _, x in parts]])
 
-    def each(key, t, got):
-        found = done(t, _blobs(got))
-        return pa.table([pa.array(found[f.name], f.type) for f in schema], schema=schema)
 
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, ddl)
+def opened(blob: bytes) -> list[tuple[int, bytes]]:
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    head = np.frombuffer(blob, "<u4", 2 * n, 4).reshape(n, 2).astype(np.int64)
+    ends = 4 + 8 * n + np.cumsum(head[:, 1])
+    return [(int(i), blob[e - s:e]) for (i, s), e in zip(head.tolist(), ends.tolist())]
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ANSWER)], schema=ANSWER)
+
+
+def _blobs(got: pa.Table) -> dict[int, bytes]:
+    return {i: x for blob in got["blob"].to_pylist() for i, x in opened(blob)}
 
 
 def mapped(df: DataFrame, rows, ddl: str) -> DataFrame:
@@ -156,8 +252,8 @@ def mapped(df: DataFrame, rows, ddl: str) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            found = rows(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
+            for k in range(0, batch.num_rows, ARROW_ROWS):
+                found = rows(batch.slice(k, ARROW_ROWS).to_pydict())
+                yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
 
-    arrow(df.sparkSession)
     return df.mapInArrow(each, ddl)

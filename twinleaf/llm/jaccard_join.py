@@ -2,7 +2,7 @@
 
 A document's set is its distinct five-word shingles. Documents with equal sets form a class.
 
-1. Sieve: every chunk asks the hash buckets which of its shingles occur in more than one class. A set
+1. Sieve: every chunk asks the hash buckets which of its shingles occur in another class or chunk. A set
    in which fewer than 80 % are shared can have no partner and leaves.
 2. Coarse clusters: partners share one of the first (shared - needed + 1) shingles in hash order; the
    connected components over those shingles hold every link.
@@ -12,12 +12,14 @@ A document's set is its distinct five-word shingles. Documents with equal sets f
    Clusters over one block first link one member for each block and component found, then
    only those pairs of blocks that still hold more than one component.
 
-Links are judged exactly: SHARE of the union at least, on 64-bit shingle hashes. Only membership is
-returned, so no group of copies is expanded to pairs.
+Links are judged exactly: SHARE of the union at least, on 64-bit shingle hashes; classes are told apart by 128 bits. Only membership is
+returned, so no group of copies is expanded to pairs. Keys with many rows (a hub, a giant component, a frequent
+shingle) are joined by broadcasting their one partner; large clusters are numbered in salted runs.
 
 Defined cases: fewer than five words are one shingle; null and empty texts, and those without words, have none and are
-linked with nothing; repeated rows are links of one class; an empty table gives no rows; other
-columns are kept by ``keep_first`` and ignored by ``components``.
+linked with nothing; very long texts are taken whole; repeated rows are links of one class; ties of size go by class; rows without
+doc_id are linked like others, their component has the smallest doc_id there is (null without any), and ``keep_first`` keeps one of them only where no
+row of their group has a doc_id; an empty table gives no rows; other columns are kept by ``keep_first`` and ignored by ``components``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinleaf.llm import sieve
-from twinleaf.llm.common import answer, arrow_schema, ask, chunked, durable, finish, partitions, running, text_bytes
+from twinleaf.llm.common import Exchange, arrow_schema, durable, hot_join, hot_keys, partitions, running, with_ids
 
 WORDS, SHARE = 5, 80
 CHUNK_BYTES = 4 << 20
@@ -58,23 +60,23 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def class_of(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _sets(table: pa.Table) -> tuple[list, list[np.ndarray], list[int]]:
+def _sets(table: pa.Table) -> tuple[list, list[np.ndarray], list[bytes]]:
     rows = table.to_pydict()
     sets = [shingles(t) for t in rows["text"]]
     return rows["doc_id"], sets, [class_of(s) for s in sets]
 
 
-def _distinct(sets: list[np.ndarray], classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of a chunk's classes, in order, with their classes."""
-    one = dict(zip(classes, sets))
+def _distinct(sets: list[np.ndarray], classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a chunk's classes, in order, with the number of their class there."""
+    one = list(dict(zip(classes, sets)).values())
     if not one:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tokens = np.concatenate(list(one.values()))
-    owner = np.repeat(np.fromiter(one, np.int64, len(one)), [len(s) for s in one.values()])
+    tokens = np.concatenate(one)
+    owner = np.repeat(np.arange(len(one)), [len(s) for s in one])
     order = np.argsort(tokens, kind="stable")
     return tokens[order], owner[order]
 
@@ -86,7 +88,7 @@ def _emit(buckets: int):
     return each
 
 
-SETS = "doc_id long, n_shingles long, class long, tokens binary"
+SETS = "doc_id long, n_shingles long, class binary, tokens binary"
 
 
 def _survivors(buckets: int):
@@ -94,7 +96,7 @@ def _survivors(buckets: int):
 
     def each(table: pa.Table, got: dict[int, bytes]):
         doc_ids, sets, classes = _sets(table)
-        tokens, _, _ = sieve.runs(*_distinct(sets, classes))
+        tokens, _ = sieve.runs(*_distinct(sets, classes))
         shared = tokens[sieve.told(tokens, buckets, got)[0]]
         told, out = set(), []
         for s, c in zip(sets, classes):
@@ -127,17 +129,19 @@ def connected(edges: DataFrame) -> DataFrame:
     """(class, root) for each class of ``edges`` (u, v): its component's smallest class.
 
     Each round hangs every class and its neighbours on the smallest root seen and then
-    shortens the paths; rounds end when nothing changes.
+    shortens the paths; rounds end when nothing changes. A hub with many neighbours and a root with many
+    members are hot keys; what is joined with them is one row each.
     """
     both = durable(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    hubs = hot_keys(both, "v")
     roots = durable(both.groupBy(F.col("u").alias("class")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
     while True:
-        near = both.join(roots.select(F.col("class").alias("v"), F.col("root").alias("seen")), "v").groupBy(F.col("u").alias("class")).agg(F.min("seen").alias("seen"))
-        moved = roots.join(near, "class").select("class", F.least("root", "seen").alias("root"), F.col("root").alias("old"))
+        near = hot_join(both, roots.select(F.col("class").alias("v"), F.col("root").alias("seen")), "v", hubs).groupBy(F.col("u").alias("class")).agg(F.min("seen").alias("seen"))
+        moved = durable(roots.join(near, "class").select("class", F.least("root", "seen").alias("root"), F.col("root").alias("old")))
         hung = moved.groupBy(F.col("old").alias("class")).agg(F.min("root").alias("jump"))  # an old root follows its members
-        best = moved.join(hung, "class", "left").select("class", F.least("root", F.coalesce("jump", "root")).alias("root"), "old")
+        best = durable(moved.join(hung, "class", "left").select("class", F.least("root", F.coalesce("jump", "root")).alias("root"), "old"))
         jump = best.select(F.col("class").alias("root"), F.col("root").alias("jump"))
-        after = durable(best.join(jump, "root", "left").select("class", F.least("root", F.coalesce("jump", "root")).alias("root"), "old"))
+        after = durable(hot_join(best, jump, "root", hot_keys(best, "root"), "left").select("class", F.least("root", F.coalesce("jump", "root")).alias("root"), "old"))
         if after.filter("root <> old").isEmpty():
             return after.select("class", "root")
         roots = after.select("class", "root")
@@ -255,21 +259,27 @@ def _with_groups(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(roots, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).drop("root")
 
 
+def _in_blocks(rows: DataFrame, spread: int) -> DataFrame:
+    """``block`` numbers runs of BLOCK members of a cluster, by size within about 4 % and then by hash; ``spread`` hashes part a cluster of one size."""
+    level = F.floor(F.log2(F.col("n_shingles")) * 16) * spread + F.pmod(F.xxhash64("class"), F.lit(spread))
+    return running(rows, F.lit(1), ["cluster"], level, ["class"], "at", bounded=False).withColumn("block", F.floor(F.col("at") / BLOCK)).drop("at")
+
+
 def similar_classes(sets: DataFrame) -> DataFrame:
     """(class, root) for the classes of ``sets`` (class, n_shingles, tokens) that are linked with another."""
     spark = sets.sparkSession
     pairs = durable(sets.mapInArrow(_prefixes, "token long, class long"))
     firsts = pairs.groupBy("token").agg(F.min("class").alias("v"), F.max("class").alias("w")).filter("v <> w").select("token", "v")
-    near = durable(pairs.join(firsts, "token").filter("class <> v").select(F.col("class").alias("u"), "v").distinct())
+    near = durable(hot_join(pairs, firsts, "token", hot_keys(pairs, "token")).filter("class <> v").select(F.col("class").alias("u"), "v").distinct())
     clusters = connected(near).select("class", F.col("root").alias("cluster"))
-    counts = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    rows = durable(sets.join(clusters, "class").join(counts, "cluster"))
+    counts = durable(clusters.groupBy("cluster").agg(F.count("*").alias("members")))
+    members = durable(hot_join(clusters, counts, "cluster", hot_keys(clusters, "cluster")))
+    rows = durable(sets.join(members, "class"))
     # Small clusters share bins; large ones are cut to blocks in order of size.
-    bins = max(partitions(spark), rows.count() // BLOCK + 1)
+    n = rows.count()
+    bins, spread = max(partitions(spark), n // BLOCK + 1), n // (4 * BLOCK) + 1
     small = rows.filter(F.col("members") <= BLOCK).withColumn("block", F.lit(0).cast("long")).withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    large = rows.filter(F.col("members") > BLOCK)
-    large = running(large, F.lit(1), ["cluster"], F.floor(F.log2(F.col("n_shingles")) * 16), ["n_shingles", "class"], "at", bounded=False)
-    large = large.withColumn("block", F.floor(F.col("at") / BLOCK)).withColumn("bin", F.col("cluster")).drop("at")
+    large = _in_blocks(rows.filter(F.col("members") > BLOCK), spread).withColumn("bin", F.col("cluster"))
     blocks = durable(small.unionByName(large).withColumn("grp", F.col("class")))
     links = durable(_linked(blocks, ["bin", "block"]))
     split = blocks.filter(F.col("members") > BLOCK)
@@ -277,7 +287,7 @@ def similar_classes(sets: DataFrame) -> DataFrame:
         # One member for each component of a block; these meet first.
         split = durable(_with_groups(split, links))
         heads = split.groupBy("cluster", "block", "grp").agg(F.min_by(F.struct("class", "n_shingles", "tokens"), "class").alias("h")).select("cluster", F.col("block").alias("was"), "grp", "h.*")
-        heads = running(durable(heads), F.lit(1), ["cluster"], F.floor(F.log2(F.col("n_shingles")) * 16), ["n_shingles", "class"], "at", bounded=False).withColumn("block", F.floor(F.col("at") / BLOCK))
+        heads = _in_blocks(durable(heads), spread)
         links = durable(links.unionByName(_linked(heads, ["cluster", "block"])))
         split = durable(_with_groups(split.withColumn("grp", F.col("class")), links))
         nodes = split.groupBy("cluster", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
@@ -290,23 +300,35 @@ def similar_classes(sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row."""
-    n = max(1, -(-text_bytes(docs) // CHUNK_BYTES))
-    dealt = chunked(docs, "doc_id", "text", chunk_bytes=CHUNK_BYTES)
-    answers = answer(ask(dealt, _emit(n)), sieve.replies(), n).repartition(n, "chunk")
-    found = durable(finish(dealt, answers, _survivors(n), SETS))
-    sets = durable(found.filter("tokens IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
-    roots = similar_classes(sets)
-    least = found.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = durable(least)
-    ids = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
-    return found.join(ids, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    x = Exchange.of(docs, CHUNK_BYTES)
+    dealt = x.dealt(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(x.chunks)).cast("int"), "doc_id", "text")
+    answers = x.answer(x.ask(dealt, _emit(x.buckets)), sieve.replies())
+    found = durable(x.finish(dealt, answers, _survivors(x.buckets), SETS))
+    # Numbers of classes stand for their digests from here on; they are fixed once written.
+    sets = found.filter("tokens IS NOT NULL").groupBy(F.col("class").alias("digest")).agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+    sets = durable(sets.withColumn("class", F.monotonically_increasing_id()))
+    roots = sets.select(F.col("digest").alias("class"), F.col("class").alias("number")).join(similar_classes(sets.drop("digest")).withColumnRenamed("class", "number"), "number").select("class", F.col("root").cast("string").alias("root"))
+    least = durable(found.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")))
+    least = durable(least.join(roots, "class", "left").select("class", "least", F.coalesce("root", F.hex("class")).alias("root")))
+    ids = hot_join(least, least.groupBy("root").agg(F.min("least").alias("component_id")), "root", hot_keys(least, "root")).select("class", "component_id")
+    ids = durable(ids)
+    out = hot_join(found, ids, "class", hot_keys(found.filter("n_shingles > 0"), "class"), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; rows that repeat its doc_id and text go too."""
+    named = with_ids(docs)
+    if named:
+        rows, own = named
+        return _kept(rows).withColumn("doc_id", F.col(own)).select(docs.columns)
+    return _kept(docs)
+
+
+def _kept(docs: DataFrame) -> DataFrame:
     own = components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(own, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
-    twice = durable(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    kept = docs.join(own, "doc_id", "left_semi").select(docs.columns)
+    twice = durable(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
     if twice.isEmpty():
         return kept
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

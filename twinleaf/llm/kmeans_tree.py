@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinleaf.llm.common import arrow, arrow_schema, durable, partitions
+from twinleaf.llm.common import arrow_schema, durable, partitions
 
 SAMPLE, PROBES, RECALL = 20_000, 200, 0.96
 BRANCH, LEAF, LEAVES = 8, 24, 192
@@ -163,7 +163,6 @@ def _brute(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], dim: int, k
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL) -> tuple[DataFrame, dict]:
     """(query_id, rank, vec_id, score), and what was calibrated: leaves, visits and recall."""
     spark = vectors.sparkSession
-    arrow(spark, 4096)
     good, dim = usable(vectors)
     asked, asked_dim = usable(queries)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -14,7 +14,7 @@ buckets of its distinct words and pairs, which add up what all chunks bring and
 send the totals back, so that a word in every document costs a row for each chunk,
 not for each occurrence, and no task holds the whole model.
 
-Defined cases: null and empty texts have no tokens, and null losses and score; repeated rows count as often as they occur
+Defined cases: null and empty texts have no tokens, and null losses and score; very long texts are taken whole; repeated rows count as often as they occur
 and get a row each; without target documents the target model is the background's shares;
 an empty table gives no rows; other columns are ignored.
 """
@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinleaf.llm.common import answer, ask, finish, text_bytes
+from twinleaf.llm import sieve
+from twinleaf.llm.common import Exchange
 
 MU, LAMBDA = 1000.0, 5.0
 CHUNK_BYTES = 8 << 20
@@ -83,33 +84,40 @@ class _Chunk:
         self.background = np.bincount(where, minlength=len(self.keys))
         self.inside = np.bincount(where[flags], minlength=len(self.keys))
 
-    def bounds(self, buckets: int) -> np.ndarray:
-        """Where each bucket's keys start: buckets are ranges of the hash."""
-        edges = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
-        return np.append(np.searchsorted(self.keys, edges), len(self.keys))
-
 
 def _packed(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(np.asarray(a).astype("<u8").tobytes() for a in arrays), 1)
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as the planes of their gaps' bytes: the high ones are nearly all zero."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    low, high = gaps[:5].tobytes(), zlib.compress(gaps[5:].tobytes(), 1)
+    return np.array([len(keys), len(high)], "<u4").tobytes() + low + high
+
+
+def _keys(blob: bytes) -> tuple[np.ndarray, int]:
+    """The keys in front of a blob, and where they end."""
+    n, size = np.frombuffer(blob, "<u4", 2).tolist()
+    end = 8 + 5 * n + size
+    planes = np.frombuffer(blob[8:8 + 5 * n] + zlib.decompress(blob[8 + 5 * n:end]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64), end
+
+
 def _emit(buckets: int):
     def each(table: pa.Table):
         c = _Chunk(table)
-        at = c.bounds(buckets)
-        for b in range(buckets):
-            lo, hi = at[b], at[b + 1]
-            if hi > lo:
-                counts = _packed(c.background[lo:hi], c.inside[lo:hi])
-                yield b, np.uint32(hi - lo).tobytes() + c.keys[lo:hi].tobytes() + counts
+        which, at = sieve.cells(c.keys, buckets)
+        for b, lo, hi in zip(which.tolist(), at.tolist(), at[1:].tolist()):
+            yield b, _planes(c.keys[lo:hi]) + _packed(c.background[lo:hi], c.inside[lo:hi])
     return each
 
 
 def _reply(blobs: list[bytes]) -> list[bytes]:
-    sizes = [int(np.frombuffer(b, np.uint32, 1)[0]) for b in blobs]
-    keys = np.concatenate([np.frombuffer(b, np.uint64, n, 4) for b, n in zip(blobs, sizes)])
-    counts = [np.frombuffer(zlib.decompress(memoryview(b)[4 + 8 * n:]), "<u8").reshape(2, n) for b, n in zip(blobs, sizes)]
-    one, where = np.unique(keys, return_inverse=True)
+    heads = [_keys(b) for b in blobs]
+    sizes = [len(k) for k, _ in heads]
+    counts = [np.frombuffer(zlib.decompress(memoryview(b)[end:]), "<u8").reshape(2, -1) for b, (_, end) in zip(blobs, heads)]
+    one, where = np.unique(np.concatenate([k for k, _ in heads]), return_inverse=True)
     totals = np.zeros((2, len(one)), dtype=np.uint64)
     counts = np.concatenate(counts, axis=1)
     for k in range(2):
@@ -121,8 +129,7 @@ def _reply(blobs: list[bytes]) -> list[bytes]:
 def _losses(buckets: int, totals: tuple[int, int]):
     def each(table: pa.Table, got: dict[int, bytes]):
         c = _Chunk(table)
-        at = c.bounds(buckets)
-        parts = [np.frombuffer(zlib.decompress(got[b]), "<u8").reshape(2, -1) for b in range(buckets) if at[b + 1] > at[b]]
+        parts = [np.frombuffer(zlib.decompress(got[b]), "<u8").reshape(2, -1) for b in sieve.cells(c.keys, buckets)[0].tolist()]
         counts = np.concatenate(parts, axis=1).astype(float) if parts else np.zeros((2, 0))
         share = counts[0] / max(totals[0], 1)
         means = []
@@ -137,13 +144,13 @@ def _losses(buckets: int, totals: tuple[int, int]):
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Score every row of ``docs``; ``target`` has the doc_ids of the target corpus."""
     target = target.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    n = max(1, -(-text_bytes(docs) // CHUNK_BYTES))
+    x = Exchange.of(docs, CHUNK_BYTES)
     size = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).alias("n"))
     marked = size.groupBy("doc_id").agg(F.sum("n").alias("n")).join(target.withColumn("t", F.lit(1)), "doc_id", "left")
     total = marked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("t")), F.lit(0))).first()
-    chunk = F.pmod(F.coalesce(F.xxhash64(F.col("doc_id")), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(n)).cast("int").alias("chunk")
-    rows = docs.select(chunk, "doc_id", "text", F.lit(False).alias("is_target"))
-    marks = target.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("is_target"))
-    dealt = rows.unionByName(marks).repartition(n, "chunk")
-    answers = answer(ask(dealt, _emit(n)), _reply, n).repartition(n, "chunk")
-    return finish(dealt, answers, _losses(n, (int(total[0]), int(total[1]))), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    chunk = F.pmod(F.coalesce(F.xxhash64(F.col("doc_id")), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0), F.lit(x.chunks)).cast("int")
+    rows = docs.select("doc_id", "text", F.lit(False).alias("is_target"))
+    marks = target.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("is_target"))
+    dealt = x.dealt(rows.unionByName(marks), chunk, "doc_id", "text", "is_target")
+    answers = x.answer(x.ask(dealt, _emit(x.buckets)), _reply)
+    return x.finish(dealt, answers, _losses(x.buckets, (int(total[0]), int(total[1]))), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

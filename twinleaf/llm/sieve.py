@@ -1,8 +1,8 @@
-"""A sieve over the chunk/bucket exchange: which keys occur with more than one owner?
+"""A sieve over the exchange: which keys occur with more than one owner?
 
-Within a bucket, 32 bits tell keys apart; a clash of keys only keeps a key in the sieve that has one
-owner. Owners are told apart by 32 bits of a hash: a clash of two owners, about one in 2^32 for each
-pair, drops the keys that only they share before the exact comparison in the operators.
+No owner is sent. A chunk says which of its keys have several owners there; a key that two chunks ask counts
+as shared. Within a bucket, 32 bits tell keys apart. So a key that has one owner can be kept (its owner has
+rows in two chunks, or its 32 bits clash), but one with several owners never leaves.
 """
 
 from __future__ import annotations
@@ -13,28 +13,27 @@ import numpy as np
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def edges(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts: buckets are ranges of the hash."""
-    return np.append(np.searchsorted(tokens, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)), len(tokens))
+def cells(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted ``tokens`` that have any, and where each starts (and the last ends): ranges of the hash."""
+    own = (tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return own[first].astype(np.int64), np.append(first, len(own))
 
 
-def runs(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, one owner of each, and whether there are more."""
+def runs(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted tokens, and whether each has more than one owner."""
     if not len(tokens):
-        return tokens, owner, np.zeros(0, bool)
+        return tokens, np.zeros(0, bool)
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-    low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
-    return tokens[first], low, low != high
+    return tokens[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
 
 
-def questions(tokens: np.ndarray, owner: np.ndarray, more: np.ndarray, buckets: int):
+def questions(tokens: np.ndarray, more: np.ndarray, buckets: int):
     """(bucket, blob) for sorted distinct ``tokens``; ``more``: this chunk alone has two owners."""
-    at = edges(tokens, buckets)
-    prints, owner = (tokens * MIX >> np.uint64(32)).astype("<u4"), (owner.astype(np.uint64) * MIX >> np.uint64(32)).astype("<u4")
-    for b in range(buckets):
-        lo, hi = at[b], at[b + 1]
-        if hi > lo:
-            yield b, np.uint32(hi - lo).tobytes() + prints[lo:hi].tobytes() + owner[lo:hi].tobytes() + np.packbits(more[lo:hi]).tobytes()
+    prints = (tokens * MIX >> np.uint64(32)).astype("<u4")
+    which, at = cells(tokens, buckets)
+    for b, lo, hi in zip(which.tolist(), at.tolist(), at[1:].tolist()):
+        yield b, np.uint32(hi - lo).tobytes() + prints[lo:hi].tobytes() + np.packbits(more[lo:hi]).tobytes()
 
 
 def replies(hot: int = 1 << 62):
@@ -43,13 +42,12 @@ def replies(hot: int = 1 << 62):
     def each(blobs: list[bytes]) -> list[bytes]:
         sizes = [int(np.frombuffer(b, "<u4", 1)[0]) for b in blobs]
         keys = np.concatenate([np.frombuffer(b, "<u4", n, 4) for b, n in zip(blobs, sizes)])
-        owner = np.concatenate([np.frombuffer(b, "<u4", n, 4 + 4 * n) for b, n in zip(blobs, sizes)])
-        more = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -1, 4 + 8 * n), count=n) for b, n in zip(blobs, sizes)])
+        more = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -1, 4 + 4 * n), count=n) for b, n in zip(blobs, sizes)])
         order = np.argsort(keys, kind="stable")
-        k, o = keys[order], owner[order]
+        k = keys[order]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         asked = np.diff(np.append(first, len(keys)))
-        shared = (np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)) | (np.maximum.reduceat(more[order], first) > 0)
+        shared = (asked > 1) | (np.maximum.reduceat(more[order], first) > 0)
         out = np.zeros((2, len(keys)), bool)
         out[0, order], out[1, order] = np.repeat(shared, asked), np.repeat(asked > hot, asked)
         ends = np.cumsum(sizes)
@@ -59,6 +57,6 @@ def replies(hot: int = 1 << 62):
 
 def told(tokens: np.ndarray, buckets: int, got: dict[int, bytes]) -> np.ndarray:
     """The two bits of each of ``tokens``, as a (2, n) array."""
-    at = edges(tokens, buckets)
-    parts = [np.unpackbits(np.frombuffer(got[b], np.uint8), count=2 * (at[b + 1] - at[b])).reshape(2, -1) for b in range(buckets) if at[b + 1] > at[b]]
+    which, at = cells(tokens, buckets)
+    parts = [np.unpackbits(np.frombuffer(got[b], np.uint8), count=2 * (hi - lo)).reshape(2, -1) for b, lo, hi in zip(which.tolist(), at.tolist(), at[1:].tolist())]
     return np.concatenate(parts, axis=1).astype(bool) if parts else np.zeros((2, 0), bool)

@@ -6,7 +6,7 @@ doc_id is removed.
 Texts are cut to overlapping pieces of at most 2 * LENGTH - GRAM bytes: the maximal runs of windows of LENGTH bytes that
 share one smallest GRAM-byte hash. Equal windows share it too, so they meet in one collection,
 whatever their documents, and each window lies in exactly one piece. Pieces whose
-hash occurs in one document only leave in a sieve; equal pieces are joined, with their smallest doc_id, and a
+hash occurs in one document only leave in a sieve that never drops a shared hash; equal pieces are joined, with their smallest doc_id, and a
 hash of one distinct piece has nothing left to be compared with.
 
 For each collection, ``collection`` inserts one symbol of each piece a round, from the last to the
@@ -17,7 +17,7 @@ bounded (COLLECTION bytes, or one hash's pieces), so these sequential files are
 machine-local folder is used; a hash that more than HOT chunks ask for is split by the hash of the whole window.
 
 Defined cases: null texts are empty; rows with one doc_id don't remove each other's bytes; rows without doc_id lose and
-give nothing; texts shorter than LENGTH stay whole; an empty table gives no rows; other columns are ignored.
+give nothing; texts shorter than LENGTH stay whole, very long ones are taken whole, a few at a time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinleaf.llm import sieve
-from twinleaf.llm.common import answer, ask, chunked, durable, finish, text_bytes
+from twinleaf.llm.common import Exchange, durable
 
 LENGTH, GRAM = 50, 20
 CHUNK_BYTES, COLLECTION, HOT, STRIDE = 4 << 20, 1 << 18, 512, 1 << 16
@@ -219,13 +219,13 @@ class _Pieces:
         whole = _hashed(sums, inverse, start, LENGTH - 1 + windows) + windows.astype(np.uint64)
         return start + first, windows, key, whole, ids[lo + np.searchsorted(ends, start, side="right")]
 
-    def sieved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sieved(self) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(self.key, kind="stable")
         return sieve.runs(self.key[order], self.doc[order])
 
     def kept(self, buckets: int, got: dict[int, bytes]) -> None:
         """Leave out pieces of one document's hashes; split those of hot ones to single windows."""
-        tokens, _, _ = self.sieved()
+        tokens, _ = self.sieved()
         shared, hot = sieve.told(tokens, buckets, got)
         mine = np.searchsorted(tokens, self.key)
         stay = shared[mine] if len(mine) else np.zeros(0, bool)
@@ -261,13 +261,12 @@ def _ask_pieces(buckets: int):
     def each(table: pa.Table, got: dict[int, bytes]):
         p = _Pieces(table)
         p.kept(buckets, got)
-        at = sieve.edges(p.key[p.first], buckets)
-        for b in range(buckets):
-            i = p.first[at[b]:at[b + 1]]
-            if len(i):
-                sizes = p.windows[i] + LENGTH - 1
-                flat = np.repeat(p.start[i] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                yield b, np.uint32(len(i)).tobytes() + p.key[i].tobytes() + p.doc[i].tobytes() + sizes.astype(np.uint8).tobytes() + p.data[flat].tobytes()
+        which, at = sieve.cells(p.key[p.first], buckets)
+        for b, lo, hi in zip(which.tolist(), at.tolist(), at[1:].tolist()):
+            i = p.first[lo:hi]
+            sizes = p.windows[i] + LENGTH - 1
+            flat = np.repeat(p.start[i] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            yield buckets + b, np.uint32(len(i)).tobytes() + p.key[i].tobytes() + p.doc[i].tobytes() + sizes.astype(np.uint8).tobytes() + p.data[flat].tobytes()
     return each
 
 
@@ -315,14 +314,12 @@ def _removed(buckets: int):
     def each(table: pa.Table, got: dict[int, bytes]):
         p = _Pieces(table)
         p.kept(buckets, got)
-        at = sieve.edges(p.key[p.first], buckets) if len(p.first) else np.zeros(buckets + 1, int)
         lengths, values = [], []
-        for b in range(buckets):
-            if at[b + 1] > at[b]:
-                blob = zlib.decompress(got[buckets + b])
-                n = int(np.frombuffer(blob, np.uint32, 1)[0])
-                lengths.append(np.frombuffer(blob, np.uint8, n, 4).astype(np.int64))
-                values.append(np.frombuffer(blob, np.int64, -1, 4 + n))
+        for b in sieve.cells(p.key[p.first], buckets)[0].tolist():
+            blob = zlib.decompress(got[buckets + b])
+            n = int(np.frombuffer(blob, np.uint32, 1)[0])
+            lengths.append(np.frombuffer(blob, np.uint8, n, 4).astype(np.int64))
+            values.append(np.frombuffer(blob, np.int64, -1, 4 + n))
         cover = np.zeros(len(p.data) + 1, np.int32)
         if lengths:
             length, value = np.concatenate(lengths), np.concatenate(values)
@@ -349,9 +346,9 @@ def _removed(buckets: int):
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row."""
-    n = max(1, -(-text_bytes(docs) // CHUNK_BYTES))
-    dealt = chunked(docs, "doc_id", "text", chunk_bytes=CHUNK_BYTES)
-    known = durable(answer(ask(dealt, _ask_sieve(n)), sieve.replies(HOT), n)).repartition(n, "chunk")
-    minima = answer(ask(dealt, _ask_pieces(n), known), _reply_minima, n)
-    both = known.unionByName(minima.withColumn("bucket", (F.col("bucket") + n).cast("int"))).repartition(n, "chunk")
-    return finish(dealt, both, _removed(n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    x = Exchange.of(docs, CHUNK_BYTES)
+    b = x.buckets
+    dealt = x.dealt(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(x.chunks)).cast("int"), "doc_id", "text")
+    known = durable(x.answer(x.ask(dealt, _ask_sieve(b)), sieve.replies(HOT))).repartition(x.parts(x.chunks), "chunk")
+    minima = x.answer(x.ask(dealt, _ask_pieces(b), known), _reply_minima)
+    return x.finish(dealt, known.unionByName(minima), _removed(b), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
