@@ -298,10 +298,45 @@ def test_boosting_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
     y = ((x[:, 0] > 0) & (x[:, 1] > 0)).astype(float)
-    m = pii.boost(x, y)
-    picked = m.margin(x) >= m.threshold
-    assert (y[picked] == 1).mean() > 0.95 and picked.sum() > 0.7 * y.sum()
-    assert pii.boost(x, np.zeros(400)) is None
+    kind, apart = np.zeros(400, int), np.arange(400) % 5 == 0
+    m = pii.boost(x, y, kind, apart)
+    picked = m.margin(x) >= m.thresholds[0]
+    assert (y[picked] == 1).mean() > 0.95 and picked.sum() > 0.7 * y.sum() and m.thresholds[1] == np.inf
+    assert pii.boost(x, np.zeros(400), kind, apart) is None
+
+
+@pytest.fixture(scope="module")
+def private(spark):
+    """Documents with base spans, and the model fitted on them."""
+    rng = random.Random(8)
+    card = lambda: next(c for c in iter(lambda: "".join(rng.choice("0123456789") for _ in range(16)), "") if personal(c))
+    make = {"email": lambda: f"{rng.choice('abc')}{rng.choice('xyz')}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), "card": card, "phone": lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"}
+    texts = [f"{prose(rng, 20)} {make[k]()} {prose(rng, 12)}" for k in make for _ in range(60)]
+    return pii.fit(frame(spark, texts)), make, rng
+
+
+def test_pii_margins_in_sql(spark, private):
+    model = private[0]
+    rows = pii.labelled(pii.planted(frame(spark, ["write to a.b@c.example.com or call +1 (376) 555-9077 from 10.0.0.1 " + "word " * 40]))).withColumn("margin", model.expression(F.col("f"))).collect()
+    assert len(rows) > 20 and {r.y for r in rows} == {0, 1}
+    assert model.margin(np.array([r.f for r in rows], float)) == pytest.approx([r.margin for r in rows])
+
+
+def test_pii_adds_what_base_patterns_miss(spark, private):
+    model, make, rng = private
+    assert np.isfinite(model.thresholds).all()
+    hidden = {"email": make["email"]().replace("@", " (at) "), "ip": "10,7,44,203", "phone": make["phone"]()[3:]}
+    card = make["card"]()
+    hidden["card"] = card[:-1] + str((int(card[-1]) + 3) % 10)
+    clean = ["on 2024-05-17 10:30 it was", "release 12.4.0.3391 of it", "about 12,345,678,901 in all", "isbn 978-3-16-148410-0 here", "order 123456789012 came", "they met @ noon there", 'token="ab12345678901234567f" is set']
+    texts, want = [], []
+    for kind, form in hidden.items():
+        a = prose(rng, 9)
+        texts.append(f"{a} {form} {prose(rng, 9)}")
+        want.append(f"{kind}:{len(a) + 1}:{len(a) + 1 + len(form)}")
+    rows = sorted(pii.find(frame(spark, texts + clean), model).collect(), key=lambda r: r.doc_id)
+    assert [r.spans for r in rows] == want + [""] * len(clean)
+    assert {(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows} == {(0, 0, 0, 0, hashlib.sha256(b"").hexdigest())}
 
 
 def test_decontamination(spark):
@@ -325,7 +360,10 @@ def test_decontamination_parts_at_all_signs(spark):
     assert sorted((r.doc_id, r.item_id, r.matched) for r in found) == [(i, 7, 13) for i in range(len(texts) - 1)]
 
 
-def test_decontamination_of_all_substitutions(spark):
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_decontamination_of_all_substitutions(spark, most, monkeypatch):
+    """Every placement of up to three substitutions, with the benchmark broadcast and shuffled."""
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
     items = {n: [f"i{n}t{k}" for k in range(n)] for n in range(1, 15)}
     texts, want = [], set()
     for n, item in items.items():
@@ -340,6 +378,29 @@ def test_decontamination_of_all_substitutions(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_decontamination_against_all_alignments(spark, most, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    rng = random.Random(9)
+    few = lambda n: [rng.choice("abcd") for _ in range(n)]
+    items = {1: few(20), 2: few(14), 3: ["a"] * 30, 4: few(9), 5: few(3)}
+    texts = [few(rng.randint(5, 60)) for _ in range(60)] + [["a"] * 200, items[1][2:18], []]
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in items.items():
+            width, best = min(13, len(item)), 0
+            for lag in range(-len(item) + 1, len(t)):
+                same = [0 <= k + lag < len(t) and t[k + lag] == item[k] for k in range(len(item))]
+                best = max(best, *(sum(same[k:k + width]) for k in range(len(item) - width + 1)))
+            if 100 * best >= 80 * width:
+                want.add((d, i, best, width))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    docs = frame(spark, [" ".join(t) for t in texts])
+    assert {tuple(r) for r in decontamination.find(docs, bench).collect()} == want
+    kept = [r.doc_id for r in decontamination.keep_clean(docs.withColumn("doc_id", F.expr("if(doc_id < 62, doc_id, null)")), bench).collect()]
+    assert sorted(x for x in kept if x is not None) == [d for d in range(62) if d not in {w[0] for w in want}] and kept.count(None) == 1
+
+
 def test_kmeans_tree(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)

@@ -11,13 +11,14 @@ place in it that touches neither. Items shorter than a window are cut into one
 part more than the substitutions allowed, so that one part at least is equal; seeds of
 the parts' lengths are taken from texts only where the benchmark has such items.
 
-The benchmark side is broadcast while it has at most ``BROADCAST_SEEDS`` seeds, and
-joined by shuffle beyond that.
+A benchmark seed carries its neighbouring tokens only, and equal seeds with equal neighbours of one item are one, so that an item
+of repeated tokens has few. They are broadcast while they take at most ``BROADCAST_BYTES``. Beyond
+that, narrow (row, position, seed) rows are joined by shuffle, and tokens are fetched for the hits found.
 
 Defined cases: tokens are runs of letters and digits of any script, in lower case; null and empty texts
-have no hits; items of up to four tokens are found only whole; repeated rows give the same pair once;
+have no hits; very long texts are taken whole; items of up to four tokens are found only whole; repeated rows, and tied windows, give the same pair once;
 empty tables give no rows; other columns are kept by ``keep_clean`` and ignored by
-``find``; rows without doc_id are never dropped.
+``find``; rows without doc_id are found under a null doc_id, and ``keep_clean`` judges each of them by its own text.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinleaf.llm.common import with_ids
+
 #: 1 is a position that counts, 0 one that is ignored.
 MASK = "11010011"
 WINDOW, SHARE = 13, 80
 REACH = WINDOW - len(MASK)
 #: What parts tokens: all characters other than letters and digits; the ASCII ones are told first, as most are.
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7f[^\x00-\x7f\p{L}\p{N}]]+"
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _tokens(text: Column) -> Column:
@@ -65,32 +68,39 @@ def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
     return one.select("*", F.explode(F.array(*[_seed(m, F.col("at")) for m in masks])).alias("seed")).filter("seed IS NOT NULL")
 
 
-def _hits(docs: DataFrame, items: DataFrame, masks: list[str]) -> DataFrame:
-    """Join the seeds of ``docs`` with those of ``items`` (item_id, hashes, at, seed)."""
-    items = items.select("item_id", F.col("hashes").alias("item"), F.col("at").alias("item_at"), "seed").dropDuplicates(["item_id", "item", "item_at", "seed"])
-    if items.count() <= BROADCAST_SEEDS:
-        items = F.broadcast(items)
-    return _seeds(docs, masks).join(items, "seed")
+def _hits(docs: DataFrame, items: DataFrame, masks: list[str], near: int) -> DataFrame:
+    """Rows of ``docs`` at seeds of ``items`` (item_id, near, offset, width, seed): doc_id, hashes, at and the item's columns."""
+    items = items.select("item_id", "near", "offset", "width", "seed").filter("seed IS NOT NULL").distinct()
+    if items.count() * (8 * near + 64) <= BROADCAST_BYTES:
+        return _seeds(docs, masks).join(F.broadcast(items), "seed")
+    words = F.array_join(F.transform("hashes", lambda h: h.cast("string")), ",")
+    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), words).cast("binary")))
+    docs = docs.withColumn("row", row)
+    found = _seeds(docs, masks).select("row", "at", "seed").join(items, "seed").drop("seed").distinct()
+    return found.join(docs, "row")
 
 
-def _agrees(i: int | Column, k: int | Column) -> Column:
-    """1 where the tokens agree, 0 where they don't or one is outside its text."""
-    return F.coalesce(F.get("hashes", i) == F.get("item", k), F.lit(False)).cast("int")
+def _agreements(near: int) -> list[Column]:
+    """For each of the item's ``near`` tokens, 1 where the text's aligned token agrees, 0 where it doesn't or one is outside its text."""
+    first = F.col("at") - F.col("offset")
+    return [F.coalesce(F.get("hashes", first + i) == F.get("near", F.lit(i)), F.lit(False)).cast("int") for i in range(near)]
 
 
 def _find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Hits in items of at least ``WINDOW`` tokens."""
-    # Whether the tokens from REACH before the hit on agree. Spelt out, to stay within generated code.
-    same = [_agrees(F.col("at") + i, F.col("item_at") + i).alias(f"same{i + REACH}") for i in range(-REACH, WINDOW)]
-    hits = _hits(docs, _seeds(items, [MASK]), [MASK]).select("doc_id", "item_id", "item_at", F.size("item").alias("size"), *same)
-
-    def agreed(start: int) -> Column:
-        """Tokens that agree in the window that starts ``start`` tokens before the hit; -1 outside the item."""
-        first = REACH - start
-        inside = (F.col("item_at") >= start) & (F.col("item_at") - start + WINDOW <= F.col("size"))
+    near = REACH + WINDOW  # tokens from REACH before the seed on, null outside the item
+    around = F.array(*[F.get("hashes", F.col("at") + i) for i in range(-REACH, WINDOW)])
+    items = _seeds(items, [MASK]).select("item_id", around.alias("near"), F.lit(REACH).alias("offset"), F.lit(WINDOW).alias("width"), "seed")
+    hits = _hits(docs, items, [MASK], near)
+    # Spelt out, to stay within generated code.
+    hits = hits.select("doc_id", "item_id", "width", *[F.get("near", F.lit(k)).isNotNull().alias(f"there{k}") for k in range(near)], *[a.alias(f"same{k}") for k, a in enumerate(_agreements(near))])
+
+    def agreed(first: int) -> Column:
+        """Tokens that agree in the window from the ``first`` near token on; -1 outside the item."""
+        inside = F.col(f"there{first}") & F.col(f"there{first + WINDOW - 1}")
         return F.when(inside, sum((F.col(f"same{k}") for k in range(first + 1, first + WINDOW)), F.col(f"same{first}"))).otherwise(-1)
 
-    return hits.select("doc_id", "item_id", F.greatest(*[agreed(k) for k in range(REACH + 1)]).alias("matched"), F.lit(WINDOW).alias("width"))
+    return hits.select("doc_id", "item_id", F.greatest(*[agreed(k) for k in range(REACH + 1)]).alias("matched"), "width")
 
 
 def _find_whole(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
@@ -98,14 +108,13 @@ def _find_whole(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFram
     lengths = sorted({n for size in sizes for _, n in _parts(size)})
     masks = {n: "1" * n for n in lengths}
     parts = [F.when(F.size("hashes") == size, F.array(*[F.struct(F.lit(a).alias("at"), _seed(masks[n], F.lit(a)).alias("seed")) for a, n in _parts(size)])) for size in sizes]
-    items = items.select("item_id", "hashes", F.explode(F.coalesce(*parts)).alias("p")).select("item_id", "hashes", "p.at", "p.seed")
-    start = F.col("at") - F.col("item_at")
-    same = [_agrees(start + i, F.lit(i)) for i in range(max(sizes))]
-    return _hits(docs, items, list(masks.values())).select("doc_id", "item_id", sum(same[1:], same[0]).alias("matched"), F.size("item").alias("width"))
+    items = items.select("item_id", "hashes", F.explode(F.coalesce(*parts)).alias("p")).select("item_id", F.col("hashes").alias("near"), F.col("p.at").alias("offset"), F.size("hashes").alias("width"), "p.seed")
+    same = _agreements(max(sizes))
+    return _hits(docs, items, list(masks.values()), max(sizes)).select("doc_id", "item_id", sum(same[1:], same[0]).alias("matched"), "width")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item that overlap: doc_id, item_id, matched and width of the best window, hits."""
+    """One row for each document and item that overlap: doc_id, item_id, matched and width of the best window."""
     docs, items = docs.select("doc_id", _tokens(F.col("text")).alias("hashes")), benchmark.select("item_id", _tokens(F.col("text")).alias("hashes"))
     size = F.size("hashes")
     found = _find_windows(docs, items.filter(size >= WINDOW))
@@ -114,9 +123,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if sizes:
         found = found.unionByName(_find_whole(docs, short, sizes))
     found = found.filter(F.col("matched") * 100 >= F.col("width") * SHARE)
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"), F.count("*").alias("hits"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap any item."""
-    return docs.join(find(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    named = with_ids(docs)
+    rows, own = named or (docs, "doc_id")
+    clean = rows.join(find(rows, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return clean.withColumn("doc_id", F.col(own)).select(docs.columns)
