@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinleaf.operators.durable import durable
+
 
 def edges(pairs: DataFrame) -> DataFrame:
     """Both directions of each (u, v), once."""
@@ -26,8 +28,9 @@ def common_neighbours(pairs: DataFrame) -> DataFrame:
 
 def second_order(pairs: DataFrame) -> DataFrame:
     """(id, u, v, common2): neighbours of neighbours in common, without u and v themselves."""
-    e = edges(pairs)
+    e = durable(edges(pairs))
     hop = e.select("u", F.col("v").alias("m")).join(e.select(F.col("u").alias("m"), F.col("v").alias("x")), "m").select("u", "x").distinct()
+    hop = durable(hop)
     one = pairs.join(hop, "u")
     both = one.join(hop.select(F.col("u").alias("v"), "x"), ["v", "x"]).filter("x <> u AND x <> v")
     found = both.groupBy("id", "u", "v").agg(F.count("*").alias("common2"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twinleaf.operators import ordering
+from twinleaf.operators.durable import durable
 
 
 def log_loss(df: DataFrame, weight: str | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def _cumulated(df: DataFrame, weight: str | None) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, weight: str | None = None) -> DataFrame:
-    c = _cumulated(df, weight)
+    c = durable(_cumulated(df, weight))
     totals = c.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return c.join(F.broadcast(totals)).select("p", F.try_divide("tp", "all_pos").alias("tpr"), F.try_divide("fp", "all_neg").alias("fpr"))
 
@@ -36,6 +37,7 @@ def auc(df: DataFrame, weight: str | None = None) -> DataFrame:
 
 def reliability(df: DataFrame, bins: int = 20, weighted: bool = False) -> DataFrame:
     """Mean score and label in runs of floor(n / bins) + 1 rows by score; empty trailing bins don't appear."""
+    df = durable(df)
     n = df.count() // bins
     w = F.col("w") if weighted else F.lit(1.0)
     b = ordering.numbered(df, ["p", "id"], "row").withColumn("bin", F.floor(F.col("row") / (n + 1)))

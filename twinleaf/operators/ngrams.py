@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 def grams(df: DataFrame, n: int) -> DataFrame:
     """(id, side, gram, count) of lower-cased texts with single spaces."""
     sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.regexp_replace(F.lower(F.col(f"question{k}")), r"\s+", " ").alias("text")) for k in (1, 2)]))
-    one = df.select("id", sides.alias("s")).select("id", "s.side", "s.text").filter(F.length("text") >= n)
-    each = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, F.lit(n))))
-    return one.select("id", "side", each.alias("gram")).groupBy("id", "side", "gram").agg(F.count("*").alias("count"))
+    chars = F.split("s.text", "(?s)(?<=.)(?=.)")
+    one = df.select("id", sides.alias("s")).filter(F.length("s.text") >= n).select("id", "s.side", chars.alias("chars"))
+    runs, most = F.col("chars"), F.size("chars") - n + 1
+    for k in range(2, n + 1):  # shifted copies side by side: linear in the text
+        runs = F.zip_with(F.slice(runs, 1, most), F.slice("chars", k, most), lambda a, b: F.concat(a, b))
+    return one.select("id", "side", F.explode(runs).alias("gram")).groupBy("id", "side", "gram").agg(F.count("*").alias("count"))
 
 
 def frequent(counts: DataFrame, least: int) -> DataFrame:

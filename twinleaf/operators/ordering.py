@@ -2,7 +2,7 @@
 
 A bounded sample of keys gives splitters, rows fall into the parts between them, and what the
 parts before hold (a row for each part) is added to a window inside each part. Keys are unique,
-so that no part outgrows the others; nulls come first.
+so that no part outgrows the others; nulls come first. The input is written once, as it is passed three times.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from twinleaf.operators.durable import durable
+
 #: Parts of an order, and keys sampled to find their splitters.
 PARTS, SAMPLE = 64, 4096
 
@@ -24,8 +26,16 @@ def _part(df: DataFrame, key: list[str], parts: int) -> Column:
     if not bounds:
         return F.lit(0)
     own = F.struct(*[F.col(k).alias(k) for k in key])
-    split = F.array(*[F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(key, b)]) for b in bounds])
-    return F.size(F.filter(split, lambda b: b <= own))
+    split = [F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(key, b)]) for b in bounds]
+
+    def between(lo: int, hi: int) -> Column:
+        """How many splitters are at most the key, known to be from lo to hi: halved at each step, within generated code."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(own < split[mid], between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return between(0, len(split))
 
 
 def _by_part(df: DataFrame, *aggregates: Column) -> dict[int, tuple]:
@@ -40,6 +50,7 @@ def _looked_up(values: list, kind: str) -> Column:
 def cumulated(df: DataFrame, key: list[str], sums: dict[str, str | Column], parts: int = PARTS) -> DataFrame:
     """Add each sum of ``sums`` (name: value) over all rows up to this one, in the order of ``key``."""
     values = {f"_{name}": F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
+    df = durable(df)
     df = df.withColumns({"_part": _part(df, key, parts)} | values)
     held = _by_part(df, *[F.sum(v) for v in values])
     inside = Window.partitionBy("_part").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
@@ -58,6 +69,7 @@ def numbered(df: DataFrame, key: list[str], name: str) -> DataFrame:
 
 def previous(df: DataFrame, key: str, name: str, default, parts: int = PARTS) -> DataFrame:
     """Add the value of ``key`` in the row before, ``default`` in the first."""
+    df = durable(df)
     df = df.withColumn("_part", _part(df, [key], parts))
     held = _by_part(df, F.max(key))
     last = [max((held[q][0] for q in held if q < p), default=None) for p in range(parts)]

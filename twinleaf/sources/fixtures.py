@@ -65,9 +65,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, y, p, w): a score between 0.01 and 0.99 for neighbouring documents, label and class weight."""
     d = table(spark, sf_dir, "documents")
     words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", "[^ -~]+", " "), " +"), lambda w: w != ""))
-    a = d.select("doc_id", words.alias("a"))
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), words.alias("b"))
+    tasks = spark.sparkContext.defaultParallelism  # long rows, costly to compare: a task for each core at least
+    a = d.select("doc_id", words.alias("a")).repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     y = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
-    p = F.size(F.array_intersect("a", "b")) / F.greatest(F.size(F.array_union("a", "b")), F.lit(1))
+    both = F.size(F.array_intersect("a", "b"))
+    p = both / F.greatest(F.size("a") + F.size("b") - both, F.lit(1))
     w = F.when(F.col("y") == 1, F.lit(0.472)).otherwise(F.lit(1.309))
-    return a.join(b, "doc_id").join(y, "doc_id").select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"), F.round(F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99)), 6).alias("p"), w.alias("w"))
+    return a.join(y, "doc_id").join(b, "doc_id").select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"), F.round(F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99)), 6).alias("p"), w.alias("w"))
