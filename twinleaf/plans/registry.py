@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from twinleaf.functions import cascade, cleaning, fuzzy, lexical, stemming, transport, vectors
 from twinleaf.operators import assemble, factors, graph, metrics, models, ngrams, ordering, tagging
-from twinleaf.plans import sql
+from twinleaf.plans import sql, stored
 from twinleaf.sources import fixtures as fx
 
 REGISTERED: dict = {}
@@ -277,7 +277,9 @@ def _(spark, sf_dir):
 
 @query("w7_holdout")
 def _(spark, sf_dir):
-    return fx.pairs(spark, sf_dir).filter(F.pmod(F.xxhash64(F.col("id") + 31), F.lit(100)) == 0).select("id")
+    """One in a hundred by a digest of the id and a seed."""
+    number = F.conv(F.substring(F.md5((F.col("id") + 31).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return fx.pairs(spark, sf_dir).filter(number % 100 == 0).select("id")
 
 
 @query("u1_union_all")
@@ -694,8 +696,8 @@ def _(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(REGISTERED)
+    return REGISTERED | stored.REGISTERED
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in sql.statements().items() if k in REGISTERED}
+    return {k: v for k, v in (sql.statements() | stored.STATEMENTS).items() if k in queries()}

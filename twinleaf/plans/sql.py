@@ -106,6 +106,14 @@ s AS (SELECT id, sum(CASE WHEN list_contains(other, word) THEN weight ELSE 0 END
 SELECT tok.id, round(coalesce(value, 0), 6)::DOUBLE AS value FROM tok LEFT JOIN s USING (id)"""
 
 
+GRAMS2 = _grams(2)
+
+
+def features() -> dict[str, str]:
+    """Each pair feature over ``tok``."""
+    return _features()
+
+
 FIVE = ("b1_word_match", "b2_jaccard", "b4_total_unique_words", "b6_wc_diff", "l1_diff_len")
 
 
@@ -152,6 +160,7 @@ SELECT id, u, v, (SELECT count(*) FROM hop p JOIN hop q ON p.x = q.x WHERE p.u =
         "w4_id_gaps": "SELECT l_orderkey, previous FROM (SELECT l_orderkey, lag(l_orderkey, 1, -1) OVER (ORDER BY l_orderkey) AS previous FROM (SELECT DISTINCT l_orderkey FROM lineitem)) WHERE l_orderkey - previous > 1",
         "w5_false_positives": f"WITH {SCORED} SELECT id, y, p FROM scored WHERE y = 0 ORDER BY p DESC, id DESC LIMIT 100",
         "w5_false_negatives": f"WITH {SCORED} SELECT id, y, p FROM scored WHERE y = 1 ORDER BY p, id LIMIT 100",
+        "w7_holdout": p + "id FROM pairs WHERE ('0x' || left(md5((id + 31)::VARCHAR), 8))::BIGINT % 100 = 0",
         "u1_union_all": p + "id, question1, NULL::INT AS is_duplicate FROM pairs UNION ALL SELECT id, NULL, is_duplicate FROM pairs",
         "u2_union_distinct": p + "question1 AS question FROM pairs UNION SELECT question2 FROM pairs",
         "c1_clean": f"WITH {TOK} SELECT id, {_clean()} AS cleaned FROM tok",

@@ -22,8 +22,14 @@ def _value(word: str):
     return float(word) if re.fullmatch(r"[+-]?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?", word) else word
 
 
+class _Over(tuple):
+    """A reference and the dict over it, merged once the reference is looked up."""
+
+
 def merged(a, b):
     """``b`` over ``a``; dicts are merged key by key."""
+    if isinstance(a, (_Ref, _Over)) and isinstance(b, dict):
+        return _Over((a, b))
     if not (isinstance(a, dict) and isinstance(b, dict)):
         return b
     return {k: merged(a[k], b[k]) if k in a and k in b else b.get(k, a.get(k)) for k in {**a, **b}}
@@ -98,7 +104,12 @@ def _resolved(x, root: dict, seen: tuple = ()):
     if isinstance(x, _Ref):
         if x in seen:
             raise ValueError(f"{x} refers to itself")
-        return _resolved(get(root, x), root, (*seen, x))
+        found = root
+        for k in x.split("."):
+            found = (_resolved(found, root, (*seen, x)) if isinstance(found, (_Ref, _Over)) else found)[k]
+        return _resolved(found, root, (*seen, x))
+    if isinstance(x, _Over):
+        return merged(*[_resolved(part, root, seen) for part in x])
     if isinstance(x, dict):
         return {k: _resolved(v, root, seen) for k, v in x.items()}
     return [_resolved(v, root, seen) for v in x] if isinstance(x, list) else x

@@ -58,13 +58,50 @@ def read_groups(spark: SparkSession, folder: str, groups: dict[str, list[str]],
     return reduce(lambda a, b: a.join(b, key, "left"), parts)
 
 
+def read_kcores(spark: SparkSession, path: str) -> DataFrame:
+    """(question, kcores) from CSV; of several lines of one question, in lower case, the last one counts."""
+    df = spark.read.csv(path, schema="question string, kcores long", header=True, escape='"')
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return df.select(F.lower("question").alias("question"), "kcores", line.alias("line")).groupBy("question").agg(F.max_by("kcores", "line").alias("kcores"))
+
+
+def with_kcores(pairs: DataFrame, cores: DataFrame) -> DataFrame:
+    """Both questions' core numbers, 0 where unknown."""
+    for k in "12":
+        one = cores.select(F.col("question").alias(f"_q{k}"), F.col("kcores").alias(f"kcores{k}"))
+        pairs = pairs.withColumn(f"_q{k}", F.lower(f"question{k}")).join(one, f"_q{k}", "left").drop(f"_q{k}").withColumn(f"kcores{k}", F.coalesce(f"kcores{k}", F.lit(0)))
+    return pairs
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at ``path``; ``make()`` gives it where there is none yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_feature_map(spark: SparkSession, names: list[str], path: str) -> None:
+    """Number, name and kind (q: a quantity) of each feature, tab separated."""
+    spark.createDataFrame([(f"{i}\t{n}\tq",) for i, n in enumerate(names)], "line string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_feature_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", schema="at int, name string, kind string")
+
+
+def write_model_dump(spark: SparkSession, model, path: str) -> None:
+    """The trees of a model as lines of text."""
+    spark.createDataFrame([(line,) for line in model.toDebugString.splitlines()], "line string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_submission(df: DataFrame, path: str, key: str = "test_id", score: str = "p") -> None:
     df.select(F.col(key).alias("test_id"), F.col(score).alias("is_duplicate")).write.mode("overwrite").csv(path, header=True)
 
 
 def write_errors(df: DataFrame, path: str) -> None:
     """Scored rows with their texts; texts are quoted, so that commas don't break rows."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_record(df: DataFrame, path: str) -> None:

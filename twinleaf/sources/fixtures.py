@@ -20,7 +20,7 @@ def fill_texts(df: DataFrame, fill: str = "nan") -> DataFrame:
 
 
 def write_pairs_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)
+    df.write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
