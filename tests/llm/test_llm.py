@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinleaf.llm import automaton, common, decontamination, jaccard_join, kmeans_tree, lm_scoring, packing, pii, secrets, sharding, sieve, suffix_dedup, toxicity
+from twinleaf.llm import queries
 from twinleaf.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, chunk string, shard string, n_chars long"
@@ -465,3 +466,29 @@ def test_pipeline_stages(spark):
         if name != "packing":
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert docs.agg(F.sum("length")).first()[0] > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_in_sql(spark, name):
+    import duckdb
+
+    duck, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark", "labels"):
+        duck.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cur = duck.execute(queries.oracle_sql()[name])
+    cols = [x[0] for x in cur.description]
+    df = queries.queries()[name](spark, sf)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(map(str, cur.fetchall())) == sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect())))
+
+
+FORMS_ADDED = {"github": (r"gh[pousr]_[A-Za-z0-9]+", 40), "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 15), "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40), "pem": (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0)}
+
+
+def test_added_secret_kinds():
+    rng = random.Random(12)
+    bits = ["ghp_", "gho_", "xoxb-", "xoxp-1", "eyJ", ".eyJ", ".", "abcDEF0123456789", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", " ", "é", "_", "-"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        want = [(m.start(), automaton.KINDS.index(k), m.end(), k) for k, (form, least) in FORMS_ADDED.items() for m in re.finditer(form, t, re.A) if m.end() - m.start() >= least]
+        assert [x for x in automaton.scan_text(t) if x[0] in FORMS_ADDED] == [(k, s, e) for s, _, e, k in sorted(want)]
