@@ -125,7 +125,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 #: One exchange row goes to a bucket; beyond FAN buckets, rows go to groups of buckets first.
-FAN, BUCKET_BYTES, LEAST_BUCKETS = 2048, 32 << 20, 32
+FAN, BUCKET_BYTES, LEAST_BUCKETS = 4096, 16 << 20, 64
 ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 ANSWER_DDL = "chunk int, bucket int, blob binary"
 

@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinleaf.llm import sieve
@@ -37,7 +37,8 @@ from twinleaf.llm.common import Exchange, arrow_schema, durable, hot_join, hot_k
 
 WORDS, SHARE = 5, 80
 CHUNK_BYTES = 4 << 20
-BLOCK, LEAF, FANOUT, BITS = 2048, 16, 8, 4096
+#: A block has at most BLOCK members, and at most BLOCK * SHORT shingles (and one member): a member counts as SHORT shingles at least.
+BLOCK, SHORT, LEAF, FANOUT, BITS = 2048, 512, 16, 8, 4096
 #: Fixed value: an odd multiplier that mixes word hashes.
 MIX = 0x9E3779B97F4A7C15
 
@@ -260,9 +261,13 @@ def _with_groups(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, spread: int) -> DataFrame:
-    """``block`` numbers runs of BLOCK members of a cluster, by size within about 4 % and then by hash; ``spread`` hashes part a cluster of one size."""
+    """``block`` numbers runs of a cluster's members, by size within about 4 % and then by hash; ``spread`` hashes part a cluster of one size."""
     level = F.floor(F.log2(F.col("n_shingles")) * 16) * spread + F.pmod(F.xxhash64("class"), F.lit(spread))
-    return running(rows, F.lit(1), ["cluster"], level, ["class"], "at", bounded=False).withColumn("block", F.floor(F.col("at") / BLOCK)).drop("at")
+    return running(rows, _weight(), ["cluster"], level, ["class"], "at", bounded=False).withColumn("block", F.floor(F.col("at") / (BLOCK * SHORT))).drop("at")
+
+
+def _weight() -> Column:
+    return F.greatest("n_shingles", F.lit(SHORT))
 
 
 def similar_classes(sets: DataFrame) -> DataFrame:
@@ -271,18 +276,19 @@ def similar_classes(sets: DataFrame) -> DataFrame:
     pairs = durable(sets.mapInArrow(_prefixes, "token long, class long"))
     firsts = pairs.groupBy("token").agg(F.min("class").alias("v"), F.max("class").alias("w")).filter("v <> w").select("token", "v")
     near = durable(hot_join(pairs, firsts, "token", hot_keys(pairs, "token")).filter("class <> v").select(F.col("class").alias("u"), "v").distinct())
-    clusters = connected(near).select("class", F.col("root").alias("cluster"))
-    counts = durable(clusters.groupBy("cluster").agg(F.count("*").alias("members")))
-    members = durable(hot_join(clusters, counts, "cluster", hot_keys(clusters, "cluster")))
+    clusters = durable(connected(near).select("class", F.col("root").alias("cluster")).join(sets.select("class", _weight().alias("own")), "class"))
+    weights = durable(clusters.groupBy("cluster").agg(F.sum("own").alias("weight")))
+    members = durable(hot_join(clusters, weights, "cluster", hot_keys(clusters, "cluster")))
     rows = durable(sets.join(members, "class"))
     # Small clusters share bins; large ones are cut to blocks in order of size.
-    n = rows.count()
-    bins, spread = max(partitions(spark), n // BLOCK + 1), n // (4 * BLOCK) + 1
-    small = rows.filter(F.col("members") <= BLOCK).withColumn("block", F.lit(0).cast("long")).withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    large = _in_blocks(rows.filter(F.col("members") > BLOCK), spread).withColumn("bin", F.col("cluster"))
+    n = members.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0] // (BLOCK * SHORT) + 1
+    bins, spread = max(partitions(spark), n), n // 4 + 1
+    is_small = F.col("weight") <= BLOCK * SHORT
+    small = rows.filter(is_small).withColumn("block", F.lit(0).cast("long")).withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
+    large = _in_blocks(rows.filter(~is_small), spread).withColumn("bin", F.col("cluster"))
     blocks = durable(small.unionByName(large).withColumn("grp", F.col("class")))
     links = durable(_linked(blocks, ["bin", "block"]))
-    split = blocks.filter(F.col("members") > BLOCK)
+    split = blocks.filter(~is_small)
     if not split.isEmpty():
         # One member for each component of a block; these meet first.
         split = durable(_with_groups(split, links))
