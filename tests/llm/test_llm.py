@@ -454,6 +454,79 @@ def test_rows_without_id_take_part_in_filters(spark, corpus):
     assert sorted(rows, key=str) == sorted([(4, a), (None, b), (None, None), (None, None)], key=str)
 
 
+def first_of_each_group(texts):
+    """Indices of one text for each component of near-duplicates, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return {i for i in range(len(sets)) if not sets[i] or root(i) == i}
+
+
+def test_pipeline_against_brute_force(spark, corpus, tmp_path):
+    """Every stage on what the one before kept: nulls, empty texts, repeated rows, rows without id and an extra column."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from twinleaf.llm.common import durable
+
+    rng = random.Random(14)
+    item = [f"q{k}z" for k in range(20)]
+    texts = corpus[:40] + [prose(rng, 30) + " vile " + prose(rng, 5) for _ in range(150)] + [prose(rng, 35) for _ in range(300)]
+    texts += [prose(rng, 9) + " " + " ".join(item) + " " + prose(rng, 9), prose(rng, 12) + " password=abcdefghijklmnop " + prose(rng, 3), None, "", "word " * 9000]
+    ids = list(range(len(texts)))
+    docs = frame(spark, texts + [texts[0], texts[41], texts[60], "only here " + prose(rng, 20)], ids + [0, 41, None, None])
+    sf = str(tmp_path)
+    docs.repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, int(t is not None and "vile" in t)) for i, t in enumerate(texts[:480])], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, durable(stage(spark, docs, sf))
+        kept[name] = docs
+        assert name == "packing" or docs.columns == before.columns
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    all_rows = rows(spark.read.parquet(f"{sf}/documents.parquet"))
+    scores = toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    toxic = Counter(r.doc_id for r in scores if r.predicted)
+    sane = rows(kept["toxicity"])
+    assert Counter(d for d, _ in all_rows) - Counter(d for d, _ in sane) == toxic
+    order = sorted(range(len(sane)), key=lambda i: (sane[i][0] is None, sane[i][0] or 0))
+    first = first_of_each_group([sane[i][1] for i in order])
+    unique = rows(kept["jaccard_join"])
+    keep = lambda x: {r for r in x if words(r[1])}
+    assert keep(unique) == keep(sane[order[i]] for i in first) and len(keep(unique)) == sum(bool(words(t)) for _, t in unique)
+    clean = rows(kept["decontamination"])
+    assert clean == [r for r in unique if " ".join(item) not in (r[1] or "")]
+    safe = rows(kept["secret_scans"])
+    assert safe == sorted(((d, secrets.redact_text(t)) for d, t in clean), key=str) and not any("password=" in (t or "") for _, t in safe)
+    slow = Tokenizer.from_file(vocabulary())
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.doc_id] += r.length
+    want = Counter()
+    for d, t in safe:
+        want[d] += len(slow.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sizes == want
+    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+    none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = durable(stage(spark, none, sf))
+    assert none.count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

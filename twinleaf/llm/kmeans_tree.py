@@ -9,7 +9,7 @@ many visitors are split, so a hot leaf is many tasks.
 Equal vectors are indexed once, with their k + 1 smallest ids, which is all that k nearest can need.
 
 Defined cases: vectors that are null, zero, of another length than the most frequent one, or hold
-null or non-finite components take no part; ties go to the smaller vec_id; repeated rows with one
+null or non-finite components take no part; long vectors are taken whole; ties go to the smaller vec_id; repeated rows with one
 vec_id and vector are one row; fewer than k candidates give all; an empty table gives no rows;
 other columns are ignored.
 """
@@ -182,11 +182,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     index = durable(classes.mapInArrow(placed, "cid long, embedding array<float>, ids array<long>, leaf int"))
     named = durable(asked.groupBy("embedding").agg(F.min("vec_id").alias("qid")))
     # Calibration: where, in each probe's order of leaves, its true neighbours lie.
-    probes = named.orderBy(F.xxhash64("qid"), "qid").limit(PROBES).collect()
+    probes = named.join(classes.select("embedding", F.col("cid").alias("own")), "embedding").orderBy(F.xxhash64("qid"), "qid").limit(PROBES).collect()
     vectors_of = unit(np.array([r.embedding for r in probes], np.float64))
     truth = _brute(index, (np.array([r.qid for r in probes]), vectors_of), dim, k + 1).collect()  # k + 1 rows for each probe
+    own = {r.qid: r.own for r in probes}
     order = {r.qid: {leaf: i for i, leaf in enumerate(tree.visits(q, tree.leaves))} for r, q in zip(probes, vectors_of)}
-    at = np.array([order[r.qid][r.leaf] for r in truth])
+    # A probe's own vector is always found and is no neighbour: it doesn't count.
+    at = np.array([order[r.qid][r.leaf] for r in truth if r.cid != own[r.qid]])
+    at = at if len(at) else np.zeros(1)
     most = 4
     while most < tree.leaves and (at < most).mean() < recall:
         most += max(1, most // 4)

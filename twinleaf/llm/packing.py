@@ -5,8 +5,8 @@ parts of the rest, longest first. Each piece is a sequence of its own, so no seq
 crosses documents and none is padded. Sequences of equal length are numbered
 together.
 
-Defined cases: a null text counts as empty and gives one piece of one id; repeated
-rows are packed separately; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text counts as empty and gives one piece of one id; very long texts are encoded whole; repeated
+rows, and those without doc_id, are packed separately; tied pieces are numbered in any order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

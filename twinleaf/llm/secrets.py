@@ -1,6 +1,6 @@
 """Secret scans over documents; see ``automaton`` for the method.
 
-Defined cases: a null or empty text has no spans; very long texts pass whole;
+Defined cases: a null or empty text has no spans; very long texts pass whole; spans that begin together go in order of kinds;
 repeated rows are scanned each; an empty table gives no rows; other columns are
 kept by ``redact`` and ignored by ``scan``.
 """

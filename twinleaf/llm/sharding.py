@@ -11,8 +11,8 @@ their members, and rounds go on. Each accepted move raises the sum of squared co
 so rounds end by themselves. Documents without links fill the room left. Law ``rows``:
 shard sizes differ by one at most.
 
-Defined cases: a null text counts as empty text; repeated rows are separate
-members; an empty table gives no rows; other columns are ignored; a group
+Defined cases: a null text counts as empty text; very long texts count by their digest; repeated rows, and those without doc_id, are separate
+members; tied shards and groups go by a hash; an empty table gives no rows; other columns are ignored; a group
 as large as a shard's quota fills whole shards first, and only its rest takes part in rounds.
 """
 
@@ -24,7 +24,8 @@ from pyspark.sql.window import Window
 
 from twinleaf.llm.common import durable, numbered, running
 
-SALTS = 64
+#: Parts of a group, at least; and rows of a part about which more parts are made, so that none outgrows a task.
+SALTS, PART_ROWS = 64, 1 << 17
 
 
 def _quota(n: int, shards: int) -> list[int]:
@@ -136,8 +137,10 @@ def _round(state: DataFrame, quota: list[int]) -> DataFrame | None:
 def balanced_label_propagation(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Return doc_id, size, text_crc32, shard and slot for each row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    rows = durable(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("grp"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")))
-    quota = _quota(rows.count(), shards)
+    rows = durable(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("grp")))
+    n = rows.count()
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(SALTS, n // PART_ROWS))))
+    quota = _quota(n, shards)
     parts = durable(rows.groupBy("grp", "salt").agg(F.count("*").alias("part")))
     state = durable(_start(durable(parts.groupBy("grp").agg(F.sum("part").alias("total")).filter("total > 1")), quota))
     while (after := _round(state, quota) or _gather(state, quota)) is not None:
@@ -161,3 +164,10 @@ def balanced_label_propagation(docs: DataFrame, shards: int = 24) -> DataFrame:
     cols = ["doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard")]
     placed = durable(paired.select(*cols).unionByName(single.select(*cols)))
     return numbered(placed, "slot", "doc_id", ["doc_id", "text_crc32"], by=["shard"])
+
+
+def cut(placed: DataFrame) -> DataFrame:
+    """One row: the links (pairs of equal texts) in all and across shards, linked groups, and groups in more than one shard."""
+    parts = placed.groupBy("text_crc32", "size", "shard").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("text_crc32", "size").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("shards")).filter("total > 1")
+    return groups.agg(F.coalesce(F.sum(F.expr("total * (total - 1) div 2")), F.lit(0)).alias("links"), F.coalesce(F.sum(F.expr("(total * total - same) div 2")), F.lit(0)).alias("cut"), F.count("*").alias("groups"), F.count(F.when(F.col("shards") > 1, 1)).alias("split"))
