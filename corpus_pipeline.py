@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which ``run`` writes as Parquet and reads again as the next one's docs.
+
+Defined cases: null and empty texts are never toxic by label alone, are no near-duplicates of anything, hold no passage
+and no secret, and are packed as one closing id; rows that repeat a doc_id and text count as near-duplicates; rows without
+doc_id take part in all stages; very long texts are taken whole; empty tables give no rows; extra columns stay until packing.
 """
 
 from __future__ import annotations
