@@ -80,10 +80,16 @@ def _hits(docs: DataFrame, items: DataFrame, masks: list[str], near: int) -> Dat
     return found.join(docs, "row")
 
 
-def _agreements(near: int) -> list[Column]:
-    """For each of the item's ``near`` tokens, 1 where the text's aligned token agrees, 0 where it doesn't or one is outside its text."""
+def _matched(width: Column, starts: Column) -> Column:
+    """The most tokens that agree in a window of ``width`` of the item's near tokens that begins at one of ``starts``.
+
+    Higher-order functions run outside generated code, for the few hits alone: spelt out,
+    they made the loop over all positions too large a method to be compiled.
+    """
     first = F.col("at") - F.col("offset")
-    return [F.coalesce(F.get("hashes", first + i) == F.get("near", F.lit(i)), F.lit(False)).cast("int") for i in range(near)]
+    outside = F.lit(-100)  # a token that the item doesn't have: no window may hold it
+    same = F.transform("near", lambda t, k: F.when(t.isNull(), outside).otherwise(F.coalesce(F.get("hashes", first + k) == t, F.lit(False)).cast("int")))
+    return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(same, s + 1, width), F.lit(0), lambda acc, v: acc + v)))
 
 
 def _find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -91,16 +97,7 @@ def _find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     near = REACH + WINDOW  # tokens from REACH before the seed on, null outside the item
     around = F.array(*[F.get("hashes", F.col("at") + i) for i in range(-REACH, WINDOW)])
     items = _seeds(items, [MASK]).select("item_id", around.alias("near"), F.lit(REACH).alias("offset"), F.lit(WINDOW).alias("width"), "seed")
-    hits = _hits(docs, items, [MASK], near)
-    # Spelt out, to stay within generated code.
-    hits = hits.select("doc_id", "item_id", "width", *[F.get("near", F.lit(k)).isNotNull().alias(f"there{k}") for k in range(near)], *[a.alias(f"same{k}") for k, a in enumerate(_agreements(near))])
-
-    def agreed(first: int) -> Column:
-        """Tokens that agree in the window from the ``first`` near token on; -1 outside the item."""
-        inside = F.col(f"there{first}") & F.col(f"there{first + WINDOW - 1}")
-        return F.when(inside, sum((F.col(f"same{k}") for k in range(first + 1, first + WINDOW)), F.col(f"same{first}"))).otherwise(-1)
-
-    return hits.select("doc_id", "item_id", F.greatest(*[agreed(k) for k in range(REACH + 1)]).alias("matched"), "width")
+    return _hits(docs, items, [MASK], near).select("doc_id", "item_id", _matched(F.lit(WINDOW), F.sequence(F.lit(0), F.lit(REACH))).alias("matched"), "width")
 
 
 def _find_whole(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
@@ -109,8 +106,7 @@ def _find_whole(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFram
     masks = {n: "1" * n for n in lengths}
     parts = [F.when(F.size("hashes") == size, F.array(*[F.struct(F.lit(a).alias("at"), _seed(masks[n], F.lit(a)).alias("seed")) for a, n in _parts(size)])) for size in sizes]
     items = items.select("item_id", "hashes", F.explode(F.coalesce(*parts)).alias("p")).select("item_id", F.col("hashes").alias("near"), F.col("p.at").alias("offset"), F.size("hashes").alias("width"), "p.seed")
-    same = _agreements(max(sizes))
-    return _hits(docs, items, list(masks.values()), max(sizes)).select("doc_id", "item_id", sum(same[1:], same[0]).alias("matched"), "width")
+    return _hits(docs, items, list(masks.values()), max(sizes)).select("doc_id", "item_id", _matched(F.col("width"), F.array(F.lit(0))).alias("matched"), "width")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -122,8 +118,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r.n for r in short.select(size.alias("n")).distinct().collect())  # fewer than WINDOW
     if sizes:
         found = found.unionByName(_find_whole(docs, short, sizes))
-    found = found.filter(F.col("matched") * 100 >= F.col("width") * SHARE)
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"))
+    # After the maximum: before it, the condition would move into the join and out of generated code.
+    return best.filter(F.col("matched") * 100 >= F.col("width") * SHARE)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
