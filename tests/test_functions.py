@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,83 @@ def test_alignment_against_pairs():
 
     for a, b in [("kitten", "sitting"), ("abc", ""), ("", "x"), ("aabba", "bab"), ("naïve", "naive"), ("abcdef", "fedcba")]:
         assert fuzzy.alignment_distance(a, b) == pytest.approx(plain(a, b))
+
+
+def matched(a, b):
+    """Characters in matching blocks: the longest one, the first in a and then in b, and so on at both sides of it."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i, j)
+    n, i, j = best
+    return n and n + matched(a[:i], b[:j]) + matched(a[i + n:], b[j + n:])
+
+
+def blocks(a, b, i0=0, j0=0):
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i, j)
+    n, i, j = best
+    return blocks(a[:i], b[:j], i0, j0) + [(i0 + i, j0 + j)] + blocks(a[i + n:], b[j + n:], i0 + i + n, j0 + j + n) if n else []
+
+
+def share(a, b):
+    return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def plain_ratio(a, b):
+    return round(100 * share(a, b)) if a and b else 0
+
+
+def plain_partial(a, b):
+    if not a or not b:
+        return 0
+    a, b = sorted((a, b), key=len)
+    rs = [share(a, b[max(j - i, 0):max(j - i, 0) + len(a)]) for i, j in blocks(a, b) + [(len(a), len(b))]]
+    return 100 if max(rs) > 0.995 else round(100 * max(rs))
+
+
+def plain_sorted(a, b, by):
+    return by(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def plain_sets(a, b, by):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0
+    both = " ".join(sorted(x & y))
+    one, two = [(both + " " + " ".join(sorted(s))).strip() for s in (x - y, y - x)]
+    return max(by(both, one), by(both, two), by(one, two))
+
+
+def test_ratios_against_plain_blocks():
+    """Texts of lower-case words, so that normalising leaves them; the parts of the weighted ratio follow from the lengths."""
+    rng = random.Random(3)
+    make = lambda: " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 6)))
+    for _ in range(250):
+        a, b = make(), make()
+        want = {
+            "f1_qratio": plain_ratio(a, b),
+            "f3_partial_ratio": plain_partial(a, b),
+            "f4_partial_token_set_ratio": plain_sets(a, b, plain_partial),
+            "f5_partial_token_sort_ratio": plain_sorted(a, b, plain_partial),
+            "f6_token_set_ratio": plain_sets(a, b, plain_ratio),
+            "f7_token_sort_ratio": plain_sorted(a, b, plain_ratio),
+        }
+        if a and b:
+            far = max(len(a), len(b)) / min(len(a), len(b))
+            scale = 1 if far < 1.5 else 0.6 if far > 8 else 0.9
+            by = plain_ratio if far < 1.5 else plain_partial
+            parts = [plain_ratio(a, b), 0.95 * scale * plain_sorted(a, b, by), 0.95 * scale * plain_sets(a, b, by)] + ([scale * plain_partial(a, b)] if far >= 1.5 else [])
+            want["f2_wratio"] = round(max(parts))
+        for name, value in want.items():
+            assert fuzzy.RATIOS[name](a, b) == value, (name, a, b)

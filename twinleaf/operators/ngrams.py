@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinleaf.functions.constants import STOP_WORDS
+
 
 def grams(df: DataFrame, n: int) -> DataFrame:
     """(id, side, gram, count) of lower-cased texts with single spaces."""
@@ -17,6 +19,27 @@ def grams(df: DataFrame, n: int) -> DataFrame:
     return one.select("id", "side", F.explode(runs).alias("gram")).groupBy("id", "side", "gram").agg(F.count("*").alias("count"))
 
 
+def word_grams(df: DataFrame, least: int, most: int, stop_words: bool = False, binary: bool = False) -> DataFrame:
+    """(id, side, gram, count) of runs of ``least`` to ``most`` words of two letters, digits or underscores and more; ``binary`` counts a gram once."""
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.regexp_extract_all(F.lower(F.col(f"question{k}")), F.lit(r"\b\w\w+\b"), F.lit(0)).alias("words")) for k in (1, 2)]))
+    words = F.filter("s.words", lambda w: ~w.isin(*STOP_WORDS)) if stop_words else F.col("s.words")
+    one = df.select("id", sides.alias("s")).select("id", "s.side", words.alias("words"))
+    runs, every = F.col("words"), []
+    for k in range(1, most + 1):
+        if k > 1:
+            room = F.greatest(F.size("words") - k + 1, F.lit(0))
+            runs = F.zip_with(F.slice(runs, 1, room), F.slice("words", k, room), lambda a, b: F.concat_ws(" ", a, b))
+        if k >= least:
+            every.append(runs)
+    c = one.select("id", "side", F.explode(F.concat(*every)).alias("gram")).groupBy("id", "side", "gram").agg(F.count("*").alias("count"))
+    return c.withColumn("count", F.lit(1).cast("long")) if binary else c
+
+
+def combined(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, gram, diff, both): absolute difference and product of the two sides' counts, where one of them has the gram."""
+    return by_pair(counts, vocabulary).select("id", "gram", F.abs(F.col("a") - F.col("b")).cast("long").alias("diff"), (F.col("a") * F.col("b")).cast("long").alias("both"))
+
+
 def frequent(counts: DataFrame, least: int) -> DataFrame:
     """Grams in at least ``least`` texts, each text once."""
     return counts.groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= least)

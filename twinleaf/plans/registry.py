@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from twinleaf.functions import cascade, cleaning, fuzzy, lexical, stemming, transport, vectors
 from twinleaf.operators import assemble, factors, graph, metrics, models, ngrams, ordering, tagging
-from twinleaf.plans import sql, stored
+from twinleaf.operators.durable import durable
+from twinleaf.plans import learning, sql, stored
 from twinleaf.sources import fixtures as fx
 
 REGISTERED: dict = {}
@@ -218,9 +219,14 @@ def _(spark, sf_dir):
 
 
 def _tagged(spark, sf_dir) -> DataFrame:
-    """(qid, pos, lower, ent_type) by a fixed rule on the words' form."""
+    """(qid, pos, lower, ent_type) of all questions, by a fixed rule on the words' form."""
     t = fx.tokenized(spark, sf_dir)
-    x = t.select(F.col("qid1").alias("qid"), F.posexplode("w1").alias("pos", "text"))
+    q = t.select(F.col("qid1").alias("qid"), F.col("w1").alias("w")).union(t.select("qid2", "w2")).dropDuplicates(["qid"])
+    return _tagged_words(q)
+
+
+def _tagged_words(q: DataFrame) -> DataFrame:
+    x = q.select("qid", F.posexplode("w").alias("pos", "text"))
     big = F.col("text").rlike("^[A-Z]")
     kind = F.when(F.col("text").rlike("^[0-9]+$"), "CARDINAL").when(big & (F.length("text") % 3 == 0), "PERSON").when(big & (F.length("text") % 3 == 1), "GPE").otherwise("")
     return x.select("qid", "pos", "text", F.lower("text").alias("lower"), kind.alias("ent_type"))
@@ -296,12 +302,12 @@ def _(spark, sf_dir):
 
 @query("c1_clean")
 def _(spark, sf_dir):
-    return fx.pairs(spark, sf_dir).select("id", cleaning.clean(F.col("question1")).alias("cleaned"))
+    return fx.questions(spark, sf_dir).select("id", "side", cleaning.clean(F.col("question")).alias("cleaned"))
 
 
 @query("c7_collapse_spaces")
 def _(spark, sf_dir):
-    return fx.pairs(spark, sf_dir).select("id", cleaning.collapsed(F.col("question1")).alias("cleaned"))
+    return fx.questions(spark, sf_dir).select("id", "side", cleaning.collapsed(F.col("question")).alias("cleaned"))
 
 
 @query("e3_alignment_distance")
@@ -333,6 +339,11 @@ def _(spark, sf_dir):
     return fx.tokenized(spark, sf_dir).select("id", F.size(F.array_union(F.array_except("s1", "s2"), F.array_except("s2", "s1"))).cast("long").alias("diff_terms"), F.size(F.array_intersect("s1", "s2")).cast("long").alias("shared_terms"))
 
 
+def _turned(x):
+    """Sum of elements times their places: every element and its place count."""
+    return vectors.total(F.transform(x, lambda v, i: v * (i + 1)))
+
+
 def _vectors(spark, sf_dir) -> DataFrame:
     e = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
@@ -363,7 +374,7 @@ def _(spark, sf_dir):
 @query("v5_symmetrized")
 def _(spark, sf_dir):
     s = vectors.symmetrized(F.col("a"), F.col("b"))
-    return six(_vectors(spark, sf_dir).select("vec_id", F.size(s).cast("long").alias("size"), vectors.total(s).alias("total")))
+    return six(_vectors(spark, sf_dir).select("vec_id", F.size(s).cast("long").alias("size"), vectors.total(s).alias("total"), _turned(s).alias("turned")))
 
 
 @query("m1_logit")
@@ -395,7 +406,7 @@ def _(spark, sf_dir):
 
 @query("k3_out_of_fold")
 def _(spark, sf_dir):
-    return models.out_of_fold(featured(spark, sf_dir), FEATURES)
+    return models.out_of_fold(featured(spark, sf_dir), FEATURES, folds=3)
 
 
 @query("k4_elastic_net")
@@ -444,8 +455,9 @@ def _word_vectors(spark, sf_dir) -> DataFrame:
     """(word, vec) for words of letters only, in turn from the table of vectors."""
     t = fx.tokenized(spark, sf_dir)
     words = t.select(F.explode(F.array_union("q1w", "q2w")).alias("word")).distinct()
-    ranked = ordering.numbered(words.filter(F.col("word").rlike("^[a-z]+$")), ["word"], "r").withColumn("vec_id", F.col("r") % 500)
-    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    e = fx.table(spark, sf_dir, "embeddings")
+    ranked = ordering.numbered(words.filter(F.col("word").rlike("^[a-z]+$")), ["word"], "r").withColumn("vec_id", F.col("r") % F.lit(e.count()))
+    e = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     return ranked.join(e, "vec_id").select("word", "vec")
 
 
@@ -454,9 +466,10 @@ def _(spark, sf_dir):
     """Sum of the known words' vectors, normed; null without any."""
     t = fx.tokenized(spark, sf_dir)
     vec = _word_vectors(spark, sf_dir).select("word", F.posexplode("vec").alias("k", "x"))
-    sums = t.select("id", F.explode("q1w").alias("word")).join(vec, "word").groupBy("id", "k").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("x").alias("total"))
-    return six(t.select("id").join(norms, "id", "left").select("id", "norm", F.try_divide("total", "norm").alias("unit_total")))
+    words = t.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"q{k}w").alias("w")) for k in (1, 2)])).alias("s")).select("id", "s.*")
+    sums = words.select("id", "side", F.explode("w").alias("word")).join(vec, "word").groupBy("id", "side", "k").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    norms = sums.groupBy("id", "side").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("x").alias("total"), F.sum(F.col("x") * (F.col("k") + 1)).alias("turned"))
+    return six(words.select("id", "side").join(norms, ["id", "side"], "left").select("id", "side", "norm", F.try_divide("total", "norm").alias("unit_total"), F.try_divide("turned", "norm").alias("unit_turned")))
 
 
 @query("d6_missing_defaults")
@@ -485,7 +498,7 @@ def _(spark, sf_dir):
 
 @query("u4_horizontal_stack")
 def _(spark, sf_dir):
-    return six(_vectors(spark, sf_dir).select("vec_id", F.size(F.concat("a", "b")).cast("long").alias("size"), vectors.total(F.concat("a", "b")).alias("total")))
+    return six(_vectors(spark, sf_dir).select("vec_id", F.size(F.concat("a", "b")).cast("long").alias("size"), vectors.total(F.concat("a", "b")).alias("total"), _turned(F.concat("a", "b")).alias("turned")))
 
 
 @query("v4_euclid_cosine")
@@ -513,27 +526,12 @@ def _(spark, sf_dir):
     return six(out)
 
 
-@query("q5_platt_scaling")
-def _(spark, sf_dir):
-    return models.platt(fx.scored(spark, sf_dir))
-
-
 @query("q7_learning_curve")
 def _(spark, sf_dir):
     x = featured(spark, sf_dir)
     return models.learning_curve(models.boosted_trees(x, FEATURES), x, FEATURES)
 
 
-@query("v1_v2_truncated_svd")
-def _(spark, sf_dir):
-    return models.svd_projection(featured(spark, sf_dir), FEATURES, 3)
-
-
-@query("k6_feed_forward")
-def _(spark, sf_dir):
-    return models.feed_forward(featured(spark, sf_dir), FEATURES)
-
-
 @query("l1_l2_l3_lengths")
 def _(spark, sf_dir):
     t = fx.tokenized(spark, sf_dir)
@@ -586,17 +584,17 @@ def _(spark, sf_dir):
 
 @query("c2_stem")
 def _(spark, sf_dir):
-    return _spread(fx.pairs(spark, sf_dir)).select("id", stemming.stemmed(cleaning.clean(F.col("question1"))).alias("cleaned"))
+    return _spread(fx.questions(spark, sf_dir)).select("id", "side", stemming.stemmed(cleaning.clean(F.col("question"))).alias("cleaned"))
 
 
 @query("c3_rules")
 def _(spark, sf_dir):
-    return _spread(fx.pairs(spark, sf_dir)).select("id", cascade.padded(cascade.ruled(F.col("question1"))).alias("cleaned"))
+    return _spread(fx.questions(spark, sf_dir)).select("id", "side", cascade.padded(cascade.ruled(F.col("question"))).alias("cleaned"))
 
 
 @query("c4_lower_starts")
 def _(spark, sf_dir):
-    return fx.pairs(spark, sf_dir).select("id", cascade.lower_starts(F.col("question1")).alias("cleaned"))
+    return fx.questions(spark, sf_dir).select("id", "side", cascade.lower_starts(F.col("question")).alias("cleaned"))
 
 
 def _vocabulary(spark, sf_dir) -> DataFrame:
@@ -607,13 +605,13 @@ def _vocabulary(spark, sf_dir) -> DataFrame:
 @query("c5_dashes")
 def _(spark, sf_dir):
     f = cascade.with_vocabulary(spark, _vocabulary(spark, sf_dir), cascade.split_dashes)
-    return fx.pairs(spark, sf_dir).select("id", f("question1").alias("cleaned"))
+    return fx.questions(spark, sf_dir).select("id", "side", f("question").alias("cleaned"))
 
 
 @query("c6_quoted")
 def _(spark, sf_dir):
     f = cascade.with_vocabulary(spark, _vocabulary(spark, sf_dir), cascade.keep_meaningful)
-    return fx.pairs(spark, sf_dir).select("id", f("question1").alias("cleaned"))
+    return fx.questions(spark, sf_dir).select("id", "side", f("question").alias("cleaned"))
 
 
 @query("c8_entity_words")
@@ -622,10 +620,14 @@ def _(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
+    return _with_kinds(spark, sf_dir, _tagged(spark, sf_dir))
+
+
+def _with_kinds(spark, sf_dir, tagged: DataFrame) -> DataFrame:
     """(qid, tokens) for the tagger rules; the lower-cased word stands for the lemma."""
     kinds = tagging.voted(_votes(spark, sf_dir)).withColumnRenamed("word", "lower")
     known = _vocabulary(spark, sf_dir).select(F.col("word").alias("lower"), F.lit(True).alias("known"))
-    t = _tagged(spark, sf_dir).join(kinds, "lower", "left").join(known, "lower", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    t = tagged.join(kinds, "lower", "left").join(known, "lower", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     token = F.struct("pos", "text", "lower", F.col("lower").alias("lemma"), "ent_type", "best", "second", (F.col("known") & (F.col("text") == F.col("lower"))).alias("known_text"), F.col("known").alias("known_lower"), F.col("known").alias("known_lemma"))
     return t.groupBy("qid").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
 
@@ -637,7 +639,11 @@ def _(spark, sf_dir):
 
 @query("c10_clean_string")
 def _(spark, sf_dir):
-    return _spread(fx.pairs(spark, sf_dir)).select("id", cascade.clean_string(spark, F.col("question1"), _vocabulary(spark, sf_dir)).alias("cleaned"))
+    """Cleaned, tagged and rewritten: the whole composition."""
+    cleaned = _spread(fx.questions(spark, sf_dir)).select("id", "side", cascade.clean_string(spark, F.col("question"), _vocabulary(spark, sf_dir)).alias("cleaned"))
+    words = cleaned.select((F.col("id") + F.col("side") - 1).alias("qid"), F.filter(F.split("cleaned", " "), lambda w: w != "").alias("w")).dropDuplicates(["qid"])
+    rewritten = tagging.rewritten(_with_kinds(spark, sf_dir, _tagged_words(durable(words))))
+    return rewritten.select("qid", F.array_join("words", " ").alias("cleaned"))
 
 
 def _sentences(spark, sf_dir) -> DataFrame:
@@ -686,18 +692,9 @@ def _(spark, sf_dir):
     return models.logits(models.logistic(x, FEATURES, weighted=True), x, FEATURES)
 
 
-@query("k7_boosted_factors")
-def _(spark, sf_dir):
-    x = featured(spark, sf_dir)
-    f = models.svd_projection(x, FEATURES, 3).select("id", *[F.col("factors")[j].alias(f"f{j}") for j in range(3)])
-    data = x.select("id", "y", "w").join(f, "id")
-    names = ["f0", "f1", "f2"]
-    return models.predictions(models.boosted_trees(data, names), data, names)
-
-
 def queries() -> dict:
-    return REGISTERED | stored.REGISTERED
+    return REGISTERED | stored.REGISTERED | learning.REGISTERED
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (sql.statements() | stored.STATEMENTS).items() if k in queries()}
+    return {k: v for k, v in (sql.statements() | stored.STATEMENTS | learning.STATEMENTS).items() if k in queries()}

@@ -36,7 +36,7 @@ scored AS (
     round(least(greatest(len(list_intersect(a.s, b.s)) / greatest(len(list_distinct(list_concat(a.s, b.s))), 1), 0.01), 0.99), 6)::DOUBLE AS p,
     (CASE WHEN quality = 1 THEN 0.472 ELSE 1.309 END)::DOUBLE AS w
   FROM words a JOIN words b ON b.doc_id = a.doc_id + 1 JOIN labels l ON l.doc_id = a.doc_id)"""
-TAGGED = TOK + r""", words0 AS (SELECT qid1 AS qid, unnest(w1) AS text, unnest(range(len(w1))) AS pos FROM tok),
+TAGGED = TOK + r""", qs AS (SELECT qid1 AS qid, w1 AS w FROM tok UNION SELECT qid2, w2 FROM tok), words0 AS (SELECT qid, unnest(w) AS text, unnest(range(len(w))) AS pos FROM qs),
 tagged AS (SELECT qid, pos::INT AS pos, lower(text) AS word, CASE WHEN regexp_matches(text, '^[0-9]+$') THEN 'CARDINAL'
     WHEN regexp_matches(text, '^[A-Z]') AND length(text) % 3 = 0 THEN 'PERSON'
     WHEN regexp_matches(text, '^[A-Z]') AND length(text) % 3 = 1 THEN 'GPE' ELSE '' END AS ent_type FROM words0),
@@ -45,6 +45,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY votes DESC, e
 VECS = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings),
 v AS (SELECT x.vec_id, x.a, y.a AS b FROM e x JOIN e y ON y.vec_id = x.vec_id + 1),
 z AS (SELECT vec_id, a, b, list_transform(list_zip(a, b), lambda t: t[1] - t[2]) AS d FROM v)"""
+SIDES = PAIRS + ", qs AS (SELECT id, 1 AS side, question1 AS question FROM pairs UNION ALL SELECT id, 2, question2 FROM pairs)"
+#: A run up to and with a sign after which a letter is lowered, or the rest.
+_PIECE = "[^.?!)''\"]*[.?!)''\"]|[^.?!)''\"]+$"
 UNIQ = "list_distinct(list_concat({0}, {1}))"
 
 
@@ -83,7 +86,7 @@ def _features() -> dict[str, str]:
 
 
 def _clean() -> str:
-    out = r"array_to_string(q1w, ' ')"
+    out = r"array_to_string(qw, ' ')"
     for pattern, to in CLEANING:
         out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
     return out
@@ -163,8 +166,9 @@ SELECT id, u, v, (SELECT count(*) FROM hop p JOIN hop q ON p.x = q.x WHERE p.u =
         "w7_holdout": p + "id FROM pairs WHERE ('0x' || left(md5((id + 31)::VARCHAR), 8))::BIGINT % 100 = 0",
         "u1_union_all": p + "id, question1, NULL::INT AS is_duplicate FROM pairs UNION ALL SELECT id, NULL, is_duplicate FROM pairs",
         "u2_union_distinct": p + "question1 AS question FROM pairs UNION SELECT question2 FROM pairs",
-        "c1_clean": f"WITH {TOK} SELECT id, {_clean()} AS cleaned FROM tok",
-        "c7_collapse_spaces": p + r"id, trim(regexp_replace(question1, '\s+', ' ', 'g')) AS cleaned FROM pairs",
+        "c1_clean": f"WITH {TOK}, qs AS (SELECT id, 1 AS side, q1w AS qw FROM tok UNION ALL SELECT id, 2, q2w FROM tok) SELECT id, side, {_clean()} AS cleaned FROM qs",
+        "c4_lower_starts": f"WITH {SIDES}, ps AS (SELECT id, side, question, unnest(regexp_extract_all(question, '{_PIECE}')) AS p, unnest(range(len(regexp_extract_all(question, '{_PIECE}')))) AS k FROM qs) SELECT id, side, coalesce((SELECT string_agg(lower(regexp_extract(p, '^\\s*.')) || substr(p, length(regexp_extract(p, '^\\s*.')) + 1), '' ORDER BY k) FROM ps WHERE ps.id = qs.id AND ps.side = qs.side), '') AS cleaned FROM qs",
+        "c7_collapse_spaces": f"WITH {SIDES} SELECT id, side, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS cleaned FROM qs",
         "n2_n3_word_combine": f"WITH {TOK} SELECT id, (len(s1) + len(s2) - 2 * len(list_intersect(s1, s2)))::BIGINT AS diff_terms, len(list_intersect(s1, s2))::BIGINT AS shared_terms FROM tok",
         "n8_n9_trigram_tfidf": f"""WITH {_grams(3)}, n AS (SELECT 2 * count(*) AS n FROM pairs),
 x AS (SELECT id, a * (ln((1 + n.n) / (1 + df)) + 1) AS x, b * (ln((1 + n.n) / (1 + df)) + 1) AS y FROM ab, n),
@@ -179,9 +183,9 @@ SELECT id, round(CASE WHEN xx > 0 AND yy > 0 THEN 1 - xy / sqrt(xx * yy) ELSE 0
         "d4_moments": f"""WITH {VECS}, m AS (SELECT vec_id, a, list_avg(a) AS mu FROM v), c AS (SELECT vec_id, list_avg(list_transform(a, lambda x: pow(x - mu, 2))) AS m2,
   list_avg(list_transform(a, lambda x: pow(x - mu, 3))) AS m3, list_avg(list_transform(a, lambda x: pow(x - mu, 4))) AS m4 FROM m)
 SELECT vec_id, round(m3 / pow(m2, 1.5), 6) AS skew, round(m4 / (m2 * m2) - 3, 6) AS kurtosis FROM c""",
-        "d7_normalized": f"WITH {VECS} SELECT vec_id, 1.0::DOUBLE AS norm, round(a[1] / sqrt(list_dot_product(a, a)), 6) AS first FROM v",
+        "d7_normalized": f"WITH {VECS} SELECT vec_id, round(sqrt(list_sum(list_transform(a, lambda x: pow(x / sqrt(list_dot_product(a, a)), 2)))), 6) AS norm, round(a[1] / sqrt(list_dot_product(a, a)), 6) AS first FROM v",
         "v3_squared_distance": f"WITH {VECS} SELECT vec_id, round(list_sum(list_transform(d, lambda x: x * x)), 6) AS value FROM z",
-        "v5_symmetrized": f"WITH {VECS} SELECT vec_id, (2 * len(a))::BIGINT AS size, round(list_sum(a), 6) AS total FROM v",
+        "v5_symmetrized": f"WITH {VECS} SELECT vec_id, (2 * len(a))::BIGINT AS size, round(list_sum(list_transform(list_zip(a, b), lambda t: (t[1] + t[2]) / 2)) + list_sum(list_transform(list_zip(a, b), lambda t: (t[1] - t[2]) / 2)), 6) AS total, round(list_sum(list_transform(list_zip(a, b), lambda t, i: i * (t[1] + t[2]) / 2)) + list_sum(list_transform(list_zip(a, b), lambda t, i: (i + len(a)) * (t[1] - t[2]) / 2)), 6) AS turned FROM v",
         "m1_logit": f"WITH {SCORED} SELECT id, round(ln(p / (1 - p)), 6) AS logit, round(0.5 * p / (0.5 * p + 2 * (1 - p)), 6)::DOUBLE AS rescaled FROM scored",
         "q1_log_loss": f"WITH {SCORED}, l AS (SELECT -(y * ln(p) + (1 - y) * ln(1 - p)) AS l, w FROM scored) SELECT 'plain' AS kind, round(avg(l), 6) AS log_loss FROM l UNION ALL SELECT 'weighted', round(sum(l * w) / sum(w), 6) FROM l",
         "q2_auc": f"""WITH {SCORED}, x AS (SELECT a.w * b.w AS w, CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END AS h FROM scored a JOIN scored b ON a.y = 1 AND b.y = 0)
@@ -197,15 +201,16 @@ SELECT 'plain' AS kind, round(avg(h), 6)::DOUBLE AS auc FROM x UNION ALL SELECT
         "p8_gram_length_filter": f"WITH {_grams(2)} SELECT gram, df FROM voc",
         "p13_row_number_key": p + "id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS row FROM pairs",
         "j5_d1_sentence_vectors": f"""WITH {TOK}, wd AS (SELECT DISTINCT unnest(list_concat(q1w, q2w)) AS word FROM tok), rk AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS r FROM wd WHERE regexp_matches(word, '^[a-z]+$')),
-vc AS (SELECT word, embedding FROM rk JOIN embeddings ON vec_id = r % 500),
-ex AS (SELECT id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM (SELECT id, unnest(q1w) AS word FROM tok) JOIN vc USING (word)),
-sm AS (SELECT id, k, sum(x) AS x FROM ex GROUP BY id, k), nm AS (SELECT id, sqrt(sum(x * x)) AS norm, sum(x) AS total FROM sm GROUP BY id)
-SELECT tok.id, round(norm, 6) AS norm, round(total / nullif(norm, 0), 6) AS unit_total FROM tok LEFT JOIN nm USING (id)""",
+vc AS (SELECT word, embedding FROM rk JOIN embeddings ON vec_id = r % (SELECT count(*) FROM embeddings)),
+sd AS (SELECT id, 1 AS side, q1w AS w FROM tok UNION ALL SELECT id, 2, q2w FROM tok),
+ex AS (SELECT id, side, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM (SELECT id, side, unnest(w) AS word FROM sd) JOIN vc USING (word)),
+sm AS (SELECT id, side, k, sum(x) AS x FROM ex GROUP BY id, side, k), nm AS (SELECT id, side, sqrt(sum(x * x)) AS norm, sum(x) AS total, sum(x * (k + 1)) AS turned FROM sm GROUP BY id, side)
+SELECT id, side, round(norm, 6) AS norm, round(total / nullif(norm, 0), 6) AS unit_total, round(turned / nullif(norm, 0), 6) AS unit_turned FROM sd LEFT JOIN nm USING (id, side)""",
         "d6_missing_defaults": f"WITH {VECS} SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1.0::DOUBLE ELSE round(sqrt(list_sum(list_transform(d, lambda x: x * x))), 6) END AS euclidean, CASE WHEN vec_id % 3 = 0 THEN 0.0::DOUBLE ELSE round(list_sum(a), 6) END AS total FROM z",
         "j9_prediction_text": f"WITH {SCORED}, t AS (SELECT id, p FROM scored WHERE y = 0 ORDER BY p DESC, id DESC LIMIT 20) SELECT t.id, t.p, length(text) AS length FROM t JOIN documents ON doc_id = t.id",
         "a12_row_sums": f"WITH {_grams(2)} SELECT id, side, sum(c)::BIGINT AS grams FROM g GROUP BY id, side",
         "u3_vertical_stack": f"WITH {TOK} SELECT id, 1 AS side, len(s1) AS terms FROM tok UNION ALL SELECT id, 2, len(s2) FROM tok",
-        "u4_horizontal_stack": f"WITH {VECS} SELECT vec_id, len(list_concat(a, b)) AS size, round(list_sum(list_concat(a, b)), 6) AS total FROM v",
+        "u4_horizontal_stack": f"WITH {VECS} SELECT vec_id, len(list_concat(a, b)) AS size, round(list_sum(list_concat(a, b)), 6) AS total, round(list_sum(list_transform(list_concat(a, b), lambda x, i: x * i)), 6) AS turned FROM v",
         "v4_euclid_cosine": f"WITH {VECS} SELECT vec_id, round(sqrt(list_sum(list_transform(d, lambda x: x * x))), 6) AS euclidean, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-9), 6) AS cosine FROM z",
         "n7_tfidf_norms": f"WITH {_grams(3)}, n AS (SELECT 2 * count(*) AS n FROM pairs) SELECT id, side, round(sqrt(sum(pow(c * (ln((1 + n.n) / (1 + df)) + 1), 2))), 6) AS norm FROM g JOIN voc USING (gram), n GROUP BY id, side",
         "q6_feature_quality": f"WITH {feat} " + " UNION ALL ".join(f"SELECT '{k}' AS feature, round({auc.format(k)}, 6)::DOUBLE AS auc, round(corr(y, {k}), 6) AS corr FROM feat" for k in FIVE),

@@ -44,15 +44,20 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with case-preserving words w1, w2, lower-cased q1w, q2w, their sets s1, s2 and those without stop words n1, n2."""
     from twinleaf.functions.constants import STOP_WORDS
 
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
     df = pairs(spark, sf_dir)
     for k in "12":
         words = F.filter(F.split(f"question{k}", r"\s+"), lambda w: w != "")
         df = df.withColumn(f"w{k}", words).withColumn(f"q{k}w", F.transform(f"w{k}", F.lower)).withColumn(f"s{k}", F.array_distinct(f"q{k}w"))
-        df = df.withColumn(f"n{k}", F.filter(f"s{k}", lambda w: ~F.array_contains(stops, w)))
+        df = df.withColumn(f"n{k}", F.filter(f"s{k}", lambda w: ~w.isin(*STOP_WORDS)))
     return df
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, side, question): both questions of each pair."""
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"question{k}").alias("question")) for k in (1, 2)]))
+    return pairs(spark, sf_dir).select("id", sides.alias("s")).select("id", "s.*")
+
+
 def graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, u, v): the parts of an order's first two lines."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
