@@ -59,6 +59,16 @@ def durable(df: DataFrame, keep: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table under so many bytes may be one row group, and so one task.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores before costly functions of each row; larger ones are read in many tasks and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -256,4 +266,4 @@ def mapped(df: DataFrame, rows, ddl: str) -> DataFrame:
                 found = rows(batch.slice(k, ARROW_ROWS).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(each, ddl)
+    return spread(df).mapInArrow(each, ddl)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinleaf.llm.common import with_ids
+from twinleaf.llm.common import spread, with_ids
 
 #: 1 is a position that counts, 0 one that is ignored.
 MASK = "11010011"
@@ -111,7 +111,7 @@ def _find_whole(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFram
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, matched and width of the best window."""
-    docs, items = docs.select("doc_id", _tokens(F.col("text")).alias("hashes")), benchmark.select("item_id", _tokens(F.col("text")).alias("hashes"))
+    docs, items = spread(docs.select("doc_id", "text")).select("doc_id", _tokens(F.col("text")).alias("hashes")), benchmark.select("item_id", _tokens(F.col("text")).alias("hashes"))
     size = F.size("hashes")
     found = _find_windows(docs, items.filter(size >= WINDOW))
     short = items.filter((size > 0) & (size < WINDOW))

@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinleaf.llm.common import spread
+
 #: Spans that training rewrites, and how many of them one document gives at most.
 SPANS, EACH = 1200, 8
 PRECISION, ENOUGH = 0.99, 5
@@ -260,7 +262,7 @@ def _look_alikes(n: Column) -> list[Column]:
 
 def planted(docs: DataFrame, spans: int = SPANS) -> DataFrame:
     """(text, lo, hi, kind, y, fold): rewritten base spans (y 1) and look-alikes (y 0) between words of documents; at most ``spans`` base spans give them."""
-    rows = with_base(docs.select("text").filter("text IS NOT NULL")).filter(F.size("base") > 0)
+    rows = with_base(spread(docs.select("text").filter("text IS NOT NULL"))).filter(F.size("base") > 0)
     at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 80, F.lit(1))).cast("int") + 1
     each = F.transform(F.slice("base", 1, EACH), lambda b: F.struct(b.k.alias("k"), F.substring(F.col("text"), b.s + 1, b.e - b.s).alias("m")))
     found = rows.select(F.substring(F.col("text"), at, F.lit(80)).alias("around"), F.explode(each).alias("b")).groupBy("b.k", "b.m").agg(F.min("around").alias("around"))
@@ -292,7 +294,7 @@ def fit(docs: DataFrame, spans: int = SPANS) -> Boosted | None:
 
 def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """One row for each document: counts and digest of the base spans, and all spans."""
-    df = with_base(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    df = with_base(spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     added = F.array().cast("array<struct<s:int,k:int,e:int>>")
     if model is not None and np.isfinite(model.thresholds).any():
         df = with_candidates(df)
