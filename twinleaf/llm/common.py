@@ -60,7 +60,7 @@ def durable(df: DataFrame, keep: bool = True) -> DataFrame:
 
 
 #: A table under so many bytes may be one row group, and so one task.
-SMALL = 64 << 20
+SMALL = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -52,13 +52,16 @@ GENERATORS = {
 HINTS = {"email": "mail|contact|write", "ip": "address|host|server|ip", "card": "card|visa|credit|account|pay", "phone": "phone|tel|call|fax|mobile"}
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<s,e,m>> of the pattern's matches, in code points.
+EMPTY = "array<struct<s:int,e:int,m:string>>"
 
-    Positions are summed up in blocks of about the root of their number, so that no long array is copied for each match.
+
+def _with_matches(df: DataFrame, patterns: dict[str, str], hold) -> DataFrame:
+    """Add ``_m0``, ``_m1`` ...: array<struct<s,e,m>> of each kind's matches, in code points.
+
+    What several expressions need is a column of an own projection, so that each pattern passes a text twice at most,
+    and once where it has no match. Positions are summed up in blocks of about the root of their number, so that no long array is copied for each match.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    empty = F.array().cast(EMPTY)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc.at + x.gap
@@ -69,10 +72,19 @@ def _matches(text: Column, pattern: str) -> Column:
         inner = F.aggregate(block, F.struct(acc.at.alias("at"), empty.alias("out")), step)
         return F.transform(F.array(inner), lambda r: F.struct(r.at.alias("at"), F.concat(acc.out, r.out).alias("out")))[0]
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("found")))
-    width = F.ceil(F.sqrt(F.size(found))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda i: F.slice(pairs, i * width + 1, width))
-    return F.when(F.size(found) > 0, F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), joined, lambda acc: acc.out)).otherwise(empty)
+    def blocks(pairs: str) -> Column:
+        width = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / width).cast("int")), lambda i: F.slice(pairs, i * width + 1, width))
+
+    def gaps(k: int, pattern: str) -> Column:
+        found = f"_f{k}"
+        return F.when(F.size(found) > 0, F.zip_with(F.slice(F.split("text", pattern, -1), 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("found"))))
+
+    named = list(enumerate(patterns.items()))
+    df = df.withColumns({f"_f{k}": F.when(hold(kind), F.regexp_extract_all("text", F.lit(p), F.lit(0))) for k, (kind, p) in named})
+    df = df.withColumns({f"_p{k}": gaps(k, p) for k, (_, p) in named})
+    df = df.withColumns({f"_m{k}": F.when(F.col(f"_p{k}").isNotNull(), F.aggregate(blocks(f"_p{k}"), F.struct(F.lit(0).alias("at"), empty.alias("out")), joined, lambda acc: acc.out)).otherwise(empty) for k, _ in named})
+    return df.drop(*[f"_{x}{k}" for x in "fp" for k, _ in named])
 
 
 def _digits(m: Column) -> Column:
@@ -115,12 +127,16 @@ def _of(k: int, x: Column, /) -> Column:
 
 def with_base(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base``: array<struct<s,k,e>> by start, then kind."""
-    out = docs
-    for k, kind in enumerate(KINDS):
-        none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-        kept = F.transform(F.filter(_matches(F.col("text"), BASE[kind]), partial(_valid, kind)), partial(_placed, k))
-        out = out.withColumn(f"b{k}", F.when(_hold(kind), kept).otherwise(none))
-    return out.withColumn("base", F.array_sort(F.concat(*[f"b{k}" for k in range(len(KINDS))]))).drop(*[f"b{k}" for k in range(len(KINDS))])
+    out = _with_matches(docs, BASE, _hold)
+    kept = [F.transform(F.filter(f"_m{k}", partial(_valid, kind)), partial(_placed, k)) for k, kind in enumerate(KINDS)]
+    return out.withColumn("base", F.array_sort(F.concat(*kept))).drop(*[f"_m{k}" for k in range(len(KINDS))])
+
+
+def _may_hold(kind: str) -> Column:
+    """As ``_hold``, for the generators."""
+    if kind != "email":
+        return F.col("text").rlike("[0-9]")
+    return F.contains("text", F.lit("@")) | F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]"))
 
 
 #: Features of a candidate, in this order.
@@ -128,25 +144,23 @@ FEATURES = ("length", "digits", "spaces", "marks", "commas", "letters", "groups"
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
-    """Add ``cand``: array<struct<s,k,e,f>>, where f holds FEATURES as doubles."""
-    out = df
-    for k, kind in enumerate(KINDS):
-        none = F.array().cast("array<struct<s:int,k:int,e:int,f:array<double>>>")
-
-        def described(k: int, kind: str, x: Column, /) -> Column:
-            before = F.lower(F.substring(F.col("text"), F.greatest(x.s - 23, F.lit(1)), F.least(x.s, F.lit(24))))
-            after = F.substring(F.col("text"), x.e + 1, F.lit(1))
-            digits = _digits(x.m)
-            words = F.split(x.m, r"[^A-Za-z0-9]+")
-            f = [F.length(x.m), F.length(digits), F.length(F.regexp_replace(x.m, "[^ ]", "")), F.length(F.regexp_replace(x.m, r"[A-Za-z0-9 ]", "")), F.length(F.regexp_replace(x.m, "[^,:]", "")), F.length(F.regexp_replace(x.m, "[^A-Za-z]", "")),
-                 F.size(words), F.array_max(F.transform(words, F.length)), F.coalesce(F.array_min(F.transform(F.slice(words, 2, 100), F.length)), F.lit(0)), F.length(digits) - F.size(F.array_distinct(F.split(digits, ""))), F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(-1)),
-                 before.rlike(HINTS[kind]).cast("int"), before.rlike(r"[\p{L}\p{N}_=\"]$").cast("int"), after.rlike(r"[\p{L}\p{N}_\"]").cast("int"),
-                 *[F.lit(int(k == j)) for j in range(len(KINDS))]]
-            return F.struct(x.s.alias("s"), F.lit(k).alias("k"), x.e.alias("e"), F.array(*[v.cast("double") for v in f]).alias("f"))
-
-        hold = F.col("text").rlike("[0-9]") if kind != "email" else F.contains("text", F.lit("@")) | F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]"))
-        out = out.withColumn(f"c{k}", F.when(hold, F.transform(_matches(F.col("text"), GENERATORS[kind]), partial(described, k, kind))).otherwise(none))
-    return out.withColumn("cand", F.concat(*[f"c{k}" for k in range(len(KINDS))])).drop(*[f"c{k}" for k in range(len(KINDS))])
+    """Add ``cand``: array<struct<s,k,e,f>> of the candidates that no base span overlaps; f holds FEATURES as doubles."""
+
+    def described(k: int, kind: str, x: Column, /) -> Column:
+        before = F.lower(F.substring(F.col("text"), F.greatest(x.s - 23, F.lit(1)), F.least(x.s, F.lit(24))))
+        after = F.substring(F.col("text"), x.e + 1, F.lit(1))
+        digits = _digits(x.m)
+        words = F.split(x.m, r"[^A-Za-z0-9]+")
+        f = [F.length(x.m), F.length(digits), F.length(F.regexp_replace(x.m, "[^ ]", "")), F.length(F.regexp_replace(x.m, r"[A-Za-z0-9 ]", "")), F.length(F.regexp_replace(x.m, "[^,:]", "")), F.length(F.regexp_replace(x.m, "[^A-Za-z]", "")),
+             F.size(words), F.array_max(F.transform(words, F.length)), F.coalesce(F.array_min(F.transform(F.slice(words, 2, 100), F.length)), F.lit(0)), F.length(digits) - F.size(F.array_distinct(F.split(digits, ""))), F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(-1)),
+             before.rlike(HINTS[kind]).cast("int"), before.rlike(r"[\p{L}\p{N}_=\"]$").cast("int"), after.rlike(r"[\p{L}\p{N}_\"]").cast("int"),
+             *[F.lit(int(k == j)) for j in range(len(KINDS))]]
+        return F.struct(x.s.alias("s"), F.lit(k).alias("k"), x.e.alias("e"), F.array(*[v.cast("double") for v in f]).alias("f"))
+
+    out = _with_matches(df, GENERATORS, _may_hold)
+    free = [F.filter(f"_m{k}", lambda x: ~F.exists("base", lambda b: _overlaps(b, x))) for k in range(len(KINDS))]
+    every = [F.transform(m, partial(described, k, kind)) for (k, kind), m in zip(enumerate(KINDS), free)]
+    return out.withColumn("cand", F.concat(*every)).drop(*[f"_m{k}" for k in range(len(KINDS))])
 
 
 def _overlaps(x: Column, y: Column) -> Column:
@@ -185,22 +199,22 @@ def _column(tree, f: Column) -> Column:
     return F.when(F.get(f, F.lit(feature)) <= cut, _column(left, f)).otherwise(_column(right, f))
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, shrink: float = 0.3, ridge: float = 1.0):
-    """A tree on gradients and curvatures, by exact greedy splits."""
+def _grow(values: list[np.ndarray], codes: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, shrink: float = 0.3, ridge: float = 1.0):
+    """A tree on gradients and curvatures of ``rows``, by exact greedy splits; ``codes`` number each feature's distinct ``values``."""
+    gs, hs = g[rows].sum(), h[rows].sum()
     best = (1e-6, None, None)
-    if depth:
-        own = g.sum() ** 2 / (h.sum() + ridge)
-        for j in range(x.shape[1]):
-            for cut in np.unique(x[:, j])[:-1]:
-                low = x[:, j] <= cut
-                a, b = g[low].sum(), h[low].sum()
-                gain = a**2 / (b + ridge) + (g.sum() - a) ** 2 / (h.sum() - b + ridge) - own
-                if gain > best[0]:
-                    best = (gain, j, cut)
+    for j, v in enumerate(values if depth else []):
+        c = codes[rows, j]
+        a, b = np.cumsum(np.bincount(c, g[rows], len(v)))[:-1], np.cumsum(np.bincount(c, h[rows], len(v)))[:-1]
+        if len(a):
+            gain = a**2 / (b + ridge) + (gs - a) ** 2 / (hs - b + ridge) - gs**2 / (hs + ridge)
+            k = int(gain.argmax())
+            if gain[k] > best[0]:
+                best = (gain[k], j, k)
     if best[1] is None:
-        return float(-shrink * g.sum() / (h.sum() + ridge))
-    low = x[:, best[1]] <= best[2]
-    return best[1], float(best[2]), _grow(x[low], g[low], h[low], depth - 1), _grow(x[~low], g[~low], h[~low], depth - 1)
+        return float(-shrink * gs / (hs + ridge))
+    low = codes[rows, best[1]] <= best[2]
+    return best[1], float(values[best[1]][best[2]]), *(_grow(values, codes, part, g, h, depth - 1, shrink, ridge) for part in (rows[low], rows[~low]))
 
 
 def boost(x: np.ndarray, y: np.ndarray, kind: np.ndarray, apart: np.ndarray, rounds: int = 30) -> Boosted | None:
@@ -210,9 +224,11 @@ def boost(x: np.ndarray, y: np.ndarray, kind: np.ndarray, apart: np.ndarray, rou
         return None
     model = Boosted(float(np.log(fy.mean() / (1 - fy.mean()))), [], [np.inf] * len(KINDS))
     margin = np.full(len(fy), model.first)
+    parts = [np.unique(column, return_inverse=True) for column in fx.T]
+    values, codes = [v for v, _ in parts], np.stack([c for _, c in parts], 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        tree = _grow(fx, p - fy, p * (1 - p), 3)
+        tree = _grow(values, codes, np.arange(len(fy)), p - fy, p * (1 - p), 3)
         model.trees.append(tree)
         margin += _apply(tree, fx)
     scores = model.margin(x)
@@ -262,7 +278,8 @@ def _look_alikes(n: Column) -> list[Column]:
 
 def planted(docs: DataFrame, spans: int = SPANS) -> DataFrame:
     """(text, lo, hi, kind, y, fold): rewritten base spans (y 1) and look-alikes (y 0) between words of documents; at most ``spans`` base spans give them."""
-    rows = with_base(spread(docs.select("text").filter("text IS NOT NULL"))).filter(F.size("base") > 0)
+    # No filter on ``base`` here, nor a plain column to explode below: either would be pushed down with all patterns written out in it.
+    rows = with_base(spread(docs.select("text").filter("text IS NOT NULL")))
     at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 80, F.lit(1))).cast("int") + 1
     each = F.transform(F.slice("base", 1, EACH), lambda b: F.struct(b.k.alias("k"), F.substring(F.col("text"), b.s + 1, b.e - b.s).alias("m")))
     found = rows.select(F.substring(F.col("text"), at, F.lit(80)).alias("around"), F.explode(each).alias("b")).groupBy("b.k", "b.m").agg(F.min("around").alias("around"))
@@ -278,8 +295,7 @@ def planted(docs: DataFrame, spans: int = SPANS) -> DataFrame:
 
 def labelled(rows: DataFrame) -> DataFrame:
     """(k, f, y, fold) of the candidates of ``planted`` rows that base spans leave: 1 where one is just the rewritten span and of its kind."""
-    c = with_candidates(with_base(rows)).select("lo", "hi", "kind", "y", "fold", "base", F.explode("cand").alias("c"))
-    c = c.filter((F.col("c.s") < F.col("hi")) & (F.col("lo") < F.col("c.e")) & ~F.exists("base", lambda b: _overlaps(b, F.col("c"))))
+    c = with_candidates(with_base(rows)).select("lo", "hi", "kind", "y", "fold", F.explode(F.filter("cand", lambda c: (c.s < F.col("hi")) & (F.col("lo") < c.e))).alias("c"))
     just = (F.col("c.s") == F.col("lo")) & (F.col("c.e") == F.col("hi"))
     other = F.col("c.k") != F.col("kind")
     y = F.when(F.col("y") == 0, 0).when(other, 0).when(just, 1)  # a part of a rewritten span is neither
@@ -298,7 +314,7 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     added = F.array().cast("array<struct<s:int,k:int,e:int>>")
     if model is not None and np.isfinite(model.thresholds).any():
         df = with_candidates(df)
-        chosen = F.filter("cand", lambda c: ~F.exists("base", lambda b: _overlaps(b, c)) & model.accepts(c))
+        chosen = F.filter("cand", model.accepts)
         added = F.transform(chosen, lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e")))
     df = df.select("doc_id", "base", added.alias("added"))
 
