@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from twinleaf.functions.cascade import RULES
 from twinleaf.functions.constants import CLEANING, STOP_WORDS
 from twinleaf.operators.tagging import ENTITY_WORDS, NUMERIC
 
@@ -48,6 +49,7 @@ z AS (SELECT vec_id, a, b, list_transform(list_zip(a, b), lambda t: t[1] - t[2])
 SIDES = PAIRS + ", qs AS (SELECT id, 1 AS side, question1 AS question FROM pairs UNION ALL SELECT id, 2, question2 FROM pairs)"
 #: A run up to and with a sign after which a letter is lowered, or the rest.
 _PIECE = "[^.?!)''\"]*[.?!)''\"]|[^.?!)''\"]+$"
+_STARTS = f"{SIDES}, ps AS (SELECT id, side, question, unnest(regexp_extract_all(question, '{_PIECE}')) AS p, unnest(range(len(regexp_extract_all(question, '{_PIECE}')))) AS k FROM qs), ls AS (SELECT id, side, coalesce((SELECT string_agg(lower(regexp_extract(p, '^\\s*.')) || substr(p, length(regexp_extract(p, '^\\s*.')) + 1), '' ORDER BY k) FROM ps WHERE ps.id = qs.id AND ps.side = qs.side), '') AS cleaned FROM qs)"
 UNIQ = "list_distinct(list_concat({0}, {1}))"
 
 
@@ -92,6 +94,21 @@ def _clean() -> str:
     return out
 
 
+#: The rules that look around, in forms without that; the first is needed twice, as its matches may share a digit.
+PLAIN = {
+    r"(?<=[0-9]),(?=[0-9])": [(r"([0-9]),([0-9])", r"\1\2")] * 2,
+    r"(?i)(?<=[0-9])rs ": [(r"(?i)([0-9])(rs )", r"\1 rs ")],
+    r"(?i) rs(?=[0-9])": [(r"(?i) rs([0-9])", r" rs \1")],
+}
+
+
+def _ruled() -> str:
+    out = "' ' || cleaned || ' '"
+    for pattern, to in [*[x for p, t in RULES for x in PLAIN.get(p, [(p, t.replace("$1", r"\1"))])], (r"([()\[\]{}<>'\"])", r" \1 "), (" s ", " "), (r"\s+", " ")]:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
+    return f"trim({out})"
+
+
 def _grams(n: int) -> str:
     return PAIRS + rf""", txt AS (
   SELECT id, 1 AS side, regexp_replace(lower(question1), '\s+', ' ', 'g') AS t FROM pairs
@@ -167,7 +184,8 @@ SELECT id, u, v, (SELECT count(*) FROM hop p JOIN hop q ON p.x = q.x WHERE p.u =
         "u1_union_all": p + "id, question1, NULL::INT AS is_duplicate FROM pairs UNION ALL SELECT id, NULL, is_duplicate FROM pairs",
         "u2_union_distinct": p + "question1 AS question FROM pairs UNION SELECT question2 FROM pairs",
         "c1_clean": f"WITH {TOK}, qs AS (SELECT id, 1 AS side, q1w AS qw FROM tok UNION ALL SELECT id, 2, q2w FROM tok) SELECT id, side, {_clean()} AS cleaned FROM qs",
-        "c4_lower_starts": f"WITH {SIDES}, ps AS (SELECT id, side, question, unnest(regexp_extract_all(question, '{_PIECE}')) AS p, unnest(range(len(regexp_extract_all(question, '{_PIECE}')))) AS k FROM qs) SELECT id, side, coalesce((SELECT string_agg(lower(regexp_extract(p, '^\\s*.')) || substr(p, length(regexp_extract(p, '^\\s*.')) + 1), '' ORDER BY k) FROM ps WHERE ps.id = qs.id AND ps.side = qs.side), '') AS cleaned FROM qs",
+        "c4_lower_starts": f"WITH {_STARTS} SELECT id, side, cleaned FROM ls",
+        "c3_rules": f"WITH {_STARTS} SELECT id, side, {_ruled()} AS cleaned FROM ls",
         "c7_collapse_spaces": f"WITH {SIDES} SELECT id, side, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS cleaned FROM qs",
         "n2_n3_word_combine": f"WITH {TOK} SELECT id, (len(s1) + len(s2) - 2 * len(list_intersect(s1, s2)))::BIGINT AS diff_terms, len(list_intersect(s1, s2))::BIGINT AS shared_terms FROM tok",
         "n8_n9_trigram_tfidf": f"""WITH {_grams(3)}, n AS (SELECT 2 * count(*) AS n FROM pairs),

@@ -200,3 +200,16 @@ def _(spark, sf_dir):
     v = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     six = lambda c: F.transform(c, lambda x: F.round(x, 6) + 0)
     return v.select("vec_id", six(vectors.normalized(F.col("a"))).alias("unit"), six(vectors.symmetrized(F.col("a"), F.col("b"))).alias("halves"), six(F.concat("a", "b")).alias("stacked"))
+
+
+@query("v6_axis_residuals", f"""WITH {VECS}, r AS (SELECT vec_id, a, b, a[9:] AS x, b[9:] AS y FROM v)
+SELECT vec_id AS id, round(sqrt(list_dot_product(x, x) / list_dot_product(a, a)), 6) AS norm1, round(sqrt(list_dot_product(y, y) / list_dot_product(b, b)), 6) AS norm2,
+  round(sqrt(list_dot_product(x, x) + list_dot_product(y, y) - 2 * list_dot_product(x, y)), 6) AS distance, round(list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)), 6) AS cosine FROM r""")
+def _(spark, sf_dir):
+    """Residuals of two vectors when the first eight axes are taken as directions: what is left are the other axes."""
+    import numpy as np
+
+    v = _vectors(spark, sf_dir)
+    v = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").withColumnRenamed("vec_id", "id")
+    wide = v.select(F.size("a")).first()[0]
+    return _six(factors.residual_features(v, "a", "b", np.eye(8, wide)))
