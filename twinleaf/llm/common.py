@@ -45,7 +45,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def durable(df: DataFrame, keep: bool = True) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
@@ -54,9 +54,17 @@ def durable(df: DataFrame, keep: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinleaf-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if keep:
-        atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``durable`` that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "_durable_at", None):
+            _remove(df.sparkSession, path)
 
 
 #: A table under so many bytes may be one row group, and so one task.

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinleaf.llm import sieve
-from twinleaf.llm.common import Exchange, arrow_schema, durable, hot_join, hot_keys, partitions, running, with_ids
+from twinleaf.llm.common import Exchange, arrow_schema, durable, hot_join, hot_keys, partitions, release, running, with_ids
 
 WORDS, SHARE = 5, 80
 CHUNK_BYTES = 4 << 20
@@ -135,17 +135,20 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     both = durable(edges.select("u", "v").union(edges.select("v", "u")).distinct())
     hubs = hot_keys(both, "v")
-    roots = durable(both.groupBy(F.col("u").alias("class")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
+    last = durable(both.groupBy(F.col("u").alias("class")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
     while True:
+        roots = last.select("class", "root")
         near = hot_join(both, roots.select(F.col("class").alias("v"), F.col("root").alias("seen")), "v", hubs).groupBy(F.col("u").alias("class")).agg(F.min("seen").alias("seen"))
         moved = durable(roots.join(near, "class").select("class", F.least("root", "seen").alias("root"), F.col("root").alias("old")))
         hung = moved.groupBy(F.col("old").alias("class")).agg(F.min("root").alias("jump"))  # an old root follows its members
         best = durable(moved.join(hung, "class", "left").select("class", F.least("root", F.coalesce("jump", "root")).alias("root"), "old"))
         jump = best.select(F.col("class").alias("root"), F.col("root").alias("jump"))
         after = durable(hot_join(best, jump, "root", hot_keys(best, "root"), "left").select("class", F.least("root", F.coalesce("jump", "root")).alias("root"), "old"))
+        release(last, moved, best)
+        last = after
         if after.filter("root <> old").isEmpty():
+            release(both)
             return after.select("class", "root")
-        roots = after.select("class", "root")
 
 
 class _Tree:

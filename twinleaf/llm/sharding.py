@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinleaf.llm.common import durable, numbered, running
+from twinleaf.llm.common import durable, numbered, release, running
 
 #: Parts of a group, at least; and rows of a part about which more parts are made, so that none outgrows a task.
 SALTS, PART_ROWS = 64, 1 << 17
@@ -144,6 +144,7 @@ def balanced_label_propagation(docs: DataFrame, shards: int = 24) -> DataFrame:
     parts = durable(rows.groupBy("grp", "salt").agg(F.count("*").alias("part")))
     state = durable(_start(durable(parts.groupBy("grp").agg(F.sum("part").alias("total")).filter("total > 1")), quota))
     while (after := _round(state, quota) or _gather(state, quota)) is not None:
+        release(state)
         state = after
     free = _free(state, quota)
     # Where each linked group's members go: at most one entry for each shard.
