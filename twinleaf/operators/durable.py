@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -35,13 +35,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 def fresh_path(spark: SparkSession) -> str:
     """A new path in the shared folder, removed when the interpreter ends."""
     path = f"{shared_dir(spark)}/twinleaf-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
+    """Write ``df`` as Parquet in the shared folder and read it again.
+
+    This cuts the lineage: a lost executor costs a reread, not a recomputation,
+    and values computed once are the same in every later use.
+    """
     spark = df.sparkSession
     path = fresh_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_at = path
+    return out
