@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,56 +12,21 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from twinleaf.operators.durable import durable, remove
+
 #: Rows that a batch function takes at once: whole texts can be long. Spark bounds a batch in bytes.
 ARROW_ROWS = 256
-_LOCAL: str | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where the session names none, the warehouse; a machine-local folder only for a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if spark.sparkContext.master.startswith("local"):
-        global _LOCAL
-        _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="twinleaf-")
-        return _LOCAL
-    return spark.conf.get("spark.sql.warehouse.dir")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone by then
-        pass
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation,
-    and values computed once are the same in every later use.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinleaf-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._durable_at = path
-    return out
-
-
 def release(*tables: DataFrame) -> None:
     """Remove tables of ``durable`` that no later step reads."""
     for df in tables:
         if path := getattr(df, "_durable_at", None):
-            _remove(df.sparkSession, path)
+            remove(df.sparkSession, path)
 
 
 #: A table under so many bytes may be one row group, and so one task.
@@ -98,13 +60,19 @@ def running(df: DataFrame, weight: Column, by: list[str], bucket: Column, order:
     return out.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long")).drop("_bucket", "_weight", "_offset", "_inside")
 
 
+#: Rows of a bucket about which more buckets are made.
+BUCKET_ROWS = 1 << 17
+
+
 def numbered(df: DataFrame, name: str, key: str, order: list, by: list[str] | None = None, first: Column | None = None, buckets: int = 512) -> DataFrame:
     """Gapless numbers from 0 within ``by`` (whose values are few), without one task for all rows.
 
-    ``first`` orders whole buckets before the hash of ``key`` does. df is read twice: pass a durable table.
+    ``first`` orders whole buckets before the hash of ``key`` does. df is read three times: pass a durable table.
+    Buckets grow in number with the rows; their offsets are broadcast while there are few.
     """
+    buckets = max(buckets, df.count() // BUCKET_ROWS)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)) + (F.lit(0) if first is None else first * buckets)
-    return running(df, F.lit(1), by or [], bucket, order, name, bounded=True)
+    return running(df, F.lit(1), by or [], bucket, order, name, bounded=buckets <= 8 * 512)
 
 
 #: A key with more than one in HOT_SHARE of the rows is hot: there are fewer than HOT_SHARE of them.
