@@ -73,7 +73,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Core numbers from a CSV whose last line of a question counts."""
     p, path = fx.pairs(spark, sf_dir), fresh_path(spark)
-    p.select("id", F.lower("question1").alias("question"), (F.col("id") % 7).alias("kcores")).repartitionByRange(4, "id").sortWithinPartitions("id").select("question", "kcores").write.csv(path, header=True, escape='"', quoteAll=True)
+    p.select("id", F.lower("question1").alias("question"), (F.col("id") % 7).alias("kcores")).repartitionByRange(4, "id").sortWithinPartitions("id").select("question", "kcores").write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     cores = files.read_kcores(spark, path)
     return files.with_kcores(p, cores).select("id", "kcores1", "kcores2")
 
