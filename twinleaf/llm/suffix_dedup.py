@@ -36,7 +36,7 @@ from twinleaf.llm import sieve
 from twinleaf.llm.common import Exchange, durable
 
 LENGTH, GRAM = 50, 20
-CHUNK_BYTES, COLLECTION, HOT, STRIDE = 4 << 20, 1 << 18, 512, 1 << 16
+CHUNK_BYTES, COLLECTION, HOT, STRIDE, PIECES = 4 << 20, 1 << 18, 512, 1 << 16, 1 << 13
 #: An odd base of the rolling hash and its inverse modulo 2**64.
 BASE = 0x2545F4914F6CDD1D
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -163,21 +163,32 @@ class _Pieces:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         ids = np.array([d if d is not None else NONE for d in self.doc_ids], np.int64)
-        found, lo = [], 0
-        for hi in range(1, len(raw) + 1):  # a few documents at a time, so that the arrays stay small
-            if hi == len(raw) or self.ends[hi] - self.starts[lo] > STRIDE:
-                found.append(self._cut(lo, hi, ids))
-                lo = hi
+        found = [self._cut(*part, ids) for part in self._parts()]
         self.start, self.windows, self.key, self.whole, self.doc = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64)]
 
-    def _cut(self, lo: int, hi: int, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        first = int(self.starts[lo])
-        data, ends = self.data[first:self.ends[hi - 1]], self.ends[lo:hi] - first
+    def _parts(self):
+        """(first and last document, first and last byte): a few documents or a stretch of a long one at a time, so that the arrays stay small."""
+        lo = 0
+        for i, (s, e) in enumerate(zip(self.starts.tolist(), self.ends.tolist())):
+            if e - s > 2 * STRIDE:
+                if i > lo:
+                    yield lo, i, int(self.starts[lo]), s
+                for at in range(s, e - LENGTH + 1, STRIDE):  # stretches share LENGTH - 1 bytes, so each window lies in one
+                    yield i, i + 1, at, min(e, at + STRIDE + LENGTH - 1)
+                lo = i + 1
+            elif e - self.starts[lo] > STRIDE:
+                yield lo, i + 1, int(self.starts[lo]), e
+                lo = i + 1
+        if lo < len(self.ends):
+            yield lo, len(self.ends), int(self.starts[lo]), int(self.ends[-1])
+
+    def _cut(self, lo: int, hi: int, first: int, last: int, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        data, ends = self.data[first:last], np.minimum(self.ends[lo:hi], last) - first
         n = len(data)
         none = np.zeros(0, np.int64)
         if n < LENGTH:
             return none, none, none.astype(np.uint64), none.astype(np.uint64), none
-        power, inverse = _powers(max(2 * STRIDE, 1 << n.bit_length()))
+        power, inverse = _powers(4 * STRIDE)  # no part is as long
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(data * power[:n], out=sums[1:])
         # As _hashed, for all positions in turn.
@@ -186,8 +197,8 @@ class _Pieces:
         value ^= value >> np.uint64(32)
         value *= sieve.MIX
         value ^= value >> np.uint64(29)
-        # The smallest hash among the grams of each window, the leftmost of equals.
-        bits = np.uint64(int(n).bit_length())
+        # The smallest hash among the grams of each window, the leftmost of equals; always in as many bits, so that equal windows choose alike.
+        bits = np.uint64((4 * STRIDE).bit_length())
         low = value >> bits
         low <<= bits
         low |= _counting(len(power))[:len(value)]
@@ -320,19 +331,20 @@ def _removed(buckets: int):
             n = int(np.frombuffer(blob, np.uint32, 1)[0])
             lengths.append(np.frombuffer(blob, np.uint8, n, 4).astype(np.int64))
             values.append(np.frombuffer(blob, np.int64, -1, 4 + n))
-        cover = np.zeros(len(p.data) + 1, np.int32)
+        dropped = np.zeros(len(p.data), bool)
         if lengths:
             length, value = np.concatenate(lengths), np.concatenate(values)
             begin = np.cumsum(length) - length
-            counts = p.windows
-            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            piece = np.repeat(p.which, counts)
-            least = value[begin[piece] + np.where(length[piece] > 1, inside, 0)]
-            gone = np.repeat(p.start, counts) + inside
-            gone = gone[least < np.repeat(p.doc, counts)]
-            cover += np.bincount(gone, minlength=len(cover)).astype(np.int32)
-            cover -= np.bincount(gone + LENGTH, minlength=len(cover)).astype(np.int32)
-        dropped = np.cumsum(cover[:-1]) > 0
+            for lo in range(0, len(p.which), PIECES):  # some pieces at a time: a text can be one long chunk
+                part = slice(lo, lo + PIECES)
+                counts, which = p.windows[part], p.which[part]
+                inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                piece = np.repeat(which, counts)
+                least = value[begin[piece] + np.where(length[piece] > 1, inside, 0)]
+                gone = np.sort((np.repeat(p.start[part], counts) + inside)[least < np.repeat(p.doc[part], counts)])
+                cut = np.flatnonzero(np.diff(gone) > LENGTH)
+                for a, b in zip(gone[np.append(0, cut + 1)].tolist() if len(gone) else [], gone[np.append(cut, len(gone) - 1)].tolist() if len(gone) else []):
+                    dropped[a:b + LENGTH] = True
         n_removed, n_spans, digests = [], [], []
         for s, e in zip(p.starts.tolist(), p.ends.tolist()):
             d = dropped[s:e]
