@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,22 @@ def release(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+#: Bytes of a text that are parted to words at once.
+RUN = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_runs(text: str | None, run: int = RUN):
+    """The words of a text, with A to Z in lower case, some at a time: a long text's words would be many small objects."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
+    while at < len(raw):
+        end = at + run
+        space = _SPACE.search(raw, end) if end < len(raw) else None
+        end = space.start() if space else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 #: A table under so many bytes may be one row group, and so one task.
 SMALL = 32 << 20
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinleaf.llm import sieve
-from twinleaf.llm.common import Exchange, arrow_schema, durable, hot_join, hot_keys, partitions, release, running, with_ids
+from twinleaf.llm.common import Exchange, arrow_schema, durable, hot_join, hot_keys, partitions, release, running, with_ids, word_runs
 
 WORDS, SHARE = 5, 80
 CHUNK_BYTES = 4 << 20
@@ -45,13 +45,14 @@ MIX = 0x9E3779B97F4A7C15
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
     seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    runs = [np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)) for words in word_runs(text)]
+    ids = np.concatenate(runs) if runs else np.zeros(0, np.int32)
+    if not len(ids):
+        return np.zeros(0, np.uint64)
+    if len(ids) < WORDS:
+        names = list(seen)
+        return np.array([xxhash.xxh64_intdigest(b" ".join([names[i] for i in ids]), 1)], np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))[ids]
     out = np.zeros(len(h) - WORDS + 1, np.uint64)
     with np.errstate(over="ignore"):

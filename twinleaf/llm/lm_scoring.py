@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinleaf.llm import sieve
-from twinleaf.llm.common import Exchange
+from twinleaf.llm.common import Exchange, word_runs
 
 MU, LAMBDA = 1000.0, 5.0
 CHUNK_BYTES = 8 << 20
@@ -52,18 +52,18 @@ class _Chunk:
         rows = table.sort_by([("doc_id", "ascending")]).to_pydict()
         chosen = {d for d, t in zip(rows["doc_id"], rows["is_target"]) if t}
         seen: dict[bytes, int] = {}
-        self.doc_ids, sizes, ids, target = [], [], [], []
+        self.doc_ids, sizes, ids, target = [], [], [np.zeros(0, np.int32)], []
         for doc, text, mark in zip(rows["doc_id"], rows["text"], rows["is_target"]):
             if mark:
                 continue
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
             self.doc_ids.append(doc)
-            sizes.append(len(words))
             target.append(doc is not None and doc in chosen)
-            ids += [seen.setdefault(w, len(seen)) for w in words]
+            before = len(ids)
+            ids += [np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)) for words in word_runs(text)]
+            sizes.append(sum(map(len, ids[before:])))
         self.sizes = np.array(sizes, dtype=np.int64)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-        word = hashes[np.array(ids, dtype=np.int64)]
+        word = hashes[np.concatenate(ids)]
         before = np.empty_like(word)
         before[1:] = word[:-1]
         starts = np.cumsum(self.sizes) - self.sizes
