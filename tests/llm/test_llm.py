@@ -64,6 +64,15 @@ def test_exchange_returns_each_reply():
     assert (found == keys).all() and end == len(lm_scoring._planes(keys))
 
 
+def test_words_in_runs():
+    rng = random.Random(18)
+    for _ in range(300):
+        text = "".join(rng.choice("ab É\t\n\x0b\r é") for _ in range(rng.randint(0, 40)))
+        for run in (1, 3, 1000):
+            assert [w for ws in common.word_runs(text, run) for w in ws] == text.encode().lower().split()
+    assert list(common.word_runs(None)) == []
+
+
 def test_sieve_keeps_all_shared_keys():
     """Keys of two chunks stay, whatever their owners; so do those with two owners in one chunk."""
     rng = np.random.default_rng(2)
@@ -142,6 +151,24 @@ def test_suffix_dedup(spark, corpus, dealt, hot, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in suffix_dedup.deduplicate(frame(spark, corpus)).collect()} == want
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    """Every window of 50 bytes lies in one piece, under the same key as where texts are not cut."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (10, 49, 50, 700, 130, 128, 3000, 1, 177)] + [None, "é" * 400]
+    table = pa.table({"doc_id": pa.array([*range(10), None], pa.int64()), "text": pa.array(texts)})
+    seen = []
+    for stride in (1 << 16, 64, 100):
+        monkeypatch.setattr(suffix_dedup, "STRIDE", stride)
+        p = suffix_dedup._Pieces(table)
+        windows = [(s + k, key, d) for s, n, key, d in zip(p.start.tolist(), p.windows.tolist(), p.key.tolist(), p.doc.tolist()) for k in range(n)]
+        assert len(windows) == len({w[0] for w in windows}) == sum(max(len(t or "") - 49, 0) for t in texts[:10])
+        assert p.windows.max() <= suffix_dedup.LENGTH - suffix_dedup.GRAM + 1
+        seen.append(sorted(windows))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_column_wise_construction():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(20)]
