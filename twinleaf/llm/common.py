@@ -163,8 +163,8 @@ class Exchange:
 
     @staticmethod
     def parts(n: int) -> int:
-        """Partitions for n keys: several keys share one once there are many."""
-        return max(1, min(n, max(4096, -(-n // 64))))
+        """Partitions for n keys: one each up to 32, four in each up to 4,096 partitions, and then up to 64 in each; a task takes them in turn."""
+        return max(min(n, 32), min(-(-n // 4), max(4096, -(-n // 64))), 1)
 
     def dealt(self, docs: DataFrame, chunk: Column, *cols) -> DataFrame:
         """``docs`` by chunk; the same form each time, so one query's rounds share the shuffle."""
