@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Marks that stand for what is left out.
 QUOTED, NON_ASCII, UNDEFINED = "quoted_item", "non_ascii_word", "something"
 MARKS = (QUOTED, NON_ASCII, UNDEFINED)
 #: Most words of a vocabulary sent to executors.

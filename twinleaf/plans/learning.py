@@ -9,7 +9,7 @@ from twinleaf.functions import lexical, vectors
 from twinleaf.functions.constants import CLASS_WEIGHTS
 from twinleaf.operators import assemble, factors, models, ngrams
 from twinleaf.operators.durable import durable, fresh_path
-from twinleaf.plans.sql import PAIRS, SCORED, STOPS, TOK
+from twinleaf.plans.sql import PAIRS, SCORED, STOPS
 from twinleaf.sources import fixtures as fx
 
 REGISTERED: dict = {}
