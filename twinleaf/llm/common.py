@@ -162,9 +162,9 @@ class Exchange:
         return -(-self.buckets // self.fan)
 
     @staticmethod
-    def parts(n: int) -> int:
-        """Partitions for n keys: one each up to 32, four in each up to 4,096 partitions, and then up to 64 in each; a task takes them in turn."""
-        return max(min(n, 32), min(-(-n // 4), max(4096, -(-n // 64))), 1)
+    def parts(n: int, share: int = 4) -> int:
+        """Partitions for n keys: one each up to 32, ``share`` in each up to 4,096 partitions, and then up to 64 in each; a task takes them in turn."""
+        return max(min(n, 32), min(-(-n // share), max(4096, -(-n // 64))), 1)
 
     def dealt(self, docs: DataFrame, chunk: Column, *cols) -> DataFrame:
         """``docs`` by chunk; the same form each time, so one query's rounds share the shuffle."""
@@ -197,7 +197,7 @@ class Exchange:
         if group > 1:
             # Blocks of ``fan`` chunks: (group of buckets, block) tasks deal to (block, bucket) rows.
             asked = self._turned(asked, F.floor(F.col("chunk") / fan).cast("int"), F.col("bucket"), lambda c, b, i: (c // fan, i, c))
-        said = asked.repartition(self.parts(self.buckets), "bucket").groupBy("bucket").applyInArrow(each, ANSWER_DDL)
+        said = asked.repartition(self.parts(self.buckets, 1), "bucket").groupBy("bucket").applyInArrow(each, ANSWER_DDL)
         if group > 1:
             said = self._turned(said, F.col("chunk"), F.floor(F.col("bucket") / group).cast("int"), lambda c, b, i: (i, b // group, b))
         return said.repartition(self.parts(self.chunks), "chunk")
