@@ -3,15 +3,17 @@
 Words are hashed twice into one embedding table, and once each by their first six and eight letters, and the rows are added:
 a rare word shares all rows with another one hardly ever, and words with one stem share some. Filters of several widths run over
 the whole text; the largest response of each filter, over all positions, feeds a logistic unit.
-Training takes a bounded sample of labelled rows (``SAMPLE`` for each label and ``SAMPLE_BYTES`` of texts, smallest
-hashes of doc_id first; longer texts than a ``SHARE``-th of that are scored, but not trained on); a fifth of it is kept apart to set one
+Training takes every labelled row and whole texts. They are dealt by a hash of doc_id to parts of about ``PART_BYTES``, and encoded once.
+In each of ``EPOCHS`` rounds every part trains a copy of the model on its rows, and the copies' moves are averaged: each row of the
+embedding over the parts that moved it, all else over all parts. Moves are summed as whole numbers of ``UNIT``, so how parts share tasks
+changes nothing. The driver holds the model, whose size is fixed, and no texts. A fifth of each part is kept apart; all rows apart set one
 threshold for each language, a common one where a language has fewer than ``ENOUGH`` rows of a label there.
 The language is guessed from the text's own function words: label, lang, source and
 doc_id never enter a score. Scores are shifted so that the threshold stands at 0.5.
 
 Defined cases: null and empty texts have no response and get the model's score of
 that; very long texts are scored whole; ties of threshold go to the widest gap; of rows with one doc_id the least text is trained on; a doc_id labelled more than once counts as toxic if any of its labels says so;
-null labels are left out; without both labels in the sample every score is 0.0;
+null labels are left out; without both labels every score is 0.0;
 an empty table gives no rows; repeated rows are scored each; other columns are kept by
 ``reject`` and ignored by ``score``.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinleaf.llm.common import durable, mapped, release
+from twinleaf.llm.common import durable, mapped, release, text_bytes
+from twinleaf.operators.ordering import cumulated
 
-#: Most labelled rows of each label that training uses, and most bytes of their texts; a single text takes a SHARE of them at most.
-SAMPLE, SAMPLE_BYTES, SHARE = 3000, 32 << 20, 16
+#: Bytes of text in a part, about; rounds of training, and what its moves are rounded to.
+PART_BYTES, EPOCHS, UNIT = 8 << 20, 12, 2.0**-20
+#: Moves are summed by so many slices of the embedding.
+SLICES = 16
+#: Labelled ids that are broadcast; more are joined by an exchange.
+IDS = 1 << 20
 #: Rows of each label that a language needs for a threshold of its own.
 ENOUGH = 20
 BUCKETS, DIM, FILTERS, WIDTHS, STEMS = 1 << 18, 8, 8, (1, 2, 3), (6, 8)
@@ -85,9 +93,13 @@ def encoded(text: str | None) -> tuple[np.ndarray, str]:
     words = WORD.findall((text or "").lower())
     ids = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
     rows = _WORDS.table[ids]
-    bits = rows[:, -1]
-    hits = [int((bits >> i & 1).sum()) for i in range(len(FUNCTION_WORDS))]
-    return rows[:, :-1], list(FUNCTION_WORDS)[int(np.argmax(hits))]
+    return rows[:, :-1], _language(rows)
+
+
+def _language(rows: np.ndarray) -> str:
+    """The language with the most function words among a text's words."""
+    hits = [int((rows[:, -1] >> i & 1).sum()) for i in range(len(FUNCTION_WORDS))]
+    return list(FUNCTION_WORDS)[int(np.argmax(hits))]
 
 
 @dataclass
@@ -152,21 +164,40 @@ def _fresh(seed: int) -> Model:
     return Model((rng.standard_normal((BUCKETS, DIM)) * 0.02).astype(np.float32), filters, [np.full(FILTERS, 0.1, np.float32) for _ in WIDTHS], (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32), 0.0, {})
 
 
-def _step(m: Model, coded: list[np.ndarray], labels: np.ndarray, sums: dict, rate: float) -> None:
+def _peaks(m: Model, table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each width, each text's largest response of each filter and its place in ``ids`` (-1: none), in runs of about ``WORDS`` words."""
+    best = [np.full((len(sizes), FILTERS), -np.inf, np.float32) for _ in WIDTHS]
+    at = [np.full((len(sizes), FILTERS), -1) for _ in WIDTHS]
+    pieces = [(i, s + k, min(s + n, s + k + WORDS + max(WIDTHS) - 1)) for i, (s, n) in enumerate(zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist())) for k in range(0, n, WORDS)]
+    run, held = [], 0
+    for j, piece in enumerate(pieces):
+        run.append(piece)
+        held += piece[2] - piece[1]
+        if held < WORDS and j + 1 < len(pieces):
+            continue
+        x, starts = m.embedded(table[np.concatenate([ids[lo:hi] for _, lo, hi in run])]), np.cumsum([0] + [hi - lo for _, lo, hi in run]).tolist()
+        for k, width in enumerate(WIDTHS):
+            out = m.responses(x, width)
+            for (i, lo, hi), s in zip(run, starts):
+                if hi - lo >= width:
+                    found = out[s:s + hi - lo - width + 1]
+                    place = found.argmax(0)
+                    top = found[place, np.arange(FILTERS)]
+                    at[k][i] = np.where(top > best[k][i], lo + place, at[k][i])
+                    best[k][i] = np.maximum(top, best[k][i])
+        run, held = [], 0
+    return best, at
+
+
+def _step(m: Model, table: np.ndarray, coded: list[np.ndarray], labels: np.ndarray, sums: dict, rate: float) -> None:
     """One Adagrad step on a few documents; only the places of the largest responses are touched."""
-    sizes = np.array([len(c) for c in coded])
-    starts = np.cumsum(sizes) - sizes
-    slots = np.concatenate(coded)
-    x = m.embedded(slots)
+    sizes, ids = np.array([len(c) for c in coded]), np.concatenate(coded)
+    best, at = _peaks(m, table, ids, sizes)
     pooled, where = np.zeros((len(coded), FILTERS * len(WIDTHS)), np.float32), []
-    for k, width in enumerate(WIDTHS):
-        out, at = m.responses(x, width), np.full((len(coded), FILTERS), -1)
-        for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
-            if n >= width:
-                at[i] = s + out[s:s + n - width + 1].argmax(0)
-        top = np.where(at >= 0, out[np.maximum(at, 0), np.arange(FILTERS)] if len(out) else 0, -np.inf) + m.biases[k]
+    for k in range(len(WIDTHS)):
+        top = best[k] + m.biases[k]
         pooled[:, k * FILTERS:(k + 1) * FILTERS] = np.maximum(top, 0)
-        where.append(np.where(top > 0, at, -1))
+        where.append(np.where(top > 0, at[k], -1))
     miss = (1 / (1 + np.exp(-np.clip(pooled @ m.weights + m.bias, -30, 30))) - labels).astype(np.float32)
     miss[np.abs(miss) < 0.02] = 0
     if not miss.any():
@@ -177,10 +208,10 @@ def _step(m: Model, coded: list[np.ndarray], labels: np.ndarray, sums: dict, rat
         doc, f = np.nonzero((where[k] >= 0) & (miss != 0)[:, None])
         if not len(doc):
             continue
-        g, windows = back[doc, k * FILTERS + f], slots[where[k][doc, f][:, None] + np.arange(width)]
+        g, windows = back[doc, k * FILTERS + f], table[ids[where[k][doc, f][:, None] + np.arange(width)]]
         flat = m.embedded(windows).reshape(len(doc), -1)
         pull = (g[:, None] * m.filters[k][:, f].T).reshape(len(doc), width, DIM)
-        touched.append(windows.reshape(-1, slots.shape[1]))
+        touched.append(windows.reshape(-1, table.shape[1]))
         pulls.append(pull.reshape(-1, DIM))
         one = np.zeros((FILTERS, len(doc)), np.float32)
         one[f, np.arange(len(doc))] = g
@@ -197,76 +228,198 @@ def _step(m: Model, coded: list[np.ndarray], labels: np.ndarray, sums: dict, rat
     if touched:
         rows = np.concatenate(touched).T.ravel()
         one, to = np.unique(rows, return_inverse=True)
-        pull = np.concatenate([np.concatenate(pulls)] * slots.shape[1])
+        pull = np.concatenate([np.concatenate(pulls)] * table.shape[1])
         total = np.stack([np.bincount(to, pull[:, d], len(one)) for d in range(DIM)], 1).astype(np.float32)
         sums["e"][one] += (total**2).mean(1)
         m.embedding[one] -= rate * total / np.sqrt(sums["e"][one])[:, None]
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 12, rate: float = 0.1, seed: int = 7) -> Model | None:
-    """Adagrad in steps of ``BATCH`` documents; a fifth of the sample sets the thresholds."""
-    if len(set(labels)) < 2:
-        return None
-    rng, m = np.random.default_rng(seed), _fresh(seed)
-    coded, y = [encoded(t) for t in texts], np.array(labels, np.float32)
-    kept = rng.permutation(len(texts))
-    apart, fit = kept[:len(kept) // 5], kept[len(kept) // 5:]
-    sums = {"e": np.full(BUCKETS, 1e-2, np.float32), "f": [np.full_like(f, 1e-2) for f in m.filters], "b": [np.full_like(b, 1e-2) for b in m.biases], "w": np.full_like(m.weights, 1e-2), "c": 1e-2}
-    for _ in range(epochs):
-        order = rng.permutation(fit)
-        for k in range(0, len(order), BATCH):
-            some = order[k:k + BATCH]
-            _step(m, [coded[i][0] for i in some], y[some], sums, rate)
-    logits = m.logits([coded[i][0] for i in apart])
-    truth, langs = y[apart], np.array([coded[i][1] for i in apart])
-    common = _threshold(logits, truth)
-    m.thresholds = {lang: _threshold(logits[langs == lang], truth[langs == lang]) if min((truth[langs == lang] == v).sum() for v in (0, 1)) >= ENOUGH else common for lang in FUNCTION_WORDS}
-    return m
-
-
-def _threshold(logits: np.ndarray, truth: np.ndarray) -> float:
-    """Where true and false positive rates differ most; the middle of the widest such gap."""
-    if not len(truth) or truth.min() == truth.max():
-        return 0.0
-    order = np.argsort(logits)
-    s, y = logits[order], truth[order]
-    gain = np.cumsum(np.where(y == 0, 1 / (y == 0).sum(), 0)) - np.cumsum(np.where(y == 1, 1 / y.sum(), 0))
-    gap = np.append(np.diff(s), 0)
-    at = max(np.flatnonzero(gain[:-1] >= gain[:-1].max() - 1e-9), key=lambda i: gap[i])
-    return float((s[at] + s[at + 1]) / 2)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: bool = True) -> Model | None:
-    """Train on at most ``sample`` rows of each label; ``held_out`` leaves out doc_ids whose crc32 is a multiple of 5."""
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _started(seed: int = 7) -> tuple[Model, dict]:
+    """A fresh model and Adagrad's sums."""
+    m = _fresh(seed)
+    return m, {"e": np.full(BUCKETS, 1e-2, np.float32), "f": [np.full_like(f, 1e-2) for f in m.filters], "b": [np.full_like(b, 1e-2) for b in m.biases], "w": np.full_like(m.weights, 1e-2), "c": 1e-2}
+
+
+def _small(m: Model, sums: dict) -> np.ndarray:
+    """All numbers but the embedding's, in one row."""
+    return np.concatenate([np.ravel(x).astype(np.float64) for x in (*m.filters, *m.biases, m.weights, m.bias, *sums["f"], *sums["b"], sums["w"], sums["c"])])
+
+
+def _set_small(m: Model, sums: dict, row: np.ndarray) -> None:
+    at = 0
+    for x in (*m.filters, *m.biases, m.weights, None, *sums["f"], *sums["b"], sums["w"], None):
+        if x is None:
+            at += 1
+        else:
+            x[...] = row[at:at + x.size].reshape(x.shape)
+            at += x.size
+    n = sum(x.size for x in (*m.filters, *m.biases, m.weights))
+    m.bias, sums["c"] = float(row[n]), float(row[-1])
+
+
+def _rows(m: Model, sums: dict) -> np.ndarray:
+    """The embedding's rows, each with its sum."""
+    return np.concatenate([m.embedding, sums["e"][:, None]], 1)
+
+
+def _encoded_part(key, t):
+    """A part's words as numbers into a table of its distinct words' slots, in order of doc_id."""
+    rows = sorted(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), t["toxic"].to_pylist()), key=lambda r: r[0])
+    known, coded, langs = _Words(), [], []
+    for _, text, _ in rows:
+        ids = np.fromiter(map(known.__getitem__, WORD.findall((text or "").lower())), np.int32)
+        coded.append(ids)
+        langs.append(_language(known.table[ids]))
+    part = {"table": known.table[:max(len(known), 1), :-1].copy(), "ids": np.concatenate(coded), "sizes": np.array([len(c) for c in coded]), "y": np.array([r[2] for r in rows], np.float32), "langs": langs}
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pickle.dumps(part)], pa.binary())], names=["part", "blob"])
+
+
+def _opened(part: int, blob: bytes, seed: int = 7) -> tuple[dict, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The part, its texts' words, and which of them are apart and which are trained on."""
+    x = pickle.loads(blob)
+    coded = np.split(x["ids"], np.cumsum(x["sizes"])[:-1])
+    kept = np.random.default_rng([seed, part]).permutation(len(coded))
+    return x, coded, kept[:len(kept) // 5], kept[len(kept) // 5:]
+
+
+def _each_part(batches):
+    for b in batches:
+        for part, blob in zip(b.column("part").to_pylist(), b.column("blob")):
+            yield part, blob.as_py()
+
+
+def _moves(shared, epoch: int, rate: float = 0.1, seed: int = 7):
+    """A batch function: a task's parts train a copy of the model each, and it tells the sums of their moves by slice."""
+
+    def each(batches):
+        model, sums = shared.value
+        base, small = _rows(model, sums), _small(model, sums)
+        total, times = np.zeros(base.shape, np.int64), np.zeros(len(base), np.int32)
+        rest, parts = np.zeros(len(small), np.int64), 0
+        for part, blob in _each_part(batches):
+            x, coded, _, fit = _opened(part, blob)
+            m, s = pickle.loads(pickle.dumps((model, sums)))
+            order = np.random.default_rng([seed, part, epoch]).permutation(fit)
+            for k in range(0, len(order), BATCH):
+                some = order[k:k + BATCH]
+                _step(m, x["table"], [coded[i] for i in some], x["y"][some], s, rate)
+            if len(order):
+                moved = _rows(m, s) - base
+                on = np.flatnonzero(moved.any(1))
+                total[on] += np.rint(moved[on] / UNIT).astype(np.int64)
+                times[on] += 1
+                rest += np.rint((_small(m, s) - small) / UNIT).astype(np.int64)
+                parts += 1
+        if parts:
+            yield _told([(SLICES, _packed(np.zeros(1, np.int32), np.array([parts], np.int32), rest[None]))] + [(k, _packed(on, times[on], total[on])) for k in range(SLICES) if len(on := np.flatnonzero(times[k::SLICES]) * SLICES + k)])
+
+    return each
+
+
+def _packed(at: np.ndarray, times: np.ndarray, total: np.ndarray) -> bytes:
+    return b"".join([np.int64(len(at)).tobytes(), at.astype(np.int32).tobytes(), times.tobytes(), total.tobytes()])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return np.frombuffer(blob, np.int32, n, 8), np.frombuffer(blob, np.int32, n, 8 + 4 * n), np.frombuffer(blob, np.int64, -1, 8 + 8 * n).reshape(n, -1)
+
+
+def _told(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "blob"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean move of each row of a slice, one blob after the other."""
+    sums = None
+    for b in batches:
+        for k, blob in zip(b.column("slice").to_pylist(), b.column("blob")):
+            at, times, total = _unpacked(blob.as_py())
+            if sums is None:
+                width = 1 if k == SLICES else BUCKETS // SLICES
+                sums, n = np.zeros((width, total.shape[1]), np.int64), np.zeros(width, np.int64)
+            sums[at // SLICES] += total
+            n[at // SLICES] += times
+    on = np.flatnonzero(n)
+    yield _told([(k, pickle.dumps((on, (sums[on] / n[on][:, None] * UNIT).astype(np.float32 if k < SLICES else np.float64))))])
+
+
+def _apart(shared):
+    """A batch function: language, label and logit of the rows kept apart."""
+
+    def each(batches):
+        for part, blob in _each_part(batches):
+            x, coded, apart, _ = _opened(part, blob)
+            for k in range(0, len(apart), BATCH):
+                some = apart[k:k + BATCH]
+                best, _ = _peaks(shared.value, x["table"], np.concatenate([coded[i] for i in some]), x["sizes"][some])
+                pooled = np.concatenate([np.maximum(v + b, 0) for v, b in zip(best, shared.value.biases)], 1)
+                yield pa.RecordBatch.from_arrays([pa.array([x["langs"][i] for i in some], pa.string()), pa.array(x["y"][some].astype(np.int64), pa.int64()), pa.array((pooled @ shared.value.weights + shared.value.bias).astype(np.float64), pa.float64())], names=["lang", "toxic", "logit"])
+
+    return each
+
+
+def thresholds(rows: DataFrame) -> dict[str, float]:
+    """Of (lang, toxic, logit) rows, each language's logit where true and false positive rates differ most: the middle of the widest such gap.
+
+    A common one ("" inside) serves where a language has too few rows; 0.0 where a label is missing from all.
+    """
+    values = durable(rows.select(F.explode(F.array("lang", F.lit(""))).alias("lang"), "toxic", "logit").groupBy("lang", "logit").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")))
+    counts = {r.lang: (r.p, r.n) for r in values.groupBy("lang").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()}  # a row for each language
+    wanted = sorted(lang for lang, have in counts.items() if min(have) >= (ENOUGH if lang else 1))
+    found = {}
+    if wanted:
+        some = cumulated(values.filter(F.col("lang").isin(wanted)), ["lang", "logit"], {"below_pos": "pos", "below_neg": "neg", "number": F.lit(1)})
+        ends, p, n = [], 0, 0
+        for lang in wanted:
+            ends.append((lang, p, n, *counts[lang]))
+            p, n = p + counts[lang][0], n + counts[lang][1]
+        ends = F.broadcast(rows.sparkSession.createDataFrame(ends, "lang string, before_pos long, before_neg long, p long, n long"))  # a row for each language
+        some = durable(some.join(ends, "lang").select("lang", "logit", "number", ((F.col("below_neg") - F.col("before_neg")) / F.col("n") - (F.col("below_pos") - F.col("before_pos")) / F.col("p")).alias("gain")))
+        after = some.select("lang", (F.col("number") - 1).alias("number"), F.col("logit").alias("next"))
+        gaps = some.join(after, ["lang", "number"]).select("lang", "gain", F.struct((F.col("next") - F.col("logit")).alias("gap"), ((F.col("next") + F.col("logit")) / 2).alias("middle")).alias("at"))
+        gaps = durable(gaps)
+        most = F.broadcast(gaps.groupBy("lang").agg(F.max("gain").alias("most")))
+        found = {r.lang: float(r.at.middle) for r in gaps.join(most, "lang").filter("gain >= most - 1e-9").groupBy("lang").agg(F.max("at").alias("at")).collect()}
+        release(some, gaps)
+    release(values)
+    return {lang: found.get(lang, found.get("", 0.0)) for lang in FUNCTION_WORDS}
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model | None:
+    """Train on every labelled row; ``held_out`` leaves out doc_ids whose crc32 is a multiple of 5."""
+    spark = docs.sparkSession
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     if held_out:
         known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    ids = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    chosen = {r.doc_id: r.toxic for part in ids for r in part.collect()}
-    if len(set(chosen.values())) < 2:
+    known = durable(known)
+    some = docs.select("doc_id", "text").join(F.broadcast(known) if known.count() <= IDS else known, "doc_id")
+    if some.select("toxic").distinct().count() < 2:
+        release(known)
         return None
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int"))  # as many rows as the sample
-    some = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES // SHARE)
-    sized = durable(some.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
-    taken, left = [], SAMPLE_BYTES
-    for r in sized.select("doc_id", "bytes").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # ids of the sample
-        if r.bytes <= left:
-            taken.append((r.doc_id, chosen[r.doc_id]))
-            left -= r.bytes
-    rows = sized.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(taken, "doc_id long, toxic int")), "doc_id")
-    # Bounded in rows and bytes: one task trains, so that the driver holds no texts.
-    made = durable(rows.repartition(1).mapInArrow(_trained, "model binary")).collect()
-    release(sized)
-    return pickle.loads(made[0].model) if made else None
-
-
-def _trained(batches):
-    """The model of all rows, in order of doc_id."""
-    rows = sorted((r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")])), key=lambda r: r[0])
-    model = train([r[1] for r in rows], [r[2] for r in rows])
-    if model is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    parts = max(1, -(-text_bytes(some) // PART_BYTES))
+    dealt = some.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition(parts, "part").groupBy("part", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    coded = durable(dealt.groupBy("part").applyInArrow(_encoded_part, "part int, blob binary"))
+    release(known)
+    model, sums = _started()
+    for epoch in range(EPOCHS):
+        shared = spark.sparkContext.broadcast((model, sums))
+        moved = coded.mapInArrow(_moves(shared, epoch), "slice int, blob binary").groupBy("slice").applyInArrow(_averaged, "slice int, blob binary")
+        for r in moved.collect():  # a model's size
+            at, move = pickle.loads(r.blob)
+            if r.slice == SLICES:
+                _set_small(model, sums, _small(model, sums) + move[0])
+            else:
+                at = at * SLICES + r.slice
+                model.embedding[at] += move[:, :DIM]
+                sums["e"][at] += move[:, DIM]
+        shared.destroy()
+    shared = spark.sparkContext.broadcast(model)
+    apart = durable(coded.mapInArrow(_apart(shared), "lang string, toxic long, logit double"))
+    shared.destroy()
+    model.thresholds = thresholds(apart)
+    release(coded, apart)
+    return model
 
 
 def _scorer(docs: DataFrame, model: Model | None):
