@@ -23,6 +23,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,27 +61,35 @@ WORD = re.compile(r"[^\W_]+")
 _LIKELY = {w: sum(1 << i for i, known in enumerate(FUNCTION_WORDS.values()) if w in known) for words in FUNCTION_WORDS.values() for w in words}
 
 
-def _slots(word: str) -> tuple[int, ...]:
-    """The word's rows of the table, and its languages' bits."""
-    raw = word.encode("utf-8", "surrogatepass")
-    stems = [f"{n}:{word[:n]}".encode("utf-8", "surrogatepass") for n in STEMS]
-    return zlib.crc32(raw) % BUCKETS, zlib.crc32(raw, 0x9E3779B9) * 0x9E3779B1 % 0xFFFFFFFF % BUCKETS, *(zlib.crc32(x) * 0x9E3779B1 % 0xFFFFFFFF % BUCKETS for x in stems), _LIKELY.get(word, 0)
+#: For each length of stems, what its name adds to a hash.
+_NAMED = [(n, zlib.crc32(f"{n}:".encode())) for n in STEMS]
 
 
 class _Words(dict):
-    """Numbers of the words met; ``table`` holds their slots. Emptied between texts once it holds ``most`` words."""
+    """Numbers of the words met; ``rows`` gives their rows of the embedding and their languages' bits. Emptied between texts once it holds ``most`` words."""
 
     def __init__(self, most: int = 1 << 17):
-        self.most, self.table = most, np.zeros((1 << 10, 3 + len(STEMS)), np.int32)
+        self.most, self.new, self.held, self.table = most, array("Q"), 0, np.zeros((1 << 10, 3 + len(STEMS)), np.int32)
 
     def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = _slots(word)
-        self[word] = n
+        raw = word.encode("utf-8", "surrogatepass")
+        stems = [raw[:n] for n in STEMS] if word.isascii() else [word[:n].encode("utf-8", "surrogatepass") for n in STEMS]
+        self.new.extend((zlib.crc32(raw), zlib.crc32(raw, 0x9E3779B9), *[zlib.crc32(x, named) for x, (_, named) in zip(stems, _NAMED)], _LIKELY.get(word, 0)))
+        self[word] = n = len(self)
         return n
 
+    def rows(self) -> np.ndarray:
+        if self.new:
+            found = np.frombuffer(self.new, np.uint64).reshape(-1, self.table.shape[1]).copy()
+            found[:, 1:-1] = found[:, 1:-1] * np.uint64(0x9E3779B1) % np.uint64(0xFFFFFFFF)
+            found[:, :-1] %= np.uint64(BUCKETS)
+            end = self.held + len(found)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.int32)])
+            self.table[self.held:end] = found
+            self.held, self.new = end, array("Q")
+        return self.table
+
 
 _WORDS = _Words()
 
@@ -92,13 +101,14 @@ def encoded(text: str | None) -> tuple[np.ndarray, str]:
         _WORDS.clear()
     words = WORD.findall((text or "").lower())
     ids = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
-    rows = _WORDS.table[ids]
+    rows = _WORDS.rows().take(ids, axis=0)
     return rows[:, :-1], _language(rows)
 
 
 def _language(rows: np.ndarray) -> str:
     """The language with the most function words among a text's words."""
-    hits = [int((rows[:, -1] >> i & 1).sum()) for i in range(len(FUNCTION_WORDS))]
+    of_bits = np.bincount(rows[:, -1], minlength=1 << len(FUNCTION_WORDS))
+    hits = [int(of_bits[np.arange(len(of_bits)) >> i & 1 == 1].sum()) for i in range(len(FUNCTION_WORDS))]
     return list(FUNCTION_WORDS)[int(np.argmax(hits))]
 
 
@@ -169,13 +179,17 @@ def _peaks(m: Model, table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> t
     best = [np.full((len(sizes), FILTERS), -np.inf, np.float32) for _ in WIDTHS]
     at = [np.full((len(sizes), FILTERS), -1) for _ in WIDTHS]
     pieces = [(i, s + k, min(s + n, s + k + WORDS + max(WIDTHS) - 1)) for i, (s, n) in enumerate(zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist())) for k in range(0, n, WORDS)]
-    run, held = [], 0
+    run, held, seen, number = [], 0, np.zeros(len(table), bool), np.empty(len(table), np.int32)
     for j, piece in enumerate(pieces):
         run.append(piece)
         held += piece[2] - piece[1]
         if held < WORDS and j + 1 < len(pieces):
             continue
-        x, starts = m.embedded(table[np.concatenate([ids[lo:hi] for _, lo, hi in run])]), np.cumsum([0] + [hi - lo for _, lo, hi in run]).tolist()
+        words, starts = np.concatenate([ids[lo:hi] for _, lo, hi in run]), np.cumsum([0] + [hi - lo for _, lo, hi in run]).tolist()
+        seen[words] = True
+        some = np.flatnonzero(seen)
+        seen[some], number[some] = False, np.arange(len(some))
+        x = m.embedded(table[some]).take(number[words], axis=0)  # each distinct word's rows are added once
         for k, width in enumerate(WIDTHS):
             out = m.responses(x, width)
             for (i, lo, hi), s in zip(run, starts):
@@ -269,7 +283,7 @@ def _encoded_part(key, t):
     for _, text, _ in rows:
         ids = np.fromiter(map(known.__getitem__, WORD.findall((text or "").lower())), np.int32)
         coded.append(ids)
-        langs.append(_language(known.table[ids]))
+        langs.append(_language(known.rows()[ids]))
     part = {"table": known.table[:max(len(known), 1), :-1].copy(), "ids": np.concatenate(coded), "sizes": np.array([len(c) for c in coded]), "y": np.array([r[2] for r in rows], np.float32), "langs": langs}
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pickle.dumps(part)], pa.binary())], names=["part", "blob"])
 
