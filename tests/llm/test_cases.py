@@ -101,3 +101,19 @@ def test_convolution_against_plain_loops():
                 want.append(best)
         assert pooled == pytest.approx(want, abs=1e-3)
     assert model.logits(coded) == pytest.approx(got @ model.weights + 0.2, abs=1e-3)
+
+
+def test_few_links_are_joined_by_one_task_and_many_in_rounds(spark, monkeypatch):
+    """Both give the same components; few links take a few jobs, as rounds of many fill the driver with what it notes of each task."""
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(120)] + [(5000, k) for k in range(4000, 4100)] + [(7, 7)]
+    df, sc, got = spark.createDataFrame(edges, "u long, v long"), spark.sparkContext, {}
+    for most in (1 << 17, 0):
+        monkeypatch.setattr(jaccard_join, "EDGES", most, raising=False)
+        sc.setJobGroup(f"links {most}", "")
+        got[most] = sorted(map(tuple, jaccard_join.connected(df).collect()))
+        if most:
+            assert len(sc.statusTracker().getJobIdsForGroup(f"links {most}")) <= 10
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1 << 17] and dict(got[0])[300] == 0 and {r for c, r in got[0] if 4000 <= c <= 5000} == {4000}
+    assert jaccard_join.connected(df.limit(0)).count() == 0

@@ -127,14 +127,38 @@ def _prefixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(np.concatenate(owners) if owners else [], pa.int64())], names=["token", "class"])
 
 
+#: Rows of edges, each in both directions, that one task links: some MB, and one job in place of rounds of many.
+EDGES = 1 << 17
+
+
+def _rooted(batches):
+    """The components of all edges of the task, by union and find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], names=["class", "root"])
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(class, root) for each class of ``edges`` (u, v): its component's smallest class.
 
-    Each round hangs every class and its neighbours on the smallest root seen and then
+    At most ``EDGES`` rows are linked by one task, more in rounds: each hangs every class and its neighbours on the smallest root seen and then
     shortens the paths; rounds end when nothing changes. A hub with many neighbours and a root with many
     members are hot keys; what is joined with them is one row each.
     """
     both = durable(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    if both.count() <= EDGES:
+        few = durable(both.repartition(1).mapInArrow(_rooted, "class long, root long"))
+        release(both)
+        return few
     hubs = hot_keys(both, "v")
     last = durable(both.groupBy(F.col("u").alias("class")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
     while True:
