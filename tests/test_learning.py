@@ -96,3 +96,28 @@ def test_word_grams(spark):
     got = {(r.side, r.gram): r["count"] for r in ngrams.word_grams(df, 1, 2, stop_words=True).collect()}
     assert got == {(1, "cat"): 2, (1, "sat"): 1, (1, "cat cat"): 1, (1, "cat sat"): 1}
     assert ngrams.word_grams(df, 1, 1, binary=True).filter(F.col("count") > 1).isEmpty()
+
+
+@pytest.mark.parametrize("bytes_held", [1 << 29, 1])
+def test_factors_by_restarted_blocks(spark, monkeypatch, bytes_held):
+    """Longer sides than are decomposed at once, with and without restarts."""
+    monkeypatch.setattr(factors, "BASIS_BYTES", bytes_held)
+    rng = np.random.default_rng(5)
+    x = rng.poisson(0.4 * rng.random((160, 1)) * rng.random((1, 90)) * 4).astype(float)
+    x[:, 0] += 1
+    counts = spark.createDataFrame([(i // 2, i % 2 + 1, f"g{j}", int(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v], "id long, side int, gram string, count long")
+    u, s = factors.stacked_factors(counts, ngrams.frequent(counts, 1), 3)
+    want, sv, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(s, sv[:3])
+    assert np.allclose(np.abs([r.factors for r in u.orderBy("id", "side").collect()]), np.abs(want[:, :3]) * np.sqrt(160), atol=1e-6)
+    y = np.hstack([x[0::2] / np.linalg.norm(x[0::2], axis=1)[:, None], x[1::2] / np.linalg.norm(x[1::2], axis=1)[:, None]])
+    want = np.linalg.svd(y, full_matrices=False)[0]
+    got = np.array([r.factors for r in factors.sparse_factors(counts, ngrams.frequent(counts, 1), 3).orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(want[:, :3]), atol=1e-6)
+
+
+def test_factors_of_one_rank(spark):
+    counts = spark.createDataFrame([(i, 1, f"g{j}", 2) for i in range(80) for j in range(3)], "id long, side int, gram string, count long")
+    u, s = factors.stacked_factors(counts, ngrams.frequent(counts, 1), 2)
+    assert np.allclose(s, [2 * np.sqrt(240), 0])
+    assert np.allclose(np.abs([r.factors for r in u.collect()]), [[1, 0]] * 80)
