@@ -1,4 +1,6 @@
 import random
+import time
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,17 @@ def test_csv_round_trip(spark, tmp_path):
     assert [tuple(r) for r in fixtures.read_pairs_csv(spark, str(tmp_path / "x")).collect()] == [(1, 1, 2, 'a "b", c\nd', "nan", 0)]
 
 
+def plain_alignment(a, b):
+    row = [(j, -j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        new = [(i, -i)]
+        for j, y in enumerate(b, 1):
+            cost, length = min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1]))
+            new.append((cost, length - 1))
+        row = new
+    return row[-1][0] / -row[-1][1] if row[-1][1] else 0.0
+
+
 def test_alignment_against_pairs():
     def plain(a, b):
         row = [(j, -j) for j in range(len(b) + 1)]
@@ -139,3 +152,38 @@ def test_ratios_against_plain_blocks():
             want["f2_wratio"] = round(max(parts))
         for name, value in want.items():
             assert fuzzy.RATIOS[name](a, b) == value, (name, a, b)
+
+
+def test_blocks_are_difflibs():
+    """Short and long texts, where popular characters begin no match, and texts with the signs that mask them."""
+    rng = random.Random(8)
+    for k in range(400):
+        letters = "ab" if k % 4 == 0 else "abcdefgh " if k % 4 == 1 else "abcdefghijklmnopqrstuvwxyz     eeeetttaaa.,'-0123456789"
+        make = lambda: "".join(rng.choice(letters) for _ in range(rng.choice((0, 5, 60, 199, 200, 450))))  # noqa: E731,B023
+        a, b = make(), make()
+        if k % 3 == 0:
+            b = a[len(a) // 3:] + b[:100] + a[:50]
+        if k % 50 == 0:
+            a += "\ud800"
+        want = SequenceMatcher(None, a, b)
+        assert fuzzy._share(a, b) == want.ratio()
+        joined = [tuple(m) for m in want.get_matching_blocks()[:-1]]
+        got = sorted(fuzzy.matching_blocks(a, b))
+        assert {(i - j, i + n) for i, j, m in got for n in range(m)} == {(i - j, i + n) for i, j, m in joined for n in range(m)}
+
+
+def test_long_texts_take_little_time():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    pairs = [(" ".join(rng.choices(words, k=30)), " ".join(rng.choices(words, k=100))) for _ in range(20)]
+    began = time.process_time()
+    want = [max(SequenceMatcher(None, a, b[max(j - i, 0):max(j - i, 0) + len(a)]).ratio() for i, j, _ in SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in pairs]
+    plain, began = time.process_time() - began, time.process_time()
+    assert [fuzzy.partial_ratio(a, b) for a, b in pairs] == [round(100 * w) for w in want]
+    assert time.process_time() - began < plain / 2
+
+
+def test_alignments_in_batches():
+    rng = random.Random(10)
+    pairs = [tuple("".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(2)) for _ in range(200)] + [("a" * 3000, "ab" * 1500), ("é😀", "e😀")]
+    assert fuzzy.alignment_distances(pairs) == [plain_alignment(a, b) for a, b in pairs]
