@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
@@ -114,10 +115,9 @@ def _(spark, sf_dir):
     factors.save(spark, path, *factors.directions(v, "a", wide))
     values, vectors = factors.load(spark, path)
     n = v.count()
-    parts = factors.projected(F.col("a"), values, vectors, n)
-    scale = [float(s / n**0.5) for s in values]
-    back = [F.round(sum((F.col("u")[i] * F.lit(scale[i] * float(vectors[i, j])) for i in range(wide)), F.lit(0.0)), 6) + 0 for j in range(wide)]
-    return v.select("vec_id", parts.alias("u")).select("vec_id", F.array(*back).alias("again"))
+    u = factors.projected_rows(v, "vec_id", "a", np.divide(n**0.5, values, out=np.zeros_like(values), where=values > 0)[:, None] * vectors)
+    back = factors.projected_rows(u, "vec_id", "a", (values / n**0.5 * vectors.T))
+    return back.select("vec_id", F.transform("a", lambda x: F.round(x, 6) + 0).alias("again"))
 
 
 @query("v1_v2_whitened", "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS mean FROM range(5) a(i), range(5) b(j)")
@@ -207,8 +207,6 @@ SELECT vec_id AS id, round(sqrt(list_dot_product(x, x) / list_dot_product(a, a))
   round(sqrt(list_dot_product(x, x) + list_dot_product(y, y) - 2 * list_dot_product(x, y)), 6) AS distance, round(list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)), 6) AS cosine FROM r""")
 def _(spark, sf_dir):
     """Residuals of two vectors when the first eight axes are taken as directions: what is left are the other axes."""
-    import numpy as np
-
     v = _vectors(spark, sf_dir)
     v = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").withColumnRenamed("vec_id", "id")
     wide = v.select(F.size("a")).first()[0]
