@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from twinleaf.functions import cascade, stemming, transport
 from twinleaf.operators import factors, models, tagging
+from twinleaf.plans import registry
 from twinleaf.sources import config, files
 
 
@@ -49,6 +50,34 @@ def test_vocabulary_rules(spark):
     assert [r[0] for r in df.select(cascade.clean_string(spark, F.col("t"), known)).collect()] == ["he is a year old ( quoted_item )", "", ""]
 
 
+def test_vocabulary_in_a_table(spark):
+    """As with words sent out, without collecting the table; rows with the same key, nulls and words that only a split joins."""
+    words = ["year", "old", "programmer", "a", "big_x"]
+    texts = ["He is a year-old (zzz)", "x_year-old", "a (big-x)", "(year old)", None, "", "no", "a-b-c 'q-z'", "a (programmer) and [zzz]"]
+    df = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "id long, t string")
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    want = sorted(map(str, df.select("id", cascade.clean_string(spark, F.col("t"), words).alias("t")).collect()))
+    assert sorted(map(str, cascade.cleaned_strings(df, ["id"], "t", table).collect())) == want
+    for rule, asks in ((cascade.split_dashes, cascade.dash_parts), (cascade.keep_meaningful, cascade.spanned_words)):
+        want = sorted(map(str, df.select("id", cascade.with_vocabulary(spark, words, rule)("t").alias("t")).collect()))
+        assert sorted(map(str, cascade.by_vocabulary(df, ["id"], "t", table, rule, asks).collect())) == want
+
+
+def test_queries_send_no_vocabulary(spark, monkeypatch):
+    def sent(*_):
+        raise AssertionError("the vocabulary is sent")
+
+    monkeypatch.setattr(cascade, "with_vocabulary", sent)
+    for name in ("c5_dashes", "c6_quoted", "c10_clean_string"):
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_few_tokens_are_objects_at_once(monkeypatch, spark):
+    monkeypatch.setattr(tagging, "SLICE", 2)
+    df = spark.range(7).select(F.col("id").alias("qid"), F.array(F.struct(*[F.lit(v).alias(k) for k, v in _token("the", known_lemma=True, best="", second="").items()])).alias("tokens"))
+    assert {r.qid: r.words for r in tagging.rewritten(df).collect()} == {i: ["the"] for i in range(7)}
+
+
 def _token(text, **more):
     return {"text": text, "lower": text.lower(), "lemma": text.lower(), "ent_type": "", "best": None, "second": None, "known_text": False, "known_lower": False, "known_lemma": False} | more
 
@@ -151,3 +180,13 @@ def test_factors(spark):
     assert got[4].norm1 == pytest.approx(np.linalg.norm(rest[4]) / np.linalg.norm(x[4])) and got[99].norm1 is None
     p = df.filter("id = 4").select(factors.projected(F.col("a"), s, v, 30)).first()[0]
     assert np.allclose(p, x[4] @ v.T / s * np.sqrt(30))
+
+
+def test_many_directions_make_no_expressions(spark):
+    x = np.random.default_rng(3).standard_normal((20, 300))
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)] + [(99, None)], "id long, a array<double>")
+    out = factors.projected_rows(df, "id", "a", np.eye(300)[::-1])
+    got = {r.id: r.a for r in out.collect()}
+    assert got.pop(99) is None and all(np.array_equal(got[i], x[i][::-1]) for i in range(20))
+    plan = registry.queries()["s9_factor_cache"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000

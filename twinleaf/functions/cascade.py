@@ -1,7 +1,8 @@
 """The long cleaning cascade: ordered rules as column expressions, then dashes and quotes by a vocabulary.
 
-Rules run within the JVM. The two rules that ask a vocabulary take an Arrow-batched
-function; the vocabulary is sent to executors once, and its size is checked.
+Rules run within the JVM. The two rules that ask a vocabulary are Arrow-batched functions. A vocabulary
+in a table is joined to the words that a text asks for, so that no task holds more than those;
+one given as words is sent to executors, and its size is checked.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from twinleaf.operators.durable import durable
 
 #: Marks that stand for what is left out.
 QUOTED, NON_ASCII, UNDEFINED = "quoted_item", "non_ascii_word", "something"
@@ -143,6 +146,31 @@ def keep_meaningful(text: str, known) -> str:
     return text
 
 
+def dash_parts(text: str) -> list[str]:
+    """The words that ``split_dashes`` asks for."""
+    return [p for m in re.findall(r"[a-zA-Z0-9-]*-[a-zA-Z0-9-]*", text) for p in m.split("-") if p] if "-" in text else []
+
+
+def spanned_words(text: str) -> list[str]:
+    """The words that ``keep_meaningful`` may ask for: of texts with a span, those of three letters or more."""
+    return [w for w in re.findall(r"\w+", text) if len(w) > 2 and not w.isdigit()] if any(re.search(s, text) for s in SPANS) else []
+
+
+def by_vocabulary(df: DataFrame, key: list[str], column: str, words: DataFrame, rule, asks) -> DataFrame:
+    """``df`` with ``rule(text, known)`` in ``column``; of what ``asks(text)`` gives, known has the words in the table ``words``."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def asked(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else sorted(set(asks(t))))
+
+    @F.pandas_udf(StringType())
+    def each(text: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else rule(t, frozenset(() if k is None else k)) for t, k in zip(text, known)], dtype=object)
+
+    known = df.select(*key, F.explode(asked(column)).alias("word")).join(words.select("word"), "word", "left_semi").groupBy(*key).agg(F.collect_set("word").alias("_known"))
+    return df.join(known, key, "left").withColumn(column, each(column, "_known")).drop("_known")
+
+
 def with_vocabulary(spark: SparkSession, words, rule):
     """A column function that applies ``rule(text, words)``; ``words`` is an iterable, or a DataFrame with ``word``."""
     if isinstance(words, DataFrame):
@@ -170,3 +198,11 @@ def clean_string(spark: SparkSession, text: Column, words, greedy: bool = True)
     """The whole cascade; null and empty texts give an empty text."""
     named = with_vocabulary(spark, words, lambda t, known: keep_meaningful(split_dashes(t, known), known))
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(padded(named(ruled(text, greedy))))
+
+
+def cleaned_strings(df: DataFrame, key: list[str], column: str, words: DataFrame, greedy: bool = True) -> DataFrame:
+    """As ``clean_string`` in ``column``, with the vocabulary in a table."""
+    out = durable(df.withColumn(column, F.when(F.coalesce(column, F.lit("")) != "", ruled(F.col(column), greedy))))
+    out = durable(by_vocabulary(out, key, column, words, split_dashes, dash_parts))
+    out = by_vocabulary(out, key, column, words, keep_meaningful, spanned_words)
+    return out.withColumn(column, F.coalesce(padded(F.col(column)), F.lit("")))

@@ -37,6 +37,8 @@ ENTITY_WORDS = {
 NUMERIC = {"DATE", "TIME", "PERCENT", "MONEY", "QUANTITY", "ORDINAL", "CARDINAL"}
 #: Words kept as they are, and the lemma that stands for pronouns.
 AS_IS, PRONOUN = {"need"}, "-PRON-"
+#: Rows of tokens that are Python objects at once.
+SLICE = 64
 
 
 def entity_word(kind):
@@ -94,7 +96,7 @@ def rewritten(df: DataFrame, key: str = "qid", stops=()) -> DataFrame:
     stops, kind = frozenset(stops), dict(df.dtypes)[key]
 
     def each(batches):
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, len(whole), SLICE)):
             words = [rewritten_words(tokens, stops) for tokens in b.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(words, pa.list_(pa.string()))], names=[key, "words"])
 
