@@ -47,24 +47,24 @@ def _four(df: DataFrame) -> DataFrame:
 
 @query("k1_one_feature", f"{_newton(_ALL, 1, '1', 1.0)} SELECT id, y, round(b0 + b1 * x, 4) + 0 AS logit FROM d, b")
 def _(spark, sf_dir):
-    s = fx.scored(spark, sf_dir)
+    s = durable(fx.scored(spark, sf_dir))
     return _four(models.logits(models.logistic(s, ["p"]), s, ["p"]))
 
 
 @query("k2_one_feature_weighted", f"{_newton(_ALL, 1, 'w', 1.0)} SELECT id, y, round(b0 + b1 * x, 4) + 0 AS logit FROM d, b")
 def _(spark, sf_dir):
-    s = fx.scored(spark, sf_dir)
+    s = durable(fx.scored(spark, sf_dir))
     return _four(models.logits(models.logistic(s, ["p"], weighted=True), s, ["p"]))
 
 
 @query("q5_platt_scaling", f"{_newton(_ALL, 1, '1', 0.0)} SELECT id, y, round(1 / (1 + exp(-(b0 + b1 * x))), 4) + 0 AS p FROM d, b")
 def _(spark, sf_dir):
-    return _four(models.platt(fx.scored(spark, sf_dir)))
+    return _four(models.platt(durable(fx.scored(spark, sf_dir))))
 
 
 @query("k3_ten_folds", f"{_newton(_TEN, 10, '1', 1.0)} SELECT id, y, fold::INT AS fold, round(b0 + b1 * x, 4) + 0 AS logit FROM d JOIN b ON b.f = d.fold")
 def _(spark, sf_dir):
-    return _four(models.cross_fitted(fx.scored(spark, sf_dir), None, ["p"])[0])
+    return _four(models.cross_fitted(durable(fx.scored(spark, sf_dir)), None, ["p"])[0])
 
 
 _PARTS = "SELECT id, y, p AS x, w, ntile(10) OVER (PARTITION BY y ORDER BY id) - 1 AS fold FROM scored WHERE id % 7 > 0"

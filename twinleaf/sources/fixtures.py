@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TRAIN_SCHEMA = "id LONG, qid1 LONG, qid2 LONG, question1 STRING, question2 STRING, is_duplicate INT"
 TEST_SCHEMA = "test_id LONG, question1 STRING, question2 STRING"
@@ -66,15 +67,27 @@ def graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "id").distinct()
 
 
+#: Neighbouring documents whose words meet in one group of a window.
+RUN = 64
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, y, p, w): a score between 0.01 and 0.99 for neighbouring documents, label and class weight."""
-    d = table(spark, sf_dir, "documents")
+    """(id, y, p, w): a score between 0.01 and 0.99 for neighbouring documents, label and class weight.
+
+    Only labelled documents and those next to them are dealt, once each: runs of neighbours meet,
+    and the first of a run goes to the one before as well.
+    """
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    used = labels.select("doc_id").union(labels.select(F.col("doc_id") + 1)).distinct()
     words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", "[^ -~]+", " "), " +"), lambda w: w != ""))
-    tasks = spark.sparkContext.defaultParallelism  # long rows, costly to compare: a task for each core at least
-    a = d.select("doc_id", words.alias("a")).repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    y = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
-    both = F.size(F.array_intersect("a", "b"))
-    p = both / F.greatest(F.size("a") + F.size("b") - both, F.lit(1))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(used, "doc_id", "left_semi").select("doc_id", F.array_join(words, " ").alias("a"))
+    run = F.floor(F.col("doc_id") / RUN)
+    runs = F.when(F.pmod("doc_id", F.lit(RUN)) == 0, F.array(run, run - 1)).otherwise(F.array(run))
+    after = F.collect_list(F.struct("a")).over(Window.partitionBy("run").orderBy("doc_id").rangeBetween(1, 1))
+    # the join asks for as many tasks as shuffles have: long rows, costly to compare
+    met = d.select("doc_id", "a", F.explode(runs).alias("run")).withColumn("after", after).filter(F.col("run") == run)
+    both = met.select("doc_id", F.split("a", " ").alias("a"), F.explode("after").alias("b")).select("doc_id", F.filter("a", lambda w: w != "").alias("a"), F.filter(F.split("b.a", " "), lambda w: w != "").alias("b"))
+    both = both.select("doc_id", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("both"))
+    p = F.col("both") / F.greatest(F.col("m") + F.col("n") - F.col("both"), F.lit(1))
     w = F.when(F.col("y") == 1, F.lit(0.472)).otherwise(F.lit(1.309))
-    return a.join(y, "doc_id").join(b, "doc_id").select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"), F.round(F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99)), 6).alias("p"), w.alias("w"))
+    return both.join(labels, "doc_id").select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"), F.round(F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99)), 6).alias("p"), w.alias("w"))
