@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from twinleaf.functions import cascade, stemming, transport
+from twinleaf.functions import cascade, stemming, transport, vectors
 from twinleaf.operators import factors, models, tagging
 from twinleaf.plans import registry
 from twinleaf.sources import config, files
@@ -190,3 +190,21 @@ def test_many_directions_make_no_expressions(spark):
     assert got.pop(99) is None and all(np.array_equal(got[i], x[i][::-1]) for i in range(20))
     plan = registry.queries()["s9_factor_cache"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000
+
+
+@pytest.mark.parametrize("held", [1 << 26, 100])
+def test_sums_of_named_vectors(spark, monkeypatch, held):
+    """In one part and in many; repeated uses, keys without and with two vectors; no row is made for each number."""
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((9, 5))
+    table = spark.createDataFrame([(min(i, 7), list(map(float, r))) for i, r in enumerate(x)] + [(None, [0.0] * 5)], "k long, vec array<double>")
+    named = [(i, s, int(k)) for i in range(20) for s in (1, 2) for k in rng.integers(0, 12, i % 5)]
+    out = vectors.summed(spark.createDataFrame(named, "id long, side int, k long"), table, ["id", "side"], "k")
+    want = {}
+    for i, s, k in named:
+        if k < 8:
+            want[i, s] = want.get((i, s), 0) + (x[7] + x[8] if k == 7 else x[k])
+    got = {(r.id, r.side): r.v for r in out.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
