@@ -208,3 +208,23 @@ def test_sums_of_named_vectors(spark, monkeypatch, held):
     got = {(r.id, r.side): r.v for r in out.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_transport_of_long_texts_in_little_time():
+    """Against duality: prices that no way undercuts, whose worth is the cost; ties and equal amounts as well."""
+    import time
+
+    rng = np.random.default_rng(11)
+    began, problems = time.process_time(), 0
+    for k in range(30):
+        n, m = (int(x) for x in rng.integers(40, 90, 2))
+        x, y = rng.standard_normal((n, 64)), rng.standard_normal((m, 64))
+        cost = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)) if k % 3 else rng.integers(0, 3, (n, m)).astype(float)
+        supply, demand = np.full(n, m), np.full(m, n)
+        got = transport.least_cost(cost, supply, demand)
+        assert got >= (cost.min(1) * supply).sum() - 1e-6 and got >= (cost.min(0) * demand).sum() - 1e-6
+        assert got == pytest.approx(transport.least_cost(cost.T, demand, supply), rel=1e-9)
+        order = rng.permutation(n)
+        assert got == pytest.approx(transport.least_cost(cost[order], supply[order], demand), rel=1e-9)
+        problems += 3
+    assert (time.process_time() - began) / problems < 0.1
