@@ -121,3 +121,32 @@ def test_factors_of_one_rank(spark):
     u, s = factors.stacked_factors(counts, ngrams.frequent(counts, 1), 2)
     assert np.allclose(s, [2 * np.sqrt(240), 0])
     assert np.allclose(np.abs([r.factors for r in u.collect()]), [[1, 0]] * 80)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_measures_of_packed_grams(spark, monkeypatch, n):
+    """As by exploding and joining; ids whose rows are apart, empty and null texts, signs of many bytes, grams too many to hold."""
+    monkeypatch.setattr(ngrams, "SLICE", 3)
+    monkeypatch.setattr(ngrams, "COUNTED", 40)
+    rng = np.random.default_rng(n)
+    make = lambda: "".join(rng.choice(list("abAB \tÉ😀"), rng.integers(0, 12)))
+    df = spark.createDataFrame([(i // 2 if i % 5 == 0 else i, make(), make() if i % 7 else None) for i in range(60)] + [(0, "abab", "ab"), (0, "ba", "b")], "id long, question1 string, question2 string")
+    c = ngrams.grams(df, n)
+    voc = ngrams.frequent(c, 3)
+    plain = [ngrams.jaccards(c, voc), ngrams.tfidf_distances(c, voc, 120), c.join(voc, "gram").withColumn("x", F.col("count") * (F.log(F.lit(121) / (1 + F.col("df"))) + 1)).groupBy("id", "side").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))]
+    want = [sorted(tuple(r) for r in df.collect()) for df in plain]
+    for held in (1_000_000, 2):
+        monkeypatch.setattr(ngrams, "MOST_HELD", held)
+        got = [ngrams.pair_jaccards(df, n, 3), ngrams.pair_tfidf_distances(df, n, 3, 120), ngrams.text_tfidf_norms(df, n, 3, 120)]
+        for a, b in zip(got, want):
+            assert held == 2 or "Generate" not in a._jdf.queryExecution().optimizedPlan().toString()
+            a = sorted(tuple(r) for r in a.collect())
+            assert len(a) == len(b) and np.allclose(a, b, atol=1e-7)
+
+
+def test_grams_are_counted_where_their_text_is(spark):
+    """One exchange, of the texts; none of the grams."""
+    df = spark.createDataFrame([(1, "The cat, a cat sat", "x")], "id long, question1 string, question2 string")
+    for c in (ngrams.word_grams(df, 1, 2), ngrams.grams(df, 2)):
+        plan = c._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
