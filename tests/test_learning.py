@@ -150,3 +150,27 @@ def test_grams_are_counted_where_their_text_is(spark):
     for c in (ngrams.word_grams(df, 1, 2), ngrams.grams(df, 2)):
         plan = c._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_elastic_net_in_few_passes(spark, data, monkeypatch, weighted):
+    """As Spark's own solver, and no coefficient can be moved for the better; a pass for each step, of which there are few."""
+    df, x, y, w = data
+    passes, plain = [], models._elastic_sums
+    monkeypatch.setattr(models, "_elastic_sums", lambda *a: passes.append(1) or plain(*a))
+    w = w if weighted else np.ones(300)
+    for alpha in (0.02, 1.0):
+        passes.clear()
+        b = models._elastic_net(df, ["f", "g"], alpha, 0.5, weighted)
+        assert len(passes) <= 15
+        own = models._logistic(models.assembled(df, ["f", "g"]), alpha, 0.5, weighted)
+        assert np.allclose(b, [own.intercept, *own.coefficients], atol=1e-4)
+
+        def worth(b, w=w, alpha=alpha):
+            z = b[0] + x @ b[1:]
+            return (w * (np.logaddexp(0, z) - y * z)).sum() + (0.5 * np.abs(b[1:]).sum() + 0.25 * (b[1:] ** 2).sum()) / alpha
+
+        assert all(worth(b) <= worth(b + s * e) for e in np.eye(3) for s in (1e-4, -1e-4))
+    passes.clear()
+    assert models.out_of_fold(df, ["f", "g"], folds=2, l1=0.5, weighted=weighted).count() == 300 and 0 < len(passes) <= 30
+    assert models._elastic_net(df.filter("y = 1"), ["f", "g"], 1.0, 0.5, weighted).tolist() == [np.inf, 0, 0]
